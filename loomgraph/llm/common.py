@@ -62,9 +62,16 @@ class Scratch:
         self.path = f"{scratch_base(spark)}/loomgraph-{label}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        target = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(target)
+    def write(self, df: DataFrame, name: str, drop_shuffles: bool = False) -> DataFrame:
+        """df as a table, read again; drop_shuffles: free its shuffle files as soon as it is written."""
+        target, key = f"{self.path}/{name}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(key)
+        try:
+            if drop_shuffles:
+                self.spark.conf.set(key, "true")
+            df.write.mode("overwrite").parquet(target)
+        finally:
+            self.spark.conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(target)
 
     def drop(self, name: str | None = None) -> None:
@@ -77,7 +84,7 @@ class Scratch:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan: for a file scan, the bytes of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def parts_for(df: DataFrame, bytes_each: int) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontamination, language, licenses, mixing, quality, rules, sharding, simhash, tokens
+from loomgraph.llm import decontamination, language, licenses, lm, mixing, quality, rules, sharding, simhash, tokens
 from loomgraph.llm.common import remainder_is
 
 ACCEPT = 0.7
@@ -22,6 +22,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = remainder_is("doc_id", 7, 2)
+    deleted = F.pmod(F.xxhash64(F.lit("deleted"), "doc_id"), F.lit(10)) == 0  # a tenth of what is learned from
+    scored = lm.score_texts(docs, F.when(held_out, 0).when(deleted, 2).otherwise(1))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"))
 
@@ -69,5 +77,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op3_token_counts, op4_simhash, op5_mixing, op6_quality, op7_quality_rules, op8_sharding, op9_licenses, op10_decontamination)
+    for f in (op1_language_id, op2_lm_scores, op3_token_counts, op4_simhash, op5_mixing, op6_quality, op7_quality_rules, op8_sharding, op9_licenses, op10_decontamination)
 }
