@@ -591,8 +591,24 @@ def _spread(df: DataFrame) -> DataFrame:
 
 @query()
 def locate_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = evidence.locate(_spread(views.quotes(spark, sf_dir)))
-    return found.select("seq", "location.status", F.size("location.segments").alias("segments"), F.get("location.segments", F.lit(0))["start"].alias("start"), F.col("location.suggestion.similarity").alias("similarity"))
+    found = evidence.locate(_spread(views.quotes(spark, sf_dir)), suggest=False)
+    return found.select("seq", "location.status", F.size("location.segments").alias("segments"), F.get("location.segments", F.lit(0))["start"].alias("start"))
+
+
+@query()
+def fuzzy_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First sentences of passages, misquoted, against the documents that hold them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    held = docs.join(locate_exact(spark, sf_dir), "doc_id").join(items, "item_id")
+    rows = held.select(
+        (F.col("doc_id") * 1000 + F.col("item_id") % 1000).alias("seq"),
+        F.lit("").alias("title"),
+        F.col("text").alias("abstract"),
+        F.lit(True).alias("has_source"),
+        F.concat(F.split_part("quote", F.lit("."), F.lit(1)), F.lit(" or so")).alias("evidence_text"),
+    )
+    return evidence.locate(_spread(rows)).select("seq", "location.status", F.bround("location.suggestion.similarity", 4).alias("similarity"))
 
 
 @query()
