@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL = "_loomgraph_local_scratch"
+_LOCAL, _CLEANUP = "_loomgraph_local_scratch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,9 +28,16 @@ class Tables:
         self.spark, self.path = spark, f"{shared_folder(spark)}/loomgraph-{label}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+    def write(self, df: DataFrame, name: str, drop_shuffles: bool = False) -> DataFrame:
+        """df as a table, read again; drop_shuffles: free its shuffle files as soon as it is written."""
+        target, before = f"{self.path}/{name}", self.spark.conf.get(_CLEANUP)
+        try:
+            if drop_shuffles:
+                self.spark.conf.set(_CLEANUP, "true")
+            df.write.mode("overwrite").parquet(target)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
+        return self.spark.read.schema(df.schema).parquet(target)
 
     def drop(self, name: str | None = None) -> None:
         """Delete one table or, at the driver's end, all: results that are read lazily may still need them before."""
