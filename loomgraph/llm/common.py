@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
 import math
 import os
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.sources.scratch import Tables as Scratch
+
+__all__ = ["Scratch", "WORD", "id_remainder", "parts_for", "plan_bytes", "remainder_is", "ship", "utf8", "word_count"]
+
 #: A word in the contracts: a run of anything but the six ASCII white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -34,54 +36,6 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext._loomgraph_shipped = True
 
 
-def scratch_base(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is named (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base:
-        return base.rstrip("/")
-    if not hasattr(spark.sparkContext, "_loomgraph_scratch"):
-        spark.sparkContext._loomgraph_scratch = tempfile.mkdtemp(prefix="loomgraph-scratch-")
-    return spark.sparkContext._loomgraph_scratch
-
-
-def _hadoop_path(spark: SparkSession, path: str):
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath, jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-class Scratch:
-    """Tables of one operator call, in a folder of its own under the shared folder.
-
-    Writing a table cuts the lineage: what reads it survives the loss of executors, and no
-    later step computes it again. Folders go when the driver ends, since lazily returned
-    results may still read them.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.path = f"{scratch_base(spark)}/loomgraph-{label}-{uuid.uuid4().hex}"
-        atexit.register(self.drop)
-
-    def write(self, df: DataFrame, name: str, drop_shuffles: bool = False) -> DataFrame:
-        """df as a table, read again; drop_shuffles: free its shuffle files as soon as it is written."""
-        target, key = f"{self.path}/{name}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = self.spark.conf.get(key)
-        try:
-            if drop_shuffles:
-                self.spark.conf.set(key, "true")
-            df.write.mode("overwrite").parquet(target)
-        finally:
-            self.spark.conf.set(key, before)
-        return self.spark.read.schema(df.schema).parquet(target)
-
-    def drop(self, name: str | None = None) -> None:
-        try:
-            jpath, fs = _hadoop_path(self.spark, f"{self.path}/{name}" if name else self.path)
-            fs.delete(jpath, True)
-        except Exception:  # noqa: BLE001 - the gateway may already be gone at exit
-            pass
-
-
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan: for a file scan, the bytes of its files."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

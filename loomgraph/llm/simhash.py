@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import Scratch, ship, utf8
-from loomgraph.llm.components import min_labels
+from loomgraph.operators.components import component_labels
 
 _BITS = 64
 #: Variants that a task sorts at once; beyond it, it splits their prefix.
@@ -182,7 +182,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scratch = Scratch(spark, "simhash")
     prints = scratch.write(fingerprints(df, id_col, text_col, words), "prints")
     nodes = scratch.write(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
-    linked = min_labels(links(nodes, nodes.count(), radius), scratch)
+    linked = component_labels(links(nodes, nodes.count(), radius))
     labelled = nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     components = labelled.join(least, "label").select("fp", "component_id")
