@@ -81,7 +81,7 @@ class Discriminant:
         return 1.0 / (1.0 + np.exp(-gap))
 
 
-def fit(x: np.ndarray, y: np.ndarray, pooled: float = 0.1, spherical: float = 0.05) -> Discriminant:
+def fit(x: np.ndarray, y: np.ndarray, pooled: float = 0.3, spherical: float = 0.02) -> Discriminant:
     """Discriminant of rows x with labels y; without both classes, one that scores 0.5 throughout."""
     if not len(x) or y.min() == y.max():
         return Discriminant(np.zeros(len(FEATURES)), np.ones(len(FEATURES)), [], [], [])
