@@ -29,12 +29,11 @@ def star_step(edges: DataFrame) -> DataFrame:
 def component_labels(edges: DataFrame) -> DataFrame:
     """(node, label) for each node of the (a, b) edges, self-loops aside: the smallest node it is linked with."""
     tables = Tables(edges.sparkSession, "components")
-    current = tables.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges-0")
-    mark = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
-    before = current.select(mark).first()[0]
+    mark = (F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+    first = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    current, before = tables.write_measured(first, "edges-0", *mark)
     for k in range(1, _MOST_ROUNDS):
-        current = tables.write(star_step(current), f"edges-{k}")
-        after = current.select(mark).first()[0]
+        current, after = tables.write_measured(star_step(current), f"edges-{k}", *mark)
         tables.drop(f"edges-{k - 1}")
         if after == before:
             # Settled edges are stars around each component's smallest node.

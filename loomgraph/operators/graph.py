@@ -84,11 +84,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, toleranc
     links = tables.write(summed.join(total, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")), "links")
     ranks = tables.write(ids.join(links.select(F.col("src").alias("id")).distinct().withColumn("__out", F.lit(True)), "id", "left").select("id", F.lit(1.0 / n).alias("rank"), F.col("__out").isNull().alias("dangling")), "ranks-0")
     for k in range(1, most_rounds + 1):
-        lost = ranks.where("dangling").agg(F.sum("rank")).first()[0] or 0.0
+        lost = F.broadcast(ranks.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost")))  # one row
         came = links.join(ranks, links["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("came"))
-        new = ranks.join(came, ranks["id"] == came["dst"], "left").select("id", F.col("rank").alias("old"), (F.lit((1.0 - damping) / n + damping * lost / n) + F.lit(damping) * F.coalesce("came", F.lit(0.0))).alias("rank"), "dangling")
-        ranks = tables.write(new, f"ranks-{k}")
-        change = ranks.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+        spread = F.lit((1.0 - damping) / n) + F.lit(damping / n) * F.col("lost") + F.lit(damping) * F.coalesce("came", F.lit(0.0))
+        new = ranks.join(came, ranks["id"] == came["dst"], "left").crossJoin(lost).select("id", F.col("rank").alias("old"), spread.alias("rank"), "dangling")
+        ranks, (change,) = tables.write_measured(new, f"ranks-{k}", F.sum(F.abs(F.col("rank") - F.col("old"))))
         tables.drop(f"ranks-{k - 1}")
         if change < n * tolerance:
             break

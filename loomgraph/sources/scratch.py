@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL, _CLEANUP = "_loomgraph_local_scratch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -28,6 +28,16 @@ class Tables:
         self.spark, self.path = spark, f"{shared_folder(spark)}/loomgraph-{label}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
 
+    def write_measured(self, df: DataFrame, name: str, *measures: Column) -> tuple[DataFrame, tuple]:
+        """df as a table, and aggregates of its rows taken while it is written.
+
+        A task that is run again may be counted again, so measures should only decide whether
+        to go on.
+        """
+        seen = Observation()
+        table = self.write(df.observe(seen, *[m.alias(f"m{k}") for k, m in enumerate(measures)]), name)
+        return table, tuple(seen.get[f"m{k}"] for k in range(len(measures)))
+
     def write(self, df: DataFrame, name: str, drop_shuffles: bool = False) -> DataFrame:
         """df as a table, read again; drop_shuffles: free its shuffle files as soon as it is written."""
         target, before = f"{self.path}/{name}", self.spark.conf.get(_CLEANUP)
