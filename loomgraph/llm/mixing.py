@@ -2,17 +2,20 @@
 
 Token (here: word) totals per source give each source a repetition rate; every document is
 emitted floor(rate) times plus one more time with probability rate - floor(rate), decided by
-a seeded hash of its id, so reruns agree and no state is shared between tasks.
+a seeded hash of its id, so reruns agree and no state is shared between tasks. Of a few
+seeds, each source uses the one whose draws bring its total nearest to its target.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import word_count
+from loomgraph.llm.common import Scratch, word_count
 
-_HASH_HEX = 12  # 48 bits: exact in a double
+_DRAW_HEX = 8  # hexadecimal digits of a draw; an MD5 has four draws
+_SEEDS = 8
+_BROADCAST_BYTES = 8_000_000
 
 
 def source_targets(
@@ -58,11 +61,35 @@ def source_targets(
     )
 
 
-def copies_column(rate: F.Column, id_col: str, text_col: str, seed: str, most: int):
-    """floor(rate) plus a Bernoulli copy drawn from a hash of the seed and the id (the text where the id is null)."""
-    key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col).cast("binary")), F.lit(""))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key).cast("binary")), 1, _HASH_HEX), 16, 10).cast("double") / F.lit(float(16**_HASH_HEX))
-    return F.least(F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0), F.lit(most)).cast("long")
+def _draw(key: str, seed: str, number: int) -> Column:
+    """Draw `number` of a key, in [0, 1)."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:{number // 4}:"), F.col(key)).cast("binary"))
+    return F.conv(F.substring(digest, number % 4 * _DRAW_HEX + 1, _DRAW_HEX), 16, 10).cast("double") / F.lit(float(16**_DRAW_HEX))
+
+
+def _keys(df: DataFrame, id_col: str, text_col: str) -> Column:
+    """What a row's draws depend on: its id, or for a null id its text."""
+    return F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col).cast("binary")), F.lit(""))
+
+
+def mixing_rates(sizes: DataFrame, scratch: Scratch, weights: tuple[int, ...], share: float, cap: float, seed: str) -> DataFrame:
+    """(__name, __source_size, __target, __whole, __fraction, __pick) for each source of (__source, __size, __key) rows."""
+    targets = source_targets(sizes, "__source", "__size", weights, share, cap)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    targets = targets.withColumn("rate", rate).withColumn("whole", F.floor("rate").cast("long")).withColumn("fraction", F.col("rate") - F.floor("rate"))
+    targets = _broadcast_if_small(scratch.write(targets.withColumnRenamed("source", "__name"), "targets"))
+    drawn = sizes.join(targets, F.col("__source").eqNullSafe(F.col("__name")))
+    sums = drawn.groupBy("__name", "source_size", "target", "rate", "whole", "fraction").agg(
+        *[F.sum(F.col("__size") * (F.col("whole") + F.when(_draw("__key", seed, k) < F.col("fraction"), 1).otherwise(0))).alias(f"__sum_{k}") for k in range(_SEEDS)]
+    )
+    nearest = F.least(*[F.struct(F.abs(F.col(f"__sum_{k}") - F.col("target")).alias("off"), F.lit(k).alias("k")) for k in range(_SEEDS)])["k"]
+    return _broadcast_if_small(scratch.write(sums.select("__name", *[F.col(c).alias(f"__{c}") for c in ("source_size", "target", "whole", "fraction")], nearest.alias("__pick")), "rates"))
+
+
+def _broadcast_if_small(sources: DataFrame) -> DataFrame:
+    """Sources measured: up to _BROADCAST_BYTES they are broadcast, so that no document moves; beyond, adaptive execution splits hot ones."""
+    size = sources.agg(F.coalesce(F.sum(F.octet_length(F.coalesce(F.col("__name").cast("string"), F.lit(""))) + 64), F.lit(0))).first()[0]
+    return F.broadcast(sources) if size <= _BROADCAST_BYTES else sources
 
 
 def with_copies(
@@ -76,30 +103,33 @@ def with_copies(
     seed: str = "mix-2024",
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """Columns `keep` (default: the id) of every row, with mix_size, mix_source_size, mix_target and mix_copies.
+    """mix_size, mix_source_size, mix_target and mix_copies of every row, with its id or, if given, the columns `keep`.
 
     Null texts and texts without words have size 0; a source whose sizes are all 0 has target
     0 and no copies; an empty table gives an empty result. Repeated ids draw alike. A source
-    may hold any share of the rows: sizes are pre-aggregated before their shuffle, and the
-    join back is one that adaptive execution broadcasts (few sources) or splits (a hot one).
+    may hold any share of the rows: texts are read once for sizes, which are pre-aggregated.
     """
-    keep = keep or [id_col]
-    sized = df.withColumn("__size", word_count(F.col(text_col)))
-    targets = source_targets(sized, source_col, "__size", weights, share, cap).select(
-        F.col("source").alias("__source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")
-    )
-    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
-    joined = sized.join(targets, F.col(source_col).eqNullSafe(F.col("__source")))
+    scratch = Scratch(df.sparkSession, "mix")
+    slim = df.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("__size"), _keys(df, id_col, text_col).alias("__key"))
+    sizes = scratch.write(slim, "sizes")
+    rates = mixing_rates(sizes, scratch, weights, share, cap, seed)
+    rows, extra = (sizes, [F.col("__id").alias(id_col)]) if keep is None else (df.withColumns({"__source": F.col(source_col), "__size": word_count(F.col(text_col)), "__key": _keys(df, id_col, text_col)}), [F.col(c) for c in keep])
+    draw = F.element_at(F.array(*[_draw("__key", seed, k) for k in range(_SEEDS)]), F.col("__pick") + 1)
+    joined = rows.join(rates, F.col("__source").eqNullSafe(F.col("__name")))
+    copies = F.col("__whole") + F.when(draw < F.col("__fraction"), 1).otherwise(0)
     return joined.select(
-        *[F.col(c) for c in keep],
+        *extra,
         F.col("__size").alias("mix_size"),
-        "mix_source_size",
-        "mix_target",
-        copies_column(rate, id_col, text_col, seed, int(cap)).alias("mix_copies"),
+        F.col("__source_size").alias("mix_source_size"),
+        F.col("__target").alias("mix_target"),
+        F.least(copies, F.lit(int(cap))).cast("long").alias("mix_copies"),
     )
 
 
 def mix(df: DataFrame, **options) -> DataFrame:
     """The mixed rows themselves: each row of df as often as the mix takes it, columns unchanged."""
-    taken = with_copies(df, keep=df.columns, **options)
-    return taken.where("mix_copies > 0").withColumn("__copy", F.explode(F.expr("array_repeat(0, int(mix_copies))"))).select(*df.columns)
+    held = df.withColumnsRenamed({c: f"__own_{c}" for c in df.columns})
+    names = {k: f"__own_{options.pop(k, default)}" for k, default in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
+    taken = with_copies(held, keep=held.columns, **names, **options).where("mix_copies > 0")
+    copied = taken.withColumn("__copy", F.explode(F.expr("array_repeat(0, int(mix_copies))")))
+    return copied.select(*[F.col(f"__own_{c}").alias(c) for c in df.columns])
