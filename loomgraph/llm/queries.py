@@ -75,6 +75,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+_MIX_HITS = " ".join(f"WHEN {k} THEN CAST(('0x' || substr(md5('mix-2024:{k // 4}:' || doc_id), {k % 4 * 8 + 1}, 8)) AS BIGINT) / 4294967296.0::DOUBLE < fraction" for k in range(8))
+_MIX_SUMS = ", ".join(f"{{'off': abs(sum(size * (whole + CASE WHEN CAST(('0x' || substr(md5('mix-2024:{k // 4}:' || doc_id), {k % 4 * 8 + 1}, 8)) AS BIGINT) / 4294967296.0::DOUBLE < fraction THEN 1 ELSE 0 END)) - target), 'k': {k}}}" for k in range(8))
+
+_MIX_SQL = rf"""
+WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^ 	-]+')) END AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY 1),
+w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM s), x AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, 2.0::DOUBLE * n AS most FROM w),
+v AS (SELECT *, (1.5::DOUBLE * (SELECT sum(n) FROM s) - coalesce(sum(most) OVER b, 0)) / ((SELECT sum(weight) FROM x) - coalesce(sum(weight) OVER b, 0)) AS level FROM x WINDOW b AS (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT level AS free FROM v WHERE most >= level * weight ORDER BY most / weight, rank LIMIT 1),
+t AS (SELECT source, n AS source_size, least(most, coalesce((SELECT free FROM l) * weight, most)) AS target FROM v),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t), f AS (SELECT *, floor(rate) AS whole, rate - floor(rate) AS fraction FROM r),
+j AS (SELECT d.doc_id, d.size, f.* FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source),
+k AS (SELECT source, list_min([{_MIX_SUMS}]).k AS k FROM j GROUP BY source, target)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * least(2, whole + CASE WHEN CASE k {_MIX_HITS} END THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM j JOIN k ON j.source IS NOT DISTINCT FROM k.source
+"""
+
+ORACLES = {"op5_mixing": _MIX_SQL}
+
 QUERIES = {
     f.__name__: f
     for f in (op1_language_id, op2_lm_scores, op3_token_counts, op4_simhash, op5_mixing, op6_quality, op7_quality_rules, op8_sharding, op9_licenses, op10_decontamination)
