@@ -124,7 +124,7 @@ def contaminated(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    error_rate: float = 0.05,
+    error_rate: float = 0.08,
     block_chars: int = 4_000_000,
 ) -> DataFrame:
     """(id, item, edits, item_chars, match_end) for each row of df and each item that it holds.
