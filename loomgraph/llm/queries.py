@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,7 +81,8 @@ _MIX_HITS = " ".join(f"WHEN {k} THEN CAST(('0x' || substr(md5('mix-2024:{k // 4}
 _MIX_SUMS = ", ".join(f"{{'off': abs(sum(size * (whole + CASE WHEN CAST(('0x' || substr(md5('mix-2024:{k // 4}:' || doc_id), {k % 4 * 8 + 1}, 8)) AS BIGINT) / 4294967296.0::DOUBLE < fraction THEN 1 ELSE 0 END)) - target), 'k': {k}}}" for k in range(8))
 
 _MIX_SQL = rf"""
-WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^ 	-]+')) END AS size FROM documents),
+WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^ 	-
+]+')) END AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY 1),
 w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM s), x AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, 2.0::DOUBLE * n AS most FROM w),
 v AS (SELECT *, (1.5::DOUBLE * (SELECT sum(n) FROM s) - coalesce(sum(most) OVER b, 0)) / ((SELECT sum(weight) FROM x) - coalesce(sum(weight) OVER b, 0)) AS level FROM x WINDOW b AS (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -92,7 +95,41 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * le
 FROM j JOIN k ON j.source IS NOT DISTINCT FROM k.source
 """
 
-ORACLES = {"op5_mixing": _MIX_SQL}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TOKEN = r"[0-9a-z\x{80}-\x{10FFFF}]+"
+
+
+def _templates_sql() -> str:
+    rows = []
+    for number, (label, text) in enumerate(licenses.TEMPLATES):
+        found = licenses.template_tokens(text)
+        rows.append(f"({number}, '{label}', {found!r}, {len(found)}, {math.ceil(round(0.8 * len(found), 9))})")
+    return ", ".join(rows)
+
+
+def _places_sql() -> str:
+    places = []
+    for label, phrase in licenses.PHRASES:
+        test = " AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(phrase))
+        places.append(f"list_filter(range(1, len(w) + 1), lambda i: {test}) AS \"{label}\"")
+    return ", ".join(places)
+
+
+_NAMES = [label for label, _ in licenses.PHRASES]
+_LICENSE_SQL = rf"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS low FROM documents), w AS (SELECT *, regexp_extract_all(low, '{_TOKEN}') AS w FROM d),
+p AS (SELECT doc_id, len(w) AS n_words, {_places_sql()} FROM w),
+b AS (SELECT doc_id, n_words, {" || ".join(f'"{n}"' for n in _NAMES)} AS places, list_filter([{", ".join(f"""CASE WHEN len("{n}") > 0 THEN '{n}' END""" for n in sorted(_NAMES))}], lambda x: x IS NOT NULL) AS base FROM p),
+l AS (SELECT doc_id, line, list_distinct(regexp_extract_all(line, '{_TOKEN}')) AS t FROM (SELECT DISTINCT doc_id, unnest(string_split(low, chr(10))) AS line FROM d)),
+m AS (SELECT doc_id, line, label, len(list_intersect(t, tokens)) AS k, m, need FROM l, (VALUES {_templates_sql()}) v(number, label, tokens, m, need)),
+h AS (SELECT *, k / m AS share FROM m WHERE k >= need QUALIFY rank() OVER (PARTITION BY doc_id, line ORDER BY k / m DESC, k DESC) = 1),
+f AS (SELECT doc_id, list(DISTINCT label) AS found, max(share) AS best FROM h GROUP BY 1)
+SELECT doc_id, n_words, len(places) AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word, array_to_string(base, ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(base, coalesce(found, [])))), ',') AS labels, CASE WHEN len(places) > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score
+FROM b LEFT JOIN f USING (doc_id)
+"""
+
+ORACLES = {"op5_mixing": _MIX_SQL, "op9_licenses": _LICENSE_SQL}
 
 QUERIES = {
     f.__name__: f
