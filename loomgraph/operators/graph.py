@@ -10,11 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import identity, scoring
 from loomgraph.operators.components import component_labels
+from loomgraph.sources.records import numbered
 from loomgraph.sources.scratch import Tables
 
 
@@ -155,7 +156,7 @@ def communities(nodes: DataFrame, edges: DataFrame, most_edges_in_task: int = 5_
     large = placed.where(F.col("size") > most_edges_in_task)
     found = small.unionByName(label_propagation(large.select("a", "b", "w")))
     every = parts.select("id").join(found, "id", "left").select("id", F.coalesce("least", "id").alias("least"))
-    numbers = every.select("least").distinct().withColumn("community", F.dense_rank().over(Window.orderBy("least")) - 1)
+    numbers = numbered(every.select("least").distinct(), "least").select("least", (F.col("seq") - 1).alias("community"))
     return every.join(numbers, "least").select("id", "community")
 
 
