@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from loomgraph.llm.common import ship, utf8
+from loomgraph.llm.common import Scratch, ship, utf8
 
 #: ASCII characters that aren't letters or digits part words; case is folded before.
 _PARTS = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
@@ -178,6 +178,11 @@ def _scan(shared, id_col: str, item_col: str, item_type: pa.DataType):
 
 
 def clean(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of df that hold no benchmark item; rows without an id go if any row without an id holds one."""
+    """The rows of df that hold no benchmark item; rows without an id go if any row without an id holds one.
+
+    The hits are written first: their size is then known, and Spark broadcasts them if they are
+    few and joins by shuffle if they aren't.
+    """
     hit = contaminated(df, benchmark, id_col, **options).select(F.col(id_col).alias("__id")).distinct()
+    hit = Scratch(df.sparkSession, "hits").write(hit, "hits")
     return df.join(hit, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")

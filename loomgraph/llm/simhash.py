@@ -198,7 +198,8 @@ def keep_one_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = near_duplicates(df, id_col, text_col, words, radius)
     kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__rows"))
     kept = Scratch(df.sparkSession, "kept").write(kept, "kept")
-    stay = df.join(kept, F.col(id_col).eqNullSafe(F.col("__id")))
+    # Kept ids grow with the corpus, so they are never broadcast: texts move once, at every size alike.
+    stay = df.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")))
     if kept.where("__rows > 1").isEmpty():
         return stay.select(*df.columns)
     once = stay.where("__rows = 1").select(*df.columns)
