@@ -76,13 +76,14 @@ def multi_type_names(df: DataFrame) -> DataFrame:
     return found.where(F.size("types") > 1)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
-    def norm(v: Column) -> Column:
-        return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
-    return F.try_divide(dot, norm(a) * norm(b))
+def unit_vectors(df: DataFrame, vector: str) -> DataFrame:
+    """df with `unit`, the vector as doubles of length one; of nulls for the zero vector."""
+    doubles = df.withColumn("__v", F.transform(vector, lambda x: x.cast("double"))).withColumn("__norm", F.sqrt(_dot(F.col("__v"), F.col("__v"))))
+    return doubles.withColumn("unit", F.transform("__v", lambda x: F.try_divide(x, F.col("__norm")))).drop("__v", "__norm")
 
 
 def best_neighbours(vectors: DataFrame, threshold: float, kind: str = "type", name: str = "name", vector: str = "vector") -> DataFrame:
@@ -91,11 +92,10 @@ def best_neighbours(vectors: DataFrame, threshold: float, kind: str = "type", na
     Proposals for review, never merges. All names of a type meet, which is what the operator
     means; types should be small. Beyond that, block names first and call this on the blocks.
     """
-    unit = F.transform(vector, lambda x: x.cast("double"))
-    left = vectors.select(F.col(kind).alias("type"), F.col(name).alias("name"), unit.alias("v"))
+    left = unit_vectors(vectors.select(F.col(kind).alias("type"), F.col(name).alias("name"), F.col(vector).alias("__vector")), "__vector").select("type", "name", F.col("unit").alias("v"))
     right = left.select(F.col("type").alias("type2"), F.col("name").alias("candidate"), F.col("v").alias("w"))
     pairs = left.join(right, (F.col("type") == F.col("type2")) & (F.col("name") != F.col("candidate")))
-    scored = pairs.select("type", "name", "candidate", cosine(F.col("v"), F.col("w")).alias("similarity")).where(F.col("similarity") >= threshold)
+    scored = pairs.select("type", "name", "candidate", _dot(F.col("v"), F.col("w")).alias("similarity")).where(F.col("similarity") >= threshold)
     best = scored.groupBy("type", "name").agg(F.max_by(F.struct("candidate", "similarity"), F.struct("similarity", F.negate("candidate") if dict(scored.dtypes)["candidate"] in ("bigint", "int") else "candidate")).alias("best"))
     return best.select("type", "name", "best.candidate", "best.similarity")
 
