@@ -217,15 +217,17 @@ def apply_rules(
     lang_col: str = "lang",
     min_words: int = 20,
     repeat_percent: int = 30,
-    reach: float = 12.0,
+    reach: float = 2.0,
+    length_power: float = 0.4,
     max_languages: int = 64,
 ) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, perplexity, lang) for every row.
 
     A row is kept unless its text has fewer than min_words words, more than repeat_percent per
-    cent of them in repeated windows, or a perplexity outside its language's band: from the
-    lower quartile less `reach` quartile ranges to the upper one and as many more, on a
-    logarithmic scale, over all rows of the language. Null and rare languages (beyond the
+    cent of them in repeated windows, or a perplexity outside its language's band: its
+    logarithm's distance from the language's median, times the text's length to the power
+    `length_power` (a short text's perplexity scatters more), lies from the lower quartile less
+    `reach` quartile ranges to the upper one and as many more, over all rows of the language. Null and rare languages (beyond the
     max_languages most frequent) share one model and band. Null and empty texts have no words
     and fail. Every row gives one row; further columns are left out.
     """
@@ -235,12 +237,12 @@ def apply_rules(
     models = {lang: KneserNey.train(table) for lang, table in gram_counts(df, languages, text_col, lang_col).items()}
     shared = spark.sparkContext.broadcast(models)
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, lang_number int, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, surprise double"
+    schema = f"`{id_col}` {kind}, lang_number int, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, surprise double, length bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, np.ndarray] = {}
         for batch in batches:
-            stats, surprise = [], []
+            stats, surprise, lengths = [], [], []
             for lang, cell in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 text = cell.as_py()
                 stats.append(text_statistics(text))
@@ -250,16 +252,22 @@ def apply_rules(
                     tables[lang] = shared.value[lang].log_probabilities()
                 table = tables[lang]
                 surprise.append(-sum(float(table[keys].sum(dtype=np.float64)) for keys in grams(text)) / (len(text) + 1))
+                lengths.append(len(text) + 1)
             columns = [pa.array(c, pa.int64()) for c in zip(*stats, strict=True)] if stats else [pa.array([], pa.int64())] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(surprise, pa.float64())], names=[id_col, "lang_number", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "surprise"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(surprise, pa.float64()), pa.array(lengths, pa.int64())], names=[id_col, "lang_number", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "surprise", "length"])
 
     scored = df.select(F.col(id_col), _language_number(F.col(lang_col), languages).alias("__lang"), utf8(text_col).alias("__utf8")).mapInArrow(run, schema)
     scored = Scratch(spark, "rules").write(scored, "scored")
-    bands = {r["lang_number"]: r["q"] for r in scored.groupBy("lang_number").agg(F.percentile_approx("surprise", [0.25, 0.75], 10_000).alias("q")).collect()}
+    medians = {r["lang_number"]: r["q"] for r in scored.groupBy("lang_number").agg(F.percentile_approx("surprise", 0.5, 10_000).alias("q")).collect()}
+    centre = F.lit(0.0)
+    for number, median in sorted(medians.items()):
+        centre = F.when(F.col("lang_number") == number, F.lit(median)).otherwise(centre)
+    scored = scored.withColumn("off", (F.col("surprise") - centre) * F.pow(F.col("length").cast("double"), F.lit(length_power)))
+    bands = {r["lang_number"]: r["q"] for r in scored.groupBy("lang_number").agg(F.percentile_approx("off", [0.25, 0.75], 10_000).alias("q")).collect()}
     inside = F.lit(False)
     for number, (low, high) in sorted(bands.items()):
-        margin = reach * max(high - low, 1e-3)
-        inside = inside | ((F.col("lang_number") == number) & F.col("surprise").between(low - margin, high + margin))
+        margin = reach * max(high - low, 1e-2)
+        inside = inside | ((F.col("lang_number") == number) & F.col("off").between(low - margin, high + margin))
     failed = (F.col("n_words") < min_words) | (F.lit(100) * F.col("n_repeat_words") > F.lit(repeat_percent) * F.col("n_words"))
     names = F.array(*[F.lit(x).cast("string") for x in [None, *languages]])
     return scored.select(

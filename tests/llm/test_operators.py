@@ -343,6 +343,17 @@ def test_rules_reject_odd_texts_and_keep_clean_ones(spark):
     assert not out[200]["kept"] and not out[201]["kept"] and out[201]["base_failed"] and out[202]["base_failed"]
 
 
+def test_perplexity_band_rejects_junk_and_keeps_short_clean_texts(spark):
+    rng = np.random.default_rng(12)
+    w = ["the", "house", "stands", "quietly", "near", "old", "rivers", "and", "hills", "under", "bright", "skies"]
+    texts = [" ".join(rng.choice(w, int(rng.choice([25, 60, 150, 400])))).capitalize() + "." for _ in range(300)]
+    junk = [" ".join(x if rng.random() < 0.7 else str(rng.choice(["###", "$$$", "%%%"])) for x in rng.choice(w, 150)) for _ in range(12)]
+    out = {r["doc_id"]: r for r in rules.apply_rules(docs(spark, texts + junk)).collect()}
+    assert not any(r["base_failed"] for r in out.values())
+    assert sum(out[i]["kept"] for i in range(300)) >= 297
+    assert not any(out[i]["kept"] for i in range(300, 312))
+
+
 def test_shards_are_weighted_stable_and_gapless(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
     df = df.unionByName(spark.range(9000).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit("t7").alias("text")))
