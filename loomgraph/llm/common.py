@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.sources.scratch import Tables as Scratch
 from loomgraph.sources.shipping import ship
 
-__all__ = ["Scratch", "WORD", "id_remainder", "parts_for", "plan_bytes", "remainder_is", "ship", "utf8", "word_count"]
+__all__ = ["Scratch", "WORD", "id_remainder", "parts_for", "plan_bytes", "remainder_is", "row_key", "ship", "utf8", "word_count"]
 
 #: A word in the contracts: a run of anything but the six ASCII white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,6 +43,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """struct<id, long, short>: the id, which may be null or repeated, and 96 bits of hashes of the text."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("long"), F.hash(text_col).alias("short"))
+
+
 def utf8(text: str) -> Column:
     """A text column as its UTF-8 bytes, empty for null: what the Arrow stages read."""
     return F.coalesce(F.col(text), F.lit("")).cast("binary")

@@ -17,10 +17,10 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Scratch, ship, utf8
+from loomgraph.llm.common import Scratch, row_key, ship, utf8
 from loomgraph.operators.components import component_labels
 
 _BITS = 64
@@ -178,29 +178,44 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null ids never become a component's id (null if a component has no other). An empty
     table gives an empty result; repeated rows each give a row.
     """
-    spark = df.sparkSession
-    scratch = Scratch(spark, "simhash")
+    scratch = Scratch(df.sparkSession, "simhash")
     prints = scratch.write(fingerprints(df, id_col, text_col, words), "prints")
-    nodes = scratch.write(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
-    linked = component_labels(links(nodes, nodes.count(), radius))
-    labelled = nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    labelled = _labelled(scratch, prints, F.min(id_col), radius)
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     components = labelled.join(least, "label").select("fp", "component_id")
     return prints.join(components, "fp").select(F.col(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _labelled(scratch: Scratch, prints: DataFrame, least: Column, radius: int) -> DataFrame:
+    """(fp, least, label) for each distinct fingerprint: an aggregate of its rows, and its group."""
+    nodes = scratch.write(prints.groupBy("fp").agg(least.alias("least")), "nodes")
+    linked = component_labels(links(nodes, nodes.count(), radius))
+    return nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+
+
 def keep_one_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of df that stand for their near-duplicate group: the one with the smallest id.
+    """The rows of df that stand for their near-duplicate group, one for each.
 
-    Ids identify documents: of rows that repeat a kept id one stays. Rows without an id stay
-    only as the one row of a group that has no id at all.
+    It is the one with the smallest id, null after all others, then with the smallest hash of
+    its text. A row is known by id and text, so rows without an id and unlike texts that share
+    an id stay in their own groups; of rows that repeat both, one stays.
     """
-    found = near_duplicates(df, id_col, text_col, words, radius)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__rows"))
-    kept = Scratch(df.sparkSession, "kept").write(kept, "kept")
-    # Kept ids grow with the corpus, so they are never broadcast: texts move once, at every size alike.
-    stay = df.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")))
+    scratch = Scratch(df.sparkSession, "kept")
+    keyed = df.select(row_key(id_col, text_col).alias("__key"), F.col(text_col).alias("__text"))
+    prints = scratch.write(fingerprints(keyed, "__key", "__text", words), "prints")
+    order = F.struct(F.col("__key.id").isNull().alias("last"), F.col("__key").alias("key"))
+    chosen = _labelled(scratch, prints, F.min(order), radius).groupBy("label").agg(F.min("least").alias("least"))
+    chosen = scratch.write(chosen.select(F.col("least.key").alias("__kept")), "chosen")
+    rows = prints.join(chosen.hint("merge"), _same_row(F.col("__key"))).groupBy("__kept").agg(F.count(F.lit(1)).alias("__rows"))
+    kept = scratch.write(rows, "kept")
+    # Kept rows grow with the corpus, so they are never broadcast: texts move once, at every size alike.
+    stay = df.join(kept.hint("merge"), _same_row(row_key(id_col, text_col)))
     if kept.where("__rows > 1").isEmpty():
         return stay.select(*df.columns)
     once = stay.where("__rows = 1").select(*df.columns)
-    return once.unionByName(stay.where("__rows > 1").select(*df.columns).dropDuplicates([id_col]))
+    return once.unionByName(stay.where("__rows > 1").dropDuplicates(["__kept"]).select(*df.columns))
+
+
+def _same_row(key: Column) -> Column:
+    kept = F.col("__kept")
+    return key["id"].eqNullSafe(kept["id"]) & (key["long"] == kept["long"]) & (key["short"] == kept["short"])

@@ -201,6 +201,18 @@ def test_simhash_against_brute_force(spark):
     assert kept == set(components(expected, 4))
 
 
+def test_rows_stay_or_go_by_themselves_without_ids_or_with_shared_ones(spark):
+    rng = np.random.default_rng(13)
+    texts = [" ".join(f"w{int(k)}" for k in rng.integers(0, 400, 60)) for _ in range(7)]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[5]), (None, texts[5]), (9, texts[6]), (9, texts[6])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = sorted((r["text"], r["doc_id"]) for r in simhash.keep_one_each(df).collect())
+    assert kept == sorted(zip(texts, [None, None, None, 7, 7, 8, 9], strict=True))
+    items = spark.createDataFrame([(1, texts[1]), (2, texts[4])], "item_id bigint, text string")
+    left = Counter((r["doc_id"], r["text"]) for r in decontamination.clean(df, items).collect())
+    assert left == Counter(r for r in rows if r[1] not in (texts[1], texts[4]))
+
+
 @pytest.mark.parametrize("at_once", [1 << 22, 64])
 def test_ball_hashing_finds_all_links_and_no_others(spark, monkeypatch, at_once):
     rng = np.random.default_rng(5)
