@@ -28,7 +28,7 @@ def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = remainder_is("doc_id", 7, 2)
     deleted = F.pmod(F.xxhash64(F.lit("deleted"), "doc_id"), F.lit(10)) == 0  # a tenth of what is learned from
-    scored = lm.score_texts(docs, F.when(held_out, 0).when(deleted, 2).otherwise(1))
+    scored = lm.score_texts(docs, F.when(held_out, 0).when(deleted, 2).otherwise(1), order=3)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
