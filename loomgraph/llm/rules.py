@@ -1,15 +1,20 @@
 """Quality rules: text statistics and an n-gram perplexity band for each language.
 
-The language model is a modified Kneser-Ney model over symbols: a byte is one of 32 symbols
-(see `SYMBOLS`), so an n-gram of order up to four has at most 2^20 values, and its symbols,
-five bits each, are a hash without collisions. Counts come from Spark over all texts; the
-model keeps, for each order, a sorted array of the hashes that occur with their discounted
-probabilities, and one of the contexts with their back-off weights. Its size is bounded by
-the number of languages (a parameter) and 2^20, whatever the corpus.
+The language model is a modified Kneser-Ney model of order four over code points, one for
+each language, counted in Spark over all texts. Four code points of 16 bits are a 64-bit key
+without collisions (those beyond the basic plane share the 6,400 of its private area), from
+which context and lower orders follow by shifts, so counts, discounts and back-off weights are
+DataFrame expressions. Every n-gram that a text holds was counted, so the model is a sorted
+array of keys with the interpolated probabilities beside it, searched by bisection. Arrays are
+broadcast in parts of a bounded number of n-grams: several languages, one, or a range of one.
+
+`symbols="classes"` is a coarser model that can't grow: a byte is one of 32 symbols (see
+`SYMBOLS`), so a language has 2^20 n-grams at most.
 """
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -149,65 +154,224 @@ class KneserNey:
         return np.log10(lower).astype(np.float32)
 
 
-def languages_of(df: DataFrame, lang_col: str, most: int) -> list[str]:
-    """The `most` most frequent languages; a bounded list."""
-    rows = df.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most).collect()
-    return sorted(r["lang"] for r in rows)
+_POINTS = 16  # bits of a code point in a key
+_PRIVATE, _PRIVATE_SIZE = 0xE000, 6400
+_LOW = (1 << 48) - 1
 
 
-def _language_number(lang: Column, languages: list[str]) -> Column:
-    """Place among the languages from 1 on; 0 for null and all others, which share a model."""
-    if not languages:
-        return F.lit(0)
-    return F.coalesce(F.array_position(F.array(*[F.lit(x) for x in languages]), lang), F.lit(0)).cast("int")
+def point_grams(text: str) -> Iterator[np.ndarray]:
+    """Keys of the order-four grams that end at each code point of a text and at its end, in pieces."""
+    n = len(text) + 1
+    for at in range(0, n, _PIECE):
+        ahead = min(at, _ORDER - 1)
+        raw = np.frombuffer(text[at - ahead : at + _PIECE].encode("utf-32-le", "surrogatepass"), "<u4")
+        wide = np.zeros(_ORDER - 1 - ahead + len(raw) + (at + _PIECE >= n), np.uint64)
+        wide[_ORDER - 1 - ahead :][: len(raw)] = np.where((raw > 0) & (raw < 1 << _POINTS), raw, _PRIVATE + raw % _PRIVATE_SIZE)
+        size = len(wide) - _ORDER + 1
+        key = wide[:size].copy()
+        for k in range(1, _ORDER):
+            key <<= np.uint64(_POINTS)
+            key |= wide[k : k + size]
+        yield key
+
+
+def class_grams(text: str) -> Iterator[np.ndarray]:
+    for keys in grams(text.encode("utf-8", "replace")):
+        yield keys.astype(np.uint64)
+
 
+_GRAMS = {"points": point_grams, "classes": class_grams}
 
-def gram_counts(df: DataFrame, languages: list[str], text_col: str = "text", lang_col: str = "lang") -> dict[int, np.ndarray]:
-    """Counts of order-four grams over all texts, by language number; at most (languages + 1) * 2^20 numbers.
 
-    Each task sums in memory and sends blocks of counts; only sums are shuffled.
+def _language(lang_col: str) -> Column:
+    """The language as a key that no null hides: '' for null, else the name after a sign."""
+    return F.coalesce(F.concat(F.lit("="), F.col(lang_col).cast("string")), F.lit(""))
+
+
+def gram_counts(df: DataFrame, symbols: str = "points", text_col: str = "text", lang_col: str = "lang", at_once: int = 1 << 21) -> DataFrame:
+    """(lang, key, n): how often each n-gram stands in all texts of a language.
+
+    A task sums up to at_once n-grams in memory before it sends them; only sums are shuffled.
     """
     ship(df.sparkSession)
+    take = _GRAMS[symbols]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        waiting: dict[int, list[np.ndarray]] = {}
-        held: Counter = Counter()
-
-        def settle(lang: int) -> None:
-            if waiting.get(lang):
-                sums.setdefault(lang, np.zeros(_SYMBOLS**_ORDER, np.int64))
-                sums[lang] += np.bincount(np.concatenate(waiting[lang]), minlength=_SYMBOLS**_ORDER)
-                waiting[lang], held[lang] = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        waiting: dict[str, list[np.ndarray]] = {}
+        held = 0
+
+        def rows(lang: str) -> pa.RecordBatch:
+            keys, n = sums.pop(lang)
+            return pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(keys), np.int32))), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "key", "n"])
+
+        def settle() -> None:
+            for lang, lists in waiting.items():
+                keys, n = np.unique(np.concatenate(lists), return_counts=True)
+                if lang in sums:
+                    before, counted = sums[lang]
+                    every, place = np.unique(np.concatenate([before, keys]), return_inverse=True)
+                    keys, n = every, np.bincount(place, np.concatenate([counted, n]), len(every)).astype(np.int64)
+                sums[lang] = keys, n.astype(np.int64)
+            waiting.clear()
 
         for batch in batches:
             for lang, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for keys in grams(cell.as_py()):
+                for keys in take(cell.as_py().decode("utf-8", "replace")):
                     waiting.setdefault(lang, []).append(keys)
-                    held[lang] += len(keys)
-                if held[lang] > 1 << 21:
-                    settle(lang)
-        for lang in list(waiting):
-            settle(lang)
-        for lang, table in sums.items():
-            rows = table.reshape(-1, _BLOCK)
-            used = np.flatnonzero(rows.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.int32()), pa.array(used, pa.int32()), pa.array([rows[i].astype("<i8").tobytes() for i in used], pa.binary())], names=["lang", "block", "counts"])
-
-    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(_BLOCK, np.int64)
+                    held += len(keys)
+                if held > 1 << 22:
+                    settle()
+                    held = 0
+                    if sum(len(k) for k, _ in sums.values()) > at_once:
+                        yield from [rows(x) for x in list(sums)]
+        settle()
+        yield from [rows(x) for x in list(sums)]
+
+    parts = df.select(_language(lang_col).alias("__lang"), utf8(text_col).alias("__utf8")).mapInArrow(run, "lang string, key bigint, n bigint")
+    return parts.groupBy("lang", "key").agg(F.sum("n").alias("n"))
+
+
+def _discounts(counts: DataFrame) -> DataFrame:
+    """(lang, d1, d2, d3): modified Kneser-Ney discounts of an order's counts, kept within (0, k)."""
+    n = [F.greatest(F.lit(1.0), F.count_if(F.col("n") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)]
+    found = counts.groupBy("lang").agg(*n).withColumn("y", F.col("n1") / (F.col("n1") + 2 * F.col("n2")))
+    take = [F.least(F.lit(0.95 * k), F.greatest(F.lit(0.05), F.lit(float(k)) - F.lit(k + 1.0) * F.col("y") * F.col(f"n{k + 1}") / F.col(f"n{k}"))).alias(f"d{k}") for k in (1, 2, 3)]
+    return found.select("lang", *take)
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """(lang, key, p): the interpolated probability of the last code point of each counted n-gram.
+
+    counts: (lang, key, n) of order four. The counts of a lower order are those of the distinct
+    code points that stand before its n-grams.
+    """
+    orders = [counts.select("lang", "key", "n")]
+    for order in range(_ORDER - 1, 0, -1):
+        shorter = F.col("key").bitwiseAND(F.lit((1 << _POINTS * order) - 1))
+        orders.append(orders[-1].groupBy("lang", shorter.alias("key")).agg(F.count(F.lit(1)).alias("n")))
+    lower = None
+    for order, table in enumerate(reversed(orders)):
+        kept = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        rows = table.join(_discounts(table), "lang").select("lang", "key", "n", kept.alias("d"), F.shiftrightunsigned("key", _POINTS).alias("context"))
+        sums = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("off"), F.count(F.lit(1)).alias("kinds"))
+        rows = rows.join(sums, ["lang", "context"]).select("lang", "key", ((F.col("n") - F.col("d")) / F.col("total")).alias("own"), (F.col("off") / F.col("total")).alias("weight"), "kinds")
+        if lower is None:  # one context, the empty one: below it, all code points of the language are equally likely
+            lower = rows.select("lang", "key", (F.col("own") + F.col("weight") / F.col("kinds")).alias("p"))
+        else:
+            rows = rows.withColumn("tail", F.col("key").bitwiseAND(F.lit((1 << _POINTS * order) - 1)))
+            lower = rows.join(lower.select("lang", F.col("key").alias("tail"), "p"), ["lang", "tail"]).select("lang", "key", (F.col("own") + F.col("weight") * F.col("p")).alias("p"))
+    return lower
+
+
+def _class_model(counts: DataFrame) -> DataFrame:
+    """kneser_ney() over byte classes; a language is one task's work, its 2^20 n-grams being a bound."""
+
+    def train(table: pa.Table) -> pa.Table:
+        keys = table["key"].to_numpy()
+        dense = np.zeros(_SYMBOLS**_ORDER, np.int64)
+        dense[keys] = table["n"].to_numpy()
+        p = 10.0 ** KneserNey.train(dense).log_probabilities()[keys].astype(float)
+        return pa.table({"lang": table["lang"], "key": table["key"], "p": pa.array(p)})
+
+    return counts.groupBy("lang").applyInArrow(train, "lang string, key bigint, p double")
+
+
+@dataclass
+class Part:
+    """Languages whose texts are scored together, and the range of keys of which the arrays are."""
+
+    languages: list[str]
+    low: int | None = None
+    high: int | None = None
+
+    def arrays(self, model: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        rows = model.where(F.col("lang").isin(self.languages))
+        if self.low is not None:
+            rows = rows.where(F.col("key").between(self.low, self.high))
+        table = rows.select("lang", "key", F.log10("p").cast("float").alias("p")).toArrow()
+        langs, keys, p = table["lang"].to_pandas(), table["key"].to_numpy().view(np.uint64), table["p"].to_numpy()
+        found = {}
+        for lang in self.languages:
+            own = np.flatnonzero((langs == lang).to_numpy())
+            own = own[np.argsort(keys[own])]
+            found[lang] = keys[own], p[own]
+        return found
+
+
+def parts_of(model: DataFrame, most_grams: int) -> list[Part]:
+    """The model in parts of at most about most_grams n-grams."""
+    sizes = sorted((r["n"], r["lang"]) for r in model.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())
+    parts, room = [], 0
+    for n, lang in sizes:
+        if n > most_grams:
+            cuts = -(-n // most_grams)
+            quantiles = [k / cuts for k in range(1, cuts)]
+            inner = model.where(F.col("lang") == lang).agg(F.percentile_approx("key", quantiles, 100 * cuts).alias("q")).first()["q"]
+            edges = [-(1 << 63), *sorted(set(inner)), 1 << 63]
+            parts += [Part([lang], a, b - 1) for a, b in zip(edges, edges[1:], strict=False)]
+        elif n <= room:
+            parts[-1].languages.append(lang)
+            room -= n
+        else:
+            parts.append(Part([lang]))
+            room = most_grams - n
+    return parts
+
+
+def log_probability(keys: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> float:
+    """The sum over those of the keys that the table holds."""
+    known, p = table
+    if not len(known):
+        return 0.0
+    place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return float(p[place][known[place] == keys].sum(dtype=np.float64))
+
+
+def _scored(df: DataFrame, part: Part, model: DataFrame, symbols: str, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast(part.arrays(model))
+    take = _GRAMS[symbols]
+    ids = [id_col, *(["__row"] if part.low is not None else [])]
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in ids)
+    names = [*ids, "__lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "surprise", "length"]
+    schema = f"{kinds}, __lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, surprise double, length bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cell in batch.column("counts"):
-                total += np.frombuffer(cell.as_py(), "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["lang", "block", "counts"])
+            stats, surprise, lengths = [], [], []
+            for lang, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = cell.as_py()
+                text = raw.decode("utf-8", "replace")
+                stats.append(text_statistics(raw))
+                lengths.append(len(text) + 1)
+                surprise.append(-sum(log_probability(keys, shared.value[lang]) for keys in take(text)) / lengths[-1])
+            columns = [pa.array(c, pa.int64()) for c in zip(*stats, strict=True)] if stats else [pa.array([], pa.int64())] * 5
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], batch.column(0), *columns, pa.array(surprise, pa.float64()), pa.array(lengths, pa.int64())], names=names)
+
+    rows = df.select(_language(lang_col).alias("__lang"), utf8(text_col).alias("__utf8"), *ids)
+    return rows.where(F.col("__lang").isin(part.languages)).mapInArrow(run, schema)
 
-    schema = "lang int, block int, counts binary"
-    parts = df.select(_language_number(F.col(lang_col), languages).alias("__lang"), utf8(text_col).alias("__utf8")).mapInArrow(count, schema)
-    counts: dict[int, np.ndarray] = {}
-    for row in parts.groupBy("lang", "block").applyInArrow(add, schema).collect():
-        table = counts.setdefault(row["lang"], np.zeros(_SYMBOLS**_ORDER, np.int64))
-        table[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(row["counts"], "<i8")
-    return counts
+
+def text_scores(df: DataFrame, model: DataFrame, symbols: str, id_col: str, text_col: str, lang_col: str, most_grams: int) -> DataFrame:
+    """Statistics and surprise (mean -log10 probability of a symbol) of every row's text.
+
+    A row is scored in the pass of its language's part. The texts of a language whose model has
+    several parts are written once with row numbers, by which their partial sums meet.
+    """
+    parts = parts_of(model, most_grams)
+    whole = [p for p in parts if p.low is None]
+    cut = sorted({p.languages[0] for p in parts if p.low is not None})
+    out = [_scored(df, p, model, symbols, id_col, text_col, lang_col) for p in whole]
+    if cut:
+        rows = df.where(_language(lang_col).isin(cut)).select(id_col, F.col(lang_col), F.col(text_col), F.monotonically_increasing_id().alias("__row"))
+        rows = Scratch(df.sparkSession, "rules").write(rows, "rows")
+        each = [_scored(rows, p, model, symbols, id_col, text_col, lang_col) for p in parts if p.low is not None]
+        sums = functools.reduce(DataFrame.unionByName, each).groupBy("__row")
+        firsts = [F.first(c).alias(c) for c in each[0].columns if c not in ("__row", "surprise")]
+        out.append(sums.agg(F.sum("surprise").alias("surprise"), *firsts).select(*[c for c in each[0].columns if c != "__row"]))
+    if not out:
+        return _scored(df, Part([]), model, symbols, id_col, text_col, lang_col)
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 def apply_rules(
@@ -219,7 +383,8 @@ def apply_rules(
     repeat_percent: int = 30,
     reach: float = 2.0,
     length_power: float = 0.4,
-    max_languages: int = 64,
+    symbols: str = "points",
+    most_grams: int = 4_000_000,
 ) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, perplexity, lang) for every row.
 
@@ -227,53 +392,27 @@ def apply_rules(
     cent of them in repeated windows, or a perplexity outside its language's band: its
     logarithm's distance from the language's median, times the text's length to the power
     `length_power` (a short text's perplexity scatters more), lies from the lower quartile less
-    `reach` quartile ranges to the upper one and as many more, over all rows of the language. Null and rare languages (beyond the
-    max_languages most frequent) share one model and band. Null and empty texts have no words
-    and fail. Every row gives one row; further columns are left out.
+    `reach` quartile ranges to the upper one and as many more, over all rows of the language.
+    Rows without a language share a model and a band. Null and empty texts have no words and
+    fail. Texts of any length are scored whole. Every row gives one row, repeated rows equal
+    ones; further columns are left out; an empty table gives an empty result.
     """
     spark = df.sparkSession
     ship(spark)
-    languages = languages_of(df, lang_col, max_languages)
-    models = {lang: KneserNey.train(table) for lang, table in gram_counts(df, languages, text_col, lang_col).items()}
-    shared = spark.sparkContext.broadcast(models)
-    kind = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, lang_number int, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, surprise double, length bigint"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, np.ndarray] = {}
-        for batch in batches:
-            stats, surprise, lengths = [], [], []
-            for lang, cell in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                text = cell.as_py()
-                stats.append(text_statistics(text))
-                if lang not in tables:
-                    if len(tables) >= 16:  # tables of 4 MB each
-                        tables.pop(next(iter(tables)))
-                    tables[lang] = shared.value[lang].log_probabilities()
-                table = tables[lang]
-                surprise.append(-sum(float(table[keys].sum(dtype=np.float64)) for keys in grams(text)) / (len(text) + 1))
-                lengths.append(len(text) + 1)
-            columns = [pa.array(c, pa.int64()) for c in zip(*stats, strict=True)] if stats else [pa.array([], pa.int64())] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(surprise, pa.float64()), pa.array(lengths, pa.int64())], names=[id_col, "lang_number", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "surprise", "length"])
-
-    scored = df.select(F.col(id_col), _language_number(F.col(lang_col), languages).alias("__lang"), utf8(text_col).alias("__utf8")).mapInArrow(run, schema)
-    scored = Scratch(spark, "rules").write(scored, "scored")
-    medians = {r["lang_number"]: r["q"] for r in scored.groupBy("lang_number").agg(F.percentile_approx("surprise", 0.5, 10_000).alias("q")).collect()}
-    centre = F.lit(0.0)
-    for number, median in sorted(medians.items()):
-        centre = F.when(F.col("lang_number") == number, F.lit(median)).otherwise(centre)
-    scored = scored.withColumn("off", (F.col("surprise") - centre) * F.pow(F.col("length").cast("double"), F.lit(length_power)))
-    bands = {r["lang_number"]: r["q"] for r in scored.groupBy("lang_number").agg(F.percentile_approx("off", [0.25, 0.75], 10_000).alias("q")).collect()}
-    inside = F.lit(False)
-    for number, (low, high) in sorted(bands.items()):
-        margin = reach * max(high - low, 1e-2)
-        inside = inside | ((F.col("lang_number") == number) & F.col("off").between(low - margin, high + margin))
+    scratch = Scratch(spark, "rules")
+    counts = scratch.write(gram_counts(df, symbols, text_col, lang_col), "counts")
+    model = scratch.write(kneser_ney(counts) if symbols == "points" else _class_model(counts), "model")
+    scored = scratch.write(text_scores(df, model, symbols, id_col, text_col, lang_col, most_grams), "scored")
+    medians = scored.groupBy("__lang").agg(F.percentile_approx("surprise", 0.5, 10_000).alias("__median"))
+    scored = scored.join(medians, "__lang").withColumn("__off", (F.col("surprise") - F.col("__median")) * F.pow(F.col("length").cast("double"), F.lit(length_power)))
+    bands = scored.groupBy("__lang").agg(F.percentile_approx("__off", [0.25, 0.75], 10_000).alias("__q"))
+    low, high = F.col("__q")[0], F.col("__q")[1]
+    margin = F.lit(reach) * F.greatest(high - low, F.lit(1e-2))
     failed = (F.col("n_words") < min_words) | (F.lit(100) * F.col("n_repeat_words") > F.lit(repeat_percent) * F.col("n_words"))
-    names = F.array(*[F.lit(x).cast("string") for x in [None, *languages]])
-    return scored.select(
+    return scored.join(bands, "__lang").select(
         id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
-        (~failed & inside).alias("kept"),
+        (~failed & F.col("__off").between(low - margin, high + margin)).alias("kept"),
         F.pow(F.lit(10.0), F.col("surprise")).alias("perplexity"),
-        F.get(names, F.col("lang_number")).alias("lang"),
+        F.when(F.col("__lang") != "", F.substring("__lang", 2, 1 << 30)).alias("lang"),
     )
