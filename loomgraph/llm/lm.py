@@ -214,8 +214,8 @@ def _hashes_from(raw: bytes) -> np.ndarray:
 def _questions(orders: tuple[int, ...], n_shards: int, n_groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                chunk = Chunk(row)
+            for i in range(batch.num_rows):  # one chunk at a time in memory
+                chunk = Chunk(batch.slice(i, 1).to_pylist()[0])
                 group = (chunk.id * 0x9E3779B97F4A7C15 >> 20) % n_groups
                 for order in orders:
                     hashes, retained, held = chunk.grams(order)
@@ -417,7 +417,7 @@ def score_texts(
     part: Column,
     id_col: str = "doc_id",
     text_col: str = "text",
-    chunk_bytes: int = 8_000_000,
+    chunk_bytes: int = 4_000_000,
     order: int = 2,
     chunks_at_once: int = 4096,
     most_shards: int = 1024,
