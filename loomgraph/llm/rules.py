@@ -381,18 +381,21 @@ def apply_rules(
     lang_col: str = "lang",
     min_words: int = 20,
     repeat_percent: int = 30,
-    reach: float = 2.0,
-    length_power: float = 0.4,
+    word_reach: float = 2.0,
+    symbol_reach: float = 3.0,
+    length_power: float = 0.5,
     symbols: str = "points",
     most_grams: int = 4_000_000,
 ) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, perplexity, lang) for every row.
 
     A row is kept unless its text has fewer than min_words words, more than repeat_percent per
-    cent of them in repeated windows, or a perplexity outside its language's band: its
-    logarithm's distance from the language's median, times the text's length to the power
-    `length_power` (a short text's perplexity scatters more), lies from the lower quartile less
-    `reach` quartile ranges to the upper one and as many more, over all rows of the language.
+    cent of them in repeated windows, or a perplexity, for each word or for each symbol, outside
+    its language's band: its logarithm's distance from the language's median, times the number
+    of words or symbols to the power `length_power` (a short text's perplexity scatters more),
+    lies from the lower quartile less word_reach or symbol_reach quartile ranges to the upper
+    one and as many more. Medians and quartiles are those of all rows of the language that the
+    other rules keep. The column perplexity is that for each symbol.
     Rows without a language share a model and a band. Null and empty texts have no words and
     fail. Texts of any length are scored whole. Every row gives one row, repeated rows equal
     ones; further columns are left out; an empty table gives an empty result.
@@ -403,16 +406,23 @@ def apply_rules(
     counts = scratch.write(gram_counts(df, symbols, text_col, lang_col), "counts")
     model = scratch.write(kneser_ney(counts) if symbols == "points" else _class_model(counts), "model")
     scored = scratch.write(text_scores(df, model, symbols, id_col, text_col, lang_col, most_grams), "scored")
-    medians = scored.groupBy("__lang").agg(F.percentile_approx("surprise", 0.5, 10_000).alias("__median"))
-    scored = scored.join(medians, "__lang").withColumn("__off", (F.col("surprise") - F.col("__median")) * F.pow(F.col("length").cast("double"), F.lit(length_power)))
-    bands = scored.groupBy("__lang").agg(F.percentile_approx("__off", [0.25, 0.75], 10_000).alias("__q"))
-    low, high = F.col("__q")[0], F.col("__q")[1]
-    margin = F.lit(reach) * F.greatest(high - low, F.lit(1e-2))
     failed = (F.col("n_words") < min_words) | (F.lit(100) * F.col("n_repeat_words") > F.lit(repeat_percent) * F.col("n_words"))
+    scored = scored.withColumns({"base_failed": failed, "__s": F.col("surprise"), "__w": F.try_divide(F.col("surprise") * F.col("length"), F.col("n_words"))})
+    passed = lambda c: F.when(~F.col("base_failed"), F.col(c))
+    medians = scored.groupBy("__lang").agg(*[F.percentile_approx(passed(f"__{c}"), 0.5, 10_000).alias(f"__median_{c}") for c in "sw"])
+    spread = {"s": "length", "w": "n_words"}
+    off = {f"__off_{c}": (F.col(f"__{c}") - F.col(f"__median_{c}")) * F.pow(F.col(n).cast("double"), F.lit(length_power)) for c, n in spread.items()}
+    scored = scored.join(medians, "__lang").withColumns(off)
+    bands = scored.groupBy("__lang").agg(*[F.percentile_approx(passed(f"__off_{c}"), [0.25, 0.75], 10_000).alias(f"__q_{c}") for c in "sw"])
+    inside = F.lit(True)
+    for c, reach in (("s", symbol_reach), ("w", word_reach)):
+        low, high = F.col(f"__q_{c}")[0], F.col(f"__q_{c}")[1]
+        margin = F.lit(reach) * F.greatest(high - low, F.lit(1e-2))
+        inside = inside & F.col(f"__off_{c}").between(low - margin, high + margin)
     return scored.join(bands, "__lang").select(
         id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"),
-        (~failed & F.col("__off").between(low - margin, high + margin)).alias("kept"),
+        "base_failed",
+        (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"),
         F.pow(F.lit(10.0), F.col("surprise")).alias("perplexity"),
         F.when(F.col("__lang") != "", F.substring("__lang", 2, 1 << 30)).alias("lang"),
     )
