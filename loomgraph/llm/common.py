@@ -25,7 +25,7 @@ def parts_for(df: DataFrame, bytes_each: int) -> int:
     """Shuffle partitions: the session's number, more where the input calls for more."""
     spark = df.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(200_000, math.ceil(plan_bytes(df) / bytes_each)))
+    return max(least, math.ceil(plan_bytes(df) / bytes_each))
 
 
 def id_remainder(id_col: str, divisor: int) -> Column:

@@ -100,6 +100,9 @@ class Matcher:
         found = []
         for number, places in starts.items():
             key, pattern, errors = self.items[number]
+            if not errors:  # too short for an edit: only whole words count
+                size = len(pattern.item)
+                places = {p for p in places if (p == 0 or text[p - 1] == " ") and text[p + size : p + size + 1] in ("", " ")}
             best = (errors + 1, 0)
             ordered = sorted(places)
             i = 0
@@ -130,7 +133,9 @@ def contaminated(
     """(id, item, edits, item_chars, match_end) for each row of df and each item that it holds.
 
     Texts and items are compared as normalise() leaves them; match_end is a place in that form.
-    Items without a letter or digit (null and empty ones too) match nothing. Items are taken in
+    Items without a letter or digit (null and empty ones too) match nothing, and items too short
+    for an edit only match as whole words. Null and empty texts hold nothing; texts of any
+    length are searched whole. Items are taken in
     blocks of about block_chars characters, each broadcast and matched in a pass over df, so the
     broadcast is bounded however many items there are. A repeated row repeats its matches; an
     empty table on either side gives an empty result.

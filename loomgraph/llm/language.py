@@ -15,15 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import ship, utf8
+from loomgraph.llm.common import Scratch, ship, utf8
 
 #: Runs of letters (and of what Unicode counts as numeric but no digit).
 _LETTERS = re.compile(r"[^\W\d_]+")
 _LONGEST = 4
-_KNOWN_LENGTH = 40  # longer words back off; bounds the model's bytes
 
 
 def words_of(text: str) -> list[str]:
@@ -49,7 +48,7 @@ class Model:
             self.index.append({e: i for i, e in enumerate(entries)})
             c = np.array([[counts[order][e].get(lang, 0) for lang in languages] for e in entries], float).reshape(len(entries), len(languages))
             total = np.array([totals.get(order, {}).get(lang, 0) for lang in languages], float)
-            tables.append(np.log((c + 0.5) / (total + 0.5 * (len(entries) + 1))))
+            tables.append(np.log((c + 0.5) / (total + 0.5 * (len(entries) + 1))).astype(np.float32))
         self.tables = tables
 
     def unseen(self, word: str) -> np.ndarray:
@@ -64,27 +63,28 @@ class Model:
 class Scorer(dict):
     """Word to row of one table: known words for good, unseen ones as they come, up to a bound."""
 
-    def __init__(self, model: Model, most_unseen: int = 100_000):
+    def __init__(self, model: Model, most_unseen: int = 100_000, most_cells: int = 4_000_000):
         super().__init__(model.index[0])
         self.model, self.known = model, len(model.index[0])
-        self.rows = np.concatenate([model.tables[0], np.zeros((most_unseen, len(model.languages)))])
+        self.most = min(most_unseen, max(1, most_cells // max(1, len(model.languages))))
+        self.rows = np.concatenate([model.tables[0], np.zeros((self.most, len(model.languages)), np.float32)])
         self.next = self.known
 
     def __missing__(self, word: str) -> int:
         if self.next == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((len(self.rows) - self.known, self.rows.shape[1]))])
+            self.rows = np.concatenate([self.rows, np.zeros((len(self.rows) - self.known, self.rows.shape[1]), np.float32)])
         row = self.next
         self.rows[row] = self.model.unseen(word)
         self[word] = row
         self.next += 1
         return row
 
-    def trim(self, most: int = 150_000) -> None:
+    def trim(self) -> None:
         """Between texts: forget unseen words if they are too many."""
-        if self.next - self.known > most:
+        if self.next - self.known > self.most * 3 // 2:
             self.clear()
             self.update(self.model.index[0])
-            self.rows = self.rows[: self.known + 100_000]
+            self.rows = self.rows[: self.known + self.most]
             self.next = self.known
 
     def predict(self, text: str) -> tuple[str, float]:
@@ -96,7 +96,7 @@ class Scorer(dict):
         rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         total = np.zeros(len(self.model.languages))
         for i in range(0, len(rows), 1 << 16):
-            total += self.rows[rows[i : i + (1 << 16)]].sum(axis=0)
+            total += self.rows[rows[i : i + (1 << 16)]].sum(axis=0, dtype=np.float64)
         best = int(total.argmax())  # the first of equals, languages being sorted
         return self.model.languages[best], float(1.0 / np.exp(total - total[best]).sum())
 
@@ -133,33 +133,41 @@ def train(
     text_col: str = "text",
     lang_col: str = "lang",
     docs_each: int = 2_000,
-    max_languages: int = 400,
-    max_entries: int = 60_000,
+    most_entries: int = 200_000,
+    most_cells: int = 16_000_000,
+    longest_entry: int = 40,
 ) -> Model:
     """Fit on a bounded sample of labelled rows: about docs_each of each language, chosen by a hash of the id.
 
-    At most max_languages languages (the most frequent) and max_entries (entry, language)
-    counts of each order (the greatest) are kept, which bounds what is collected and broadcast.
+    Every language that occurs is learned. Of each order a language puts its most frequent
+    entries of up to longest_entry characters into the model (longer words are known by their
+    n-grams), all languages equally many: with L of them, most_entries / L, or most_cells / L^2
+    if that is less. An entry that any language puts there has its counts in all of them. The
+    model thus has at most most_cells numbers for each order, which bounds what is collected
+    and broadcast. Null texts and languages teach nothing; ties in frequency go to the smaller
+    entry.
     """
     ship(docs.sparkSession)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & learns)
-    sizes = labelled.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    rates = {r["lang"]: min(1.0, docs_each / r["count"]) for r in sizes}
+    rates = {r["lang"]: min(1.0, docs_each / r["count"]) for r in labelled.groupBy(F.col(lang_col).alias("lang")).count().collect()}
     if not rates:
         return Model([], {}, {})
-    rate = F.element_at(F.create_map(*[F.lit(x) for pair in rates.items() for x in pair]), F.col(lang_col))
+    each = max(1, min(most_entries, most_cells // len(rates)) // len(rates))
+    rate = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(rates.items()) for x in pair]), F.col(lang_col))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("language"), F.col(id_col)), 11).cast("double") / F.lit(float(2**53))
-    sample = labelled.where(F.col(lang_col).isin(list(rates)) & (draw < rate)).select(lang_col, F.col(text_col).alias("__text"))
-    counted = _counted(sample, lang_col).cache()
+    sample = labelled.where(draw < rate).select(lang_col, F.col(text_col).alias("__text"))
+    scratch = Scratch(docs.sparkSession, "language")
+    counted = scratch.write(_counted(sample, lang_col), "counts")
     totals: dict[int, dict[str, int]] = {}
     for r in counted.groupBy("order", "lang").agg(F.sum("n").alias("n")).collect():
         totals.setdefault(r["order"], {})[r["lang"]] = r["n"]
+    place = F.row_number().over(Window.partitionBy("order", "lang").orderBy(F.desc("n"), "entry"))
+    chosen = counted.where(F.length("entry") <= longest_entry).withColumn("place", place).where(F.col("place") <= each).select("order", "entry").distinct()
     counts: dict[int, dict[str, dict[str, int]]] = {}
-    for order in range(_LONGEST + 1):
-        short = F.length("entry") <= _KNOWN_LENGTH
-        for r in counted.where((F.col("order") == order) & short).orderBy(F.desc("n"), "entry", "lang").limit(max_entries).collect():
-            counts.setdefault(order, {}).setdefault(r["entry"], {})[r["lang"]] = r["n"]
-    counted.unpersist()
+    rows = counted.join(chosen, ["order", "entry"]).groupBy("order", "entry").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+    for r in rows.toLocalIterator(True):
+        counts.setdefault(r["order"], {})[r["entry"]] = r["by"]
+    scratch.drop()
     return Model(sorted(rates), counts, totals)
 
 

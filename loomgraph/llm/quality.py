@@ -135,18 +135,22 @@ def train(
     usable = usable.groupBy(F.col(id_col).alias("__id")).agg(F.avg(label_col).alias("__share"))
     rate = min(1.0, max_rows / max(1, usable.count()))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("quality"), "__id"), 11).cast("double") / F.lit(float(2**53))
-    chosen = usable.where(draw < F.lit(rate)).select("__id", (F.col("__share") >= 0.5).cast("int").alias("__label")).limit(2 * max_rows)
+    chosen = usable.where(draw < F.lit(rate)).orderBy(draw, "__id").limit(2 * max_rows).select("__id", (F.col("__share") >= 0.5).cast("int").alias("__label"))
     sample = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(id_col, text_col, "__label")
-    rows = sorted((r["x"], r["__label"]) for r in _statistics(sample, id_col, text_col, ["__label"]).limit(4 * max_rows).collect())
+    # An id that many rows share gives each different text once, so a group of copies teaches no more than one.
+    distinct = _statistics(sample.dropDuplicates([id_col, text_col]), id_col, text_col, ["__label"])
+    few = distinct.orderBy(F.xxhash64(id_col, "x"), id_col).limit(4 * max_rows)
+    rows = sorted((r["x"], r["__label"]) for r in few.collect())
     x = np.array([r[0] for r in rows], float).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([r[1] for r in rows], int))
 
 
-def score_quality(df: DataFrame, model: Discriminant, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` (default: the id) and score, the probability of class 1, for every row.
+def score_quality(df: DataFrame, model: Discriminant, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, out_col: str = "score") -> DataFrame:
+    """Columns `keep` (default: the id) and out_col, the probability of class 1, for every row.
 
-    Null texts count as empty; empty texts have a score like any other. No other column than
-    the text is an input.
+    Null texts count as empty; empty texts have a score like any other; texts of any length are
+    scored whole. No other column than the text is an input; ids may be null or repeat, and
+    repeated rows have equal scores. Name out_col apart from the columns kept.
     """
     ship(df.sparkSession)
     keep = keep or [id_col]
@@ -156,6 +160,6 @@ def score_quality(df: DataFrame, model: Discriminant, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([features(cell.as_py()) for cell in batch.column(0)], float).reshape(batch.num_rows, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(shared.value.score(x), pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(shared.value.score(x), pa.float64())], names=[*keep, out_col])
 
-    return df.select(utf8(text_col).alias("__utf8"), *keep).mapInArrow(run, f"{kept}, score double")
+    return df.select(utf8(text_col).alias("__utf8"), *keep).mapInArrow(run, f"{kept}, `{out_col}` double")

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Scratch
+from loomgraph.llm.common import Scratch, plan_bytes
 
 #: Rows of one identical (id, text) that one row of the slot table expands to at a time.
 _RUN = 4096
@@ -54,7 +54,7 @@ def shard_slots(
     n_shards: int = 16,
     id_col: str = "doc_id",
     text_col: str = "text",
-    buckets: int = 1024,
+    buckets: int | None = None,
 ) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) for every row of df.
 
@@ -63,8 +63,12 @@ def shard_slots(
     Rows equal in id, size and checksum are counted before the shuffle and expanded after it,
     so a repeated row makes no hot task; slots are ranks inside `buckets` hash ranges of each
     shard plus the ranges' offsets, a table of n_shards * buckets rows at most, which is the
-    proven bound of the one broadcast here. An empty table gives an empty result.
+    proven bound of the one broadcast here. By default there is a bucket for each 16 MB of the
+    input, 1024 at least and 65536 at most, so that a range is one task's work. Rows of equal key
+    share a shard and have consecutive slots; texts of any length are read whole. An empty
+    table gives an empty result.
     """
+    buckets = buckets or max(1024, min(65_536, plan_bytes(df) // (n_shards * 16_000_000)))
     key = record_key("__id", text_col)
     slim = df.select(F.col(id_col).alias("__id"), F.col(text_col)).select(
         "__id",

@@ -26,6 +26,8 @@ from loomgraph.operators.components import component_labels
 _BITS = 64
 #: Variants that a task sorts at once; beyond it, it splits their prefix.
 _AT_ONCE = 1 << 22
+#: Rows of one prefix beyond which it is made longer.
+_GROUP_ROWS = 1 << 20
 #: Shingles hashed at once, so that memory doesn't follow a text's length.
 _SHINGLES = 1 << 16
 
@@ -136,27 +138,42 @@ def links(distinct: DataFrame, count: int, radius: int = 4) -> DataFrame:
     """(a, b): links whose components are those of all pairs of `distinct` fp values within `radius` bits.
 
     count, the number of rows, sets the prefix's length: about 2 million variants for each
-    prefix, in blocks of a bounded number at once however many meet there.
+    prefix. Prefixes that more than _GROUP_ROWS rows share all the same are made longer, so a
+    task holds a bounded number of rows, and variants in blocks of a bounded number at once.
     """
     half = radius // 2
-    prefix = max(2, min(20, math.ceil(math.log2(max(count, 1) * _ball_size(_BITS, half) / (1 << 21)))))
+    prefix = max(2, min(_BITS - 8, math.ceil(math.log2(max(count, 1) * _ball_size(_BITS, half) / (1 << 21)))))
     bits = _BITS - prefix
-    flips = [int(m) for m in _masks(prefix, half)]
+    flips = _masks(prefix, half)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = np.array(flips, np.int64)
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False)
             for i in range(0, len(fp), 4096):
                 part = fp[i : i + 4096]
-                top = (part.view(np.uint64) >> np.uint64(bits)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array((top[:, None] ^ masks[None, :]).ravel().astype(np.int32)), pa.array(np.repeat(part, len(masks)))], names=["prefix", "fp"])
+                top = part.view(np.uint64) >> np.uint64(bits)
+                yield pa.RecordBatch.from_arrays([pa.array((top[:, None] ^ flips[None, :]).ravel().view(np.int64)), pa.array(np.repeat(part, len(flips)))], names=["prefix", "fp"])
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of crowded prefixes go to each longer prefix that the flips left to them reach."""
+        for batch in batches:
+            head, fp, more = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            away = np.bitwise_count((fp.view(np.uint64) >> np.uint64(bits)) ^ head.view(np.uint64))
+            for extra in np.unique(more).tolist():
+                for t in range(half + 1):
+                    own = np.flatnonzero((more == extra) & (away == t))
+                    masks = _masks(extra, half - t)
+                    for i in range(0, len(own), 4096):
+                        part = own[i : i + 4096]
+                        next_bits = (fp[part].view(np.uint64) >> np.uint64(bits - extra)) & np.uint64((1 << extra) - 1)
+                        longer = ((head[part].view(np.uint64) << np.uint64(extra))[:, None] | (next_bits[:, None] ^ masks[None, :])).ravel()
+                        yield pa.RecordBatch.from_arrays([pa.array(longer.view(np.int64)), pa.array(np.full(len(longer), extra, np.int32)), pa.array(np.repeat(fp[part], len(masks)))], names=["prefix", "more", "fp"])
 
     def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefix_value = np.uint64(key[0].as_py())
-        fp = np.unique(np.concatenate([b.column(1).to_numpy(zero_copy_only=False) for b in batches]).view(np.uint64))
-        away = np.bitwise_count((fp >> np.uint64(bits)) ^ prefix_value)
-        found = list(collisions([fp[away == t] for t in range(half + 1)], bits, half))
+        prefix_value, left = np.uint64(key[0].as_py()), bits - key[1].as_py()
+        fp = np.unique(np.concatenate([b.column(2).to_numpy(zero_copy_only=False) for b in batches]).view(np.uint64))
+        away = np.bitwise_count((fp >> np.uint64(left)) ^ prefix_value)
+        found = list(collisions([fp[away == t] for t in range(half + 1)], left, half))
         if not found:
             return
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -164,8 +181,12 @@ def links(distinct: DataFrame, count: int, radius: int = 4) -> DataFrame:
         a, b = _forest(a[near], b[near])
         yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    emitted = distinct.select("fp").mapInArrow(emit, "prefix int, fp bigint")
-    return emitted.groupBy("prefix").applyInArrow(meet, "a bigint, b bigint")
+    emitted = distinct.select("fp").mapInArrow(emit, "prefix bigint, fp bigint")
+    most = bits - 8  # bits that a prefix may still take
+    crowded = emitted.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > _GROUP_ROWS)
+    crowded = crowded.select("prefix", F.least(F.lit(most), F.ceil(F.log2(F.col("n") / F.lit(_GROUP_ROWS))).cast("int")).alias("more"))
+    placed = emitted.join(crowded, "prefix", "left").select("prefix", "fp", F.coalesce("more", F.lit(0)).alias("more"))
+    return placed.mapInArrow(extend, "prefix bigint, more int, fp bigint").groupBy("prefix", "more").applyInArrow(meet, "a bigint, b bigint")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
@@ -180,17 +201,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     scratch = Scratch(df.sparkSession, "simhash")
     prints = scratch.write(fingerprints(df, id_col, text_col, words), "prints")
-    labelled = _labelled(scratch, prints, F.min(id_col), radius)
-    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    components = labelled.join(least, "label").select("fp", "component_id")
+    components = _labelled(scratch, prints, F.min(id_col), radius).select("fp", F.col("label.least").alias("component_id"))
     return prints.join(components, "fp").select(F.col(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _labelled(scratch: Scratch, prints: DataFrame, least: Column, radius: int) -> DataFrame:
-    """(fp, least, label) for each distinct fingerprint: an aggregate of its rows, and its group."""
-    nodes = scratch.write(prints.groupBy("fp").agg(least.alias("least")), "nodes")
-    linked = component_labels(links(nodes, nodes.count(), radius))
-    return nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    """(fp, node, label) for each distinct fingerprint: an aggregate of its rows, and the least of its group.
+
+    Nodes are ordered by that aggregate (nulls last) and fingerprint, so the label that the
+    components' steps find is the group's least node itself, and no row needs the whole group.
+    """
+    node = F.struct(F.col("least").isNull().alias("none"), "least", "fp")
+    nodes = scratch.write(prints.groupBy("fp").agg(least.alias("least")).select("fp", node.alias("node")), "nodes")
+    found = scratch.write(links(nodes.select("fp"), nodes.count(), radius), "links", drop_shuffles=True)
+    for end in ("a", "b"):
+        found = found.join(nodes.select(F.col("fp").alias(end), F.col("node").alias(f"node_{end}")), end)
+    linked = component_labels(found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))).select(F.col("node.fp").alias("fp"), "label")
+    return nodes.join(linked, "fp", "left").select("fp", "node", F.coalesce("label", "node").alias("label"))
 
 
 def keep_one_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
@@ -204,8 +231,8 @@ def keep_one_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = df.select(row_key(id_col, text_col).alias("__key"), F.col(text_col).alias("__text"))
     prints = scratch.write(fingerprints(keyed, "__key", "__text", words), "prints")
     order = F.struct(F.col("__key.id").isNull().alias("last"), F.col("__key").alias("key"))
-    chosen = _labelled(scratch, prints, F.min(order), radius).groupBy("label").agg(F.min("least").alias("least"))
-    chosen = scratch.write(chosen.select(F.col("least.key").alias("__kept")), "chosen")
+    chosen = _labelled(scratch, prints, F.min(order), radius).where("label.fp = fp")
+    chosen = scratch.write(chosen.select(F.col("node.least.key").alias("__kept")), "chosen")
     rows = prints.join(chosen.hint("merge"), _same_row(F.col("__key"))).groupBy("__kept").agg(F.count(F.lit(1)).alias("__rows"))
     kept = scratch.write(rows, "kept")
     # Kept rows grow with the corpus, so they are never broadcast: texts move once, at every size alike.

@@ -12,7 +12,9 @@ last to the whole rest of the document.
 from __future__ import annotations
 
 import bisect
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,6 +44,15 @@ def load_tokenizer(vocabulary: str):
     return _LOADED[vocabulary]
 
 
+def splits_at_white_space(tokenizer) -> bool:
+    """Whether the stable boundary is proven for this tokenizer: byte-level pieces by the standard pattern of the
+    text as it is, and no added token that holds a letter before white space or takes white space with it."""
+    parts = json.loads(tokenizer.to_str())
+    pieces = parts.get("pre_tokenizer") or {}
+    plain = parts.get("normalizer") is None and pieces.get("type") == "ByteLevel" and pieces.get("use_regex", True) and not pieces.get("add_prefix_space")
+    return bool(plain) and not any(t.get("lstrip") or t.get("rstrip") or re.search(r"[^\W\d_]\s", t["content"]) for t in parts.get("added_tokens", []))
+
+
 class _Chunk:
     """One encoded chunk: where each of its tokens starts and ends in the document."""
 
@@ -99,7 +110,8 @@ def count_tokens(
 ) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for every row: UTF-8 bytes and tokens of the whole text.
 
-    Null and empty texts have 0 of both. No begin, end or added tokens, no truncation or
+    Texts longer than `window` are encoded in chunks if the tokenizer is one for which that is
+    proven (splits_at_white_space), else whole. Null and empty texts have 0 of both. No begin, end or added tokens, no truncation or
     padding; special strings inside a text are handled as the library does by default. Ids may
     be null or repeat; every row gives one row, and further columns are left out.
     """
@@ -108,6 +120,7 @@ def count_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load_tokenizer(vocabulary)
+        in_chunks = splits_at_white_space(tokenizer)
         for batch in batches:
             column = batch.column(1)
             sizes, counts = [0] * len(column), [0] * len(column)
@@ -123,7 +136,7 @@ def count_tokens(
                 raw = cell.as_py()
                 sizes[i] = len(raw)
                 text = raw.decode("utf-8", "replace")
-                if len(text) > window:
+                if in_chunks and len(text) > window:
                     counts[i] = count_by_chunks(tokenizer, text, window, overlap)
                     continue
                 group.append((i, text))
