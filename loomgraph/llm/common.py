@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.sources.scratch import Tables as Scratch
 from loomgraph.sources.shipping import ship
 
-__all__ = ["Scratch", "WORD", "id_remainder", "parts_for", "plan_bytes", "remainder_is", "row_key", "ship", "utf8", "word_count"]
+__all__ = ["Scratch", "WORD", "id_remainder", "parts_for", "plan_bytes", "release_memory", "remainder_is", "row_key", "ship", "utf8", "word_count"]
 
 #: A word in the contracts: a run of anything but the six ASCII white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,6 +30,15 @@ def parts_for(df: DataFrame, bytes_each: int) -> int:
     return max(least, math.ceil(plan_bytes(df) / bytes_each))
 
 
+def release_memory() -> None:
+    """In a worker, between large pieces of work: give freed memory back, which allocators keep otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def id_remainder(id_col: str, divisor: int) -> Column:
     """crc32 of the id's decimal text, modulo divisor; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(divisor)

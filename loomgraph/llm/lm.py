@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Scratch, parts_for, ship, utf8
+from loomgraph.llm.common import Scratch, parts_for, release_memory, ship, utf8
 
 _END, _BUCKETS = np.uint64(0x7E57ED0E0F0D0C0B), 28
 _PIECE_WORDS = 1 << 20  # longer texts are several pieces, so that no chunk follows a text's length
@@ -119,7 +119,7 @@ class Chunk:
         self.hashes = np.append(vocabulary, _END)
         self.events = sizes + lasts
         self.begins = np.cumsum(self.events) - self.events
-        self.word = np.full(int(self.events.sum()), self.end, np.int64)
+        self.word = np.full(int(self.events.sum()), self.end, np.int32)
         words = read("words", "<i4")
         if len(words):
             before = np.cumsum(sizes) - sizes
@@ -128,17 +128,17 @@ class Chunk:
         self.context = np.empty_like(self.word)
         self.context[1:] = self.word[:-1]
         self.context[self.begins] = np.where(first < 0, self.end + 1, first)
-        self.part = np.repeat(read("parts", "u1").astype(np.int64), self.events)
-        codes = self.context * self.width + self.word
+        self.part = np.repeat(read("parts", "u1"), self.events)
+        codes = self.context.astype(np.int64) * self.width + self.word
         # The pair before a piece that goes on with a text is asked for too, though it isn't counted here.
         piece = first >= 0
         ahead = np.where(second < 0, self.end + 1, second)[piece] * self.width + first[piece]
-        self.codes, place, self.retained, self.held = _distinct(np.append(codes, ahead), np.append(self.part, np.zeros(len(ahead), np.int64)))
+        self.codes, place, self.retained, self.held = _distinct(np.append(codes, ahead), np.append(self.part, np.zeros(len(ahead), np.uint8)))
         self.pair = place[: len(codes)]
         #: The place of the pair before each event among the distinct ones; one more at a text's start.
         self.before = np.empty_like(self.pair)
         self.before[1:] = self.pair[:-1]
-        starts = np.full(len(first), len(self.codes), np.int64)
+        starts = np.full(len(first), len(self.codes), np.int32)
         starts[piece] = place[len(codes) :]
         self.before[self.begins] = starts
 
@@ -158,7 +158,7 @@ class Chunk:
     @cached_property
     def triples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the distinct triples: place of the pair in front, word, hash, retained and held-out counts; the triple of each event."""
-        codes, place, retained, held = _distinct(self.before * self.width + self.word, self.part)
+        codes, place, retained, held = _distinct(self.before.astype(np.int64) * self.width + self.word, self.part)
         before, word = codes // self.width, codes % self.width
         return before, word, _pair_hash(np.append(self.pair_hashes, ~_END)[before], self.hashes[word]), retained, held, place
 
@@ -182,14 +182,18 @@ def _distinct(codes: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarr
     bits = int(len(codes)).bit_length()
     if int(codes.max()).bit_length() + bits > 63:
         order = np.argsort(codes, kind="stable")
-    else:
-        order = np.sort((codes << bits) | np.arange(len(codes))) & ((1 << bits) - 1)
-    code = codes[order]
+        code = codes[order]
+    else:  # sorting in place takes less memory than an index
+        code = codes << bits
+        code |= np.arange(len(codes))
+        code.sort()
+        order = (code & ((1 << bits) - 1)).astype(np.int32)
+        code >>= bits
     new = np.append(True, code[1:] != code[:-1])
-    place = np.empty(len(codes), np.int64)
-    place[order] = np.cumsum(new) - 1
-    n = int(new.sum())
-    return code[new], place, np.bincount(place[part == 1], minlength=n), np.bincount(place[part == 2], minlength=n)
+    place = np.empty(len(codes), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    code = code[new]
+    return code, place, *(np.bincount(place[part == k], minlength=len(code)).astype(np.int32) for k in (1, 2))
 
 
 _QUESTION = "grp int, gram int, shard int, chunk bigint, hashes binary, retained binary, held binary"
@@ -230,6 +234,8 @@ def _questions(orders: tuple[int, ...], n_shards: int, n_groups: int):
                         [pa.array([group] * n, pa.int32()), pa.array([order] * n, pa.int32()), pa.array(used, pa.int32()), pa.array([chunk.id] * n, pa.int64()), *columns],
                         names=["grp", "gram", "shard", "chunk", "hashes", "retained", "held"],
                     )
+                del chunk
+                release_memory()
 
     return run
 
@@ -260,6 +266,7 @@ def _answers(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> I
     """One group of chunks is all: its sums are the totals. A row of chunk -1 has the range's own sums of words."""
     gram, shard = key[1].as_py(), key[2].as_py()
     _, retained, held, place, asked = _asked([r for b in batches for r in b.to_pylist()])
+    release_memory()
     total = retained + held
     yield from _replies(gram, shard, total, retained, place, asked)
     if gram == 1:
@@ -417,7 +424,7 @@ def score_texts(
     part: Column,
     id_col: str = "doc_id",
     text_col: str = "text",
-    chunk_bytes: int = 4_000_000,
+    chunk_bytes: int = 3_000_000,
     order: int = 2,
     chunks_at_once: int = 4096,
     most_shards: int = 1024,
@@ -437,7 +444,7 @@ def score_texts(
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "lm")
-    n_shards = min(most_shards, parts_for(df, 8_000_000))
+    n_shards = min(most_shards, parts_for(df, 4_000_000))
     chunks = scratch.write(encode(df, part, id_col, text_col, chunk_bytes), "chunks")
     n_groups = max(1, -(-chunks.count() // chunks_at_once))
     answers, sums = ask(scratch, chunks, (1, 2), n_shards, n_groups)
@@ -493,6 +500,7 @@ def score_texts(
             ):
                 column.extend(values.tolist())
             out[0].extend(chunk.ids)
+        release_memory()
         kinds = (id_type, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=[id_col, "__row", "n_tokens", "n_known", "base_score", "score"])
 
