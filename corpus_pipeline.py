@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 from loomgraph.llm import decontamination, mixing, quality, sharding, simhash
 from loomgraph.llm.common import Scratch
 from loomgraph.llm.queries import ACCEPT, quality_model
+from loomgraph.sources.scratch import released
 
 
 def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
-    scored = quality.score_quality(docs, quality_model(spark, docs, sf_dir), keep=docs.columns)
-    return scored.where(F.col("score") >= ACCEPT).select(*docs.columns)
+    mark = "score"
+    while mark in docs.columns:  # documents may have a column of any name
+        mark = f"_{mark}"
+    scored = quality.score_quality(docs, quality_model(spark, docs, sf_dir), keep=docs.columns, out_col=mark)
+    return scored.where(F.col(mark) >= ACCEPT).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +61,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{k}")
+        with released(spark):  # what a stage writes on its way isn't read after it
+            docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            scratch.drop(f"stage-{k - 1}")
     return docs
