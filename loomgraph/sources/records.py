@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.sources.scratch import Tables
+
 ENTITY = T.StructType([T.StructField("name", T.StringType()), T.StructField("type", T.StringType())])
 TRIPLE = T.StructType(
     [
@@ -24,30 +26,40 @@ ABSTRACT = T.StructType([T.StructField(n, T.StringType()) for n in ("pmid", "tit
 ASSOCIATION = T.StructType([T.StructField(n, T.StringType()) for n in ("disease_id", "gene_symbol", "target_id")] + [T.StructField("score", T.DoubleType())])
 
 
+def _number(rows: DataFrame, blocks: list[str]) -> DataFrame:
+    """Written rows with (blocks, __at) as rows with seq: blocks in order, in each by __at, whose steps there are one."""
+    sizes = rows.groupBy(*blocks).agg(F.count(F.lit(1)).alias("__size"), F.min("__at").alias("__first"))
+    # One row for each block (a partition or a stretch of a file), so a window over all of them is small.
+    before = Window.orderBy(*blocks).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*blocks, (F.coalesce(F.sum("__size").over(before), F.lit(0)) - F.col("__first") + 1).alias("__offset"))
+    return rows.join(F.broadcast(offsets), blocks).withColumn("seq", F.col("__offset") + F.col("__at")).drop(*blocks, "__at", "__offset")
+
+
 def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """df with seq, the 1-based rank in the given total order.
+    """df with seq, the 1-based rank in the given total order; rows that tie in it are ranked as they come.
 
-    The rank is made of range partitions' sizes and ranks inside them: no single task sees all
-    rows, which row_number() without a partition would cause.
+    Rows are dealt to ranges of the order, sorted and given their place in their range in one
+    stage, whose result is written: sizes of ranges and places are thus of the same ranges. A
+    column named seq is replaced.
     """
     if not order:
         raise ValueError("a total order is needed")
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("__part", F.spark_partition_id())
-    inside = ranged.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = ranged.groupBy("__part").count()
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    return inside.join(offsets, "__part").withColumn("seq", F.col("__before") + F.col("__rank")).drop("__part", "__rank", "__before")
+    ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id()  # the partition's number, then the place in it
+    placed = ranged.withColumns({"__part": F.shiftrightunsigned(place, 33), "__at": place.bitwiseAND(F.lit((1 << 33) - 1))})
+    return _number(Tables(df.sparkSession, "numbered").write(placed, "placed"), ["__part"])
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, line): the lines of text files in file order, numbered from 1. Blank lines count but are left out.
+    """(seq, line): the lines of text files, numbered from 1 in the order of files' paths. Blank lines count but are left out.
 
-    Line numbers need the position of every row in its file, which only the RDD's
-    zipWithIndex gives without a sort: two jobs, no shuffle.
+    A task reads a stretch of a file from its start to its end, so lines are known by file,
+    stretch and place in it. They are written with these once, as another read might cut the
+    files elsewhere.
     """
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0]))
-    return spark.createDataFrame(rows, "seq bigint, line string").where(F.trim("line") != "")
+    source = spark.read.text(path).select(F.col("value").alias("line"), "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("__at"))
+    placed = Tables(spark, "lines").write(source, "placed")
+    return _number(placed, ["file_path", "file_block_start"]).select("seq", "line").where(F.trim("line") != "")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

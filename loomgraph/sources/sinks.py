@@ -56,30 +56,85 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def _staged(df: DataFrame, path: str, valid: Callable[[DataFrame], bool], least: int) -> bool:
+    """df written to a path of its own and checked there; what fails is deleted."""
+    df.write.parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    if written.count() >= least and valid(written):
+        return True
+    jpath, fs = _fs(df.sparkSession, path)
+    fs.delete(jpath, True)
+    return False
+
+
 def publish(df: DataFrame, path: str, valid: Callable[[DataFrame], bool] = lambda _: True, least: int = 0) -> bool:
     """Write beside the target, check what was written, and only then put it in the target's place.
 
-    Returns whether it was published; fewer than `least` rows are refused as well.
+    Returns whether it was published; fewer than `least` rows are refused as well. What stood
+    there before is kept until the new folder is in place, and put back if that fails. Between
+    the two renames the target is absent: where readers must never see that, use publish_version.
     """
     spark, staged = df.sparkSession, f"{path}.staged-{uuid.uuid4().hex}"
-    df.write.parquet(staged)
-    written = spark.read.schema(df.schema).parquet(staged)
-    if written.count() < least or not valid(written):
+    if not _staged(df, staged, valid, least):
         return False
     (source, fs), (target, _) = _fs(spark, staged), _fs(spark, path)
-    if fs.exists(target):
-        aside = _fs(spark, f"{path}.previous-{uuid.uuid4().hex}")[0]
-        fs.rename(target, aside)
-        done = fs.rename(source, target)
-        fs.delete(aside, True)
-        return done
-    return fs.rename(source, target)
-
-
-def upsert(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """current with the rows of changes put in for those of equal keys, the others added."""
-    kept = current.join(changes.select(*keys).distinct(), keys, "left_anti")
-    return kept.unionByName(changes, allowMissingColumns=True)
+    aside = _fs(spark, f"{path}.previous-{uuid.uuid4().hex}")[0]
+    had = fs.exists(target) and fs.rename(target, aside)
+    if fs.rename(source, target):
+        if had:
+            fs.delete(aside, True)
+        return True
+    if had and not fs.rename(aside, target):
+        raise OSError(f"{path} could not be replaced; its rows are in {aside}")
+    fs.delete(source, True)
+    return False
+
+
+_POINTER = "CURRENT"
+
+
+def publish_version(df: DataFrame, root: str, valid: Callable[[DataFrame], bool] = lambda _: True, least: int = 0) -> str | None:
+    """Publish df as a version under root; its name, or None where it was refused.
+
+    Readers follow a pointer file, which one rename replaces, so they see the old version or
+    the new one. Versions are never changed or deleted here.
+    """
+    spark, version = df.sparkSession, f"version-{uuid.uuid4().hex}"
+    if not _staged(df, f"{root}/{version}", valid, least):
+        return None
+    jvm = spark.sparkContext._jvm
+    (fresh, fs), (pointer, _) = _fs(spark, f"{root}/{_POINTER}-{version}"), _fs(spark, f"{root}/{_POINTER}")
+    stream = fs.create(fresh, True)
+    stream.write(bytearray(version.encode()))
+    stream.close()
+    option = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = option
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(fresh), fs.makeQualified(pointer), options)
+    return version
+
+
+def read_published(spark: SparkSession, root: str) -> DataFrame:
+    """The version of publish_version that readers should see."""
+    version = spark.read.option("wholetext", True).text(f"{root}/{_POINTER}").first()["value"]
+    return spark.read.parquet(f"{root}/{version}")
+
+
+def upsert(current: DataFrame, changes: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """current with the rows of changes put in for those of equal keys, the others added.
+
+    A null key equals a null key. Of changes that share a key the last by `order` counts, or
+    without one the greatest row, so every key has one row of changes.
+    """
+    rest = [c for c in changes.columns if c not in keys]
+    rank = F.struct(*[F.col(c) for c in ([order] if order else []) + sorted(rest)]) if rest or order else F.lit(0)
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("__row")).select(*keys, "__row.*") if rest else changes.distinct()
+    gone = last.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__{i}"))
+    kept = current.join(gone, same, "left_anti")
+    return kept.unionByName(last.select(*changes.columns), allowMissingColumns=True)
 
 
 def write_version(df: DataFrame, path: str, version: Column | str, key: str) -> None:
