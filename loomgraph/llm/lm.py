@@ -37,15 +37,19 @@ _LEAST_UNIFORM = 1e-5
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Unsigned counts, their bytes grouped by significance: high ones are nearly all zero and compress away."""
+    """Unsigned numbers, their bytes grouped by significance and compressed: high ones are nearly all zero."""
+    from zstandard import ZstdCompressor
+
     width = 4 if not len(values) or values.max() < 1 << 32 else 8
-    return np.ascontiguousarray(values.astype(f"<u{width}")).view(np.uint8).reshape(-1, width).T.tobytes()
+    planes = np.ascontiguousarray(values.astype(f"<u{width}")).view(np.uint8).reshape(-1, width).T
+    return bytes([width]) + ZstdCompressor(level=1).compress(planes.tobytes())
+
 
+def _from_planes(raw: bytes) -> np.ndarray:
+    from zstandard import ZstdDecompressor
 
-def _from_planes(raw: bytes, n: int) -> np.ndarray:
-    width = len(raw) // n if n else 4
-    planes = np.frombuffer(raw, np.uint8).reshape(width, n)
-    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
+    planes = np.frombuffer(ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{raw[0]}").ravel().astype(np.int64)
 
 
 def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -78,8 +82,15 @@ def encode(df: DataFrame, part: Column, id_col: str, text_col: str, chunk_bytes:
 
         def finish(id_type: pa.DataType) -> pa.RecordBatch:
             vocabulary = np.fromiter(map(xxh64_intdigest, state["numbers"]), np.uint64, len(state["numbers"]))
+            words = np.concatenate([np.zeros(0, np.int32), *state["words"]])
+            # The most frequent words get the smallest numbers, so that these compress well.
+            often = np.argsort(-np.bincount(words, minlength=len(vocabulary)), kind="stable")
+            rank = np.empty(len(vocabulary) + 1, np.int64)
+            rank[often], rank[-1] = np.arange(len(vocabulary)), -1
+            for name in ("firsts", "seconds"):
+                state[name] = rank[np.array(state[name], np.int64)]
             arrays = [np.array(state[n], t).tobytes() for n, t in (("rows", "<i8"), ("sizes", "<i4"), ("firsts", "<i4"), ("seconds", "<i4"), ("lasts", "u1"), ("parts", "u1"))]
-            words = np.concatenate([np.zeros(0, np.int32), *state["words"]]).astype("<i4").tobytes()
+            words, vocabulary = _planes(rank[words]), vocabulary[often]
             ids = pa.array([state["ids"]], pa.list_(id_type))
             return pa.RecordBatch.from_arrays([pa.array([task + next(chunks)]), ids, *(pa.array([b], pa.binary()) for b in (*arrays, words, vocabulary.tobytes()))], names=names)
 
@@ -120,7 +131,7 @@ class Chunk:
         self.events = sizes + lasts
         self.begins = np.cumsum(self.events) - self.events
         self.word = np.full(int(self.events.sum()), self.end, np.int32)
-        words = read("words", "<i4")
+        words = _from_planes(row["words"])
         if len(words):
             before = np.cumsum(sizes) - sizes
             self.word[np.arange(len(words)) + np.repeat(self.begins - before, sizes)] = words
@@ -197,7 +208,7 @@ def _distinct(codes: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 _QUESTION = "grp int, gram int, shard int, chunk bigint, hashes binary, retained binary, held binary"
-_ANSWER = "gram int, shard int, chunk bigint, total binary, retained binary"
+_ANSWER = "gram int, shard int, chunk bigint, total binary, held binary"
 
 
 def _cuts(ordered: np.ndarray, n_shards: int) -> np.ndarray:
@@ -208,11 +219,17 @@ def _cuts(ordered: np.ndarray, n_shards: int) -> np.ndarray:
 
 def _hash_planes(hashes: np.ndarray) -> bytes:
     """Sorted hashes, their bytes grouped by significance: the high ones hardly change and compress away."""
-    return np.ascontiguousarray(hashes.astype(">u8")).view(np.uint8).reshape(-1, 8).T.tobytes()
+    from zstandard import ZstdCompressor
+
+    planes = np.ascontiguousarray(hashes.astype(">u8")).view(np.uint8).reshape(-1, 8).T
+    return ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _hashes_from(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
+    from zstandard import ZstdDecompressor
+
+    planes = np.frombuffer(ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(">u8").ravel().astype(np.uint64)
 
 
 def _questions(orders: tuple[int, ...], n_shards: int, n_groups: int):
@@ -244,7 +261,7 @@ def _asked(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     """Distinct hashes of the questions, their sums, each question's places among them, and (chunk, size) of each."""
     lists = [_hashes_from(r["hashes"]) for r in rows]
     distinct, place = np.unique(np.concatenate(lists), return_inverse=True)
-    retained, held = (np.bincount(place, np.concatenate([_from_planes(r[n], len(x)) for r, x in zip(rows, lists, strict=True)]), len(distinct)).astype(np.int64) for n in ("retained", "held"))
+    retained, held = (np.bincount(place, np.concatenate([_from_planes(r[n]) for r in rows]), len(distinct)).astype(np.int64) for n in ("retained", "held"))
     return distinct, retained, held, place, [(r["chunk"], len(x)) for r, x in zip(rows, lists, strict=True)]
 
 
@@ -257,9 +274,9 @@ def _replies(gram: int, shard: int, total: np.ndarray, retained: np.ndarray, pla
             own = place[at : at + size]
             at += size
             replies[0].append(_planes(total[own]))
-            replies[1].append(_planes(retained[own]))
+            replies[1].append(_planes(total[own] - retained[own]))  # nearly all zero
         columns = [pa.array([gram] * len(some), pa.int32()), pa.array([shard] * len(some), pa.int32()), pa.array([c for c, _ in some], pa.int64()), *(pa.array(r, pa.binary()) for r in replies)]
-        yield pa.RecordBatch.from_arrays(columns, names=["gram", "shard", "chunk", "total", "retained"])
+        yield pa.RecordBatch.from_arrays(columns, names=["gram", "shard", "chunk", "total", "held"])
 
 
 def _answers(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +288,7 @@ def _answers(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> I
     yield from _replies(gram, shard, total, retained, place, asked)
     if gram == 1:
         sums = np.array([total.sum(), retained.sum(), (total > 0).sum()], "<i8").tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([shard], pa.int32()), pa.array([-1], pa.int64()), pa.array([sums], pa.binary()), pa.array([b""], pa.binary())], names=["gram", "shard", "chunk", "total", "retained"])
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([shard], pa.int32()), pa.array([-1], pa.int64()), pa.array([sums], pa.binary()), pa.array([b""], pa.binary())], names=["gram", "shard", "chunk", "total", "held"])
 
 
 def _group_sums(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +308,7 @@ def _reply_from_sums(key: tuple[pa.Scalar, ...], questions: pa.Table, sums: pa.T
 
 
 def ask(scratch: Scratch, chunks: DataFrame, orders: tuple[int, ...], n_shards: int, n_groups: int) -> tuple[DataFrame, np.ndarray]:
-    """(gram, shard, chunk, total, retained): each chunk's counts of all its n-grams; and words in training texts, those retained, distinct ones."""
+    """(gram, shard, chunk, total, held): each chunk's counts of all its n-grams; and words in training texts, those retained, distinct ones."""
     name = "-".join(map(str, orders))
     questions = chunks.mapInArrow(_questions(orders, n_shards, n_groups), _QUESTION)
     if n_groups == 1:
@@ -318,8 +335,8 @@ def _collected(hashes: np.ndarray, answers: list[dict]) -> tuple[np.ndarray, np.
     out = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
     for row in rows:
         own = by_hash[at[row["shard"]] : at[row["shard"] + 1]]
-        for counts, name in zip(out, ("total", "retained"), strict=True):
-            counts[own] = _from_planes(row[name], len(own))
+        out[0][own] = _from_planes(row["total"])
+        out[1][own] = out[0][own] - _from_planes(row["held"])
     return out
 
 
@@ -424,7 +441,7 @@ def score_texts(
     part: Column,
     id_col: str = "doc_id",
     text_col: str = "text",
-    chunk_bytes: int = 3_000_000,
+    chunk_bytes: int = 4_000_000,
     order: int = 2,
     chunks_at_once: int = 4096,
     most_shards: int = 1024,

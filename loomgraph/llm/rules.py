@@ -250,10 +250,13 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     for order in range(_ORDER - 1, 0, -1):
         shorter = F.col("key").bitwiseAND(F.lit((1 << _POINTS * order) - 1))
         orders.append(orders[-1].groupBy("lang", shorter.alias("key")).agg(F.count(F.lit(1)).alias("n")))
+    # A row of discounts for each language: broadcast where their number has been seen to be small.
+    few = counts.select("lang").distinct().count() <= 100_000
     lower = None
     for order, table in enumerate(reversed(orders)):
         kept = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = table.join(_discounts(table), "lang").select("lang", "key", "n", kept.alias("d"), F.shiftrightunsigned("key", _POINTS).alias("context"))
+        discounts = _discounts(table)
+        rows = table.join(F.broadcast(discounts) if few else discounts, "lang").select("lang", "key", "n", kept.alias("d"), F.shiftrightunsigned("key", _POINTS).alias("context"))
         sums = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("off"), F.count(F.lit(1)).alias("kinds"))
         rows = rows.join(sums, ["lang", "context"]).select("lang", "key", ((F.col("n") - F.col("d")) / F.col("total")).alias("own"), (F.col("off") / F.col("total")).alias("weight"), "kinds")
         if lower is None:  # one context, the empty one: below it, all code points of the language are equally likely

@@ -115,10 +115,11 @@ def decoded(spark, texts, piece):
             row["words"] += [look(w) for w in some]
             for name, value in (("ids", i), ("rows", i), ("sizes", len(some)), ("firsts", look(words[at - 1]) if at else -1), ("seconds", look(words[at - 2]) if at > 1 else -1), ("lasts", at + piece >= len(words)), ("parts", 1)):
                 row[name].append(value)
-    kinds = {"rows": "<i8", "sizes": "<i4", "firsts": "<i4", "seconds": "<i4", "lasts": "u1", "parts": "u1", "words": "<i4"}
+    kinds = {"rows": "<i8", "sizes": "<i4", "firsts": "<i4", "seconds": "<i4", "lasts": "u1", "parts": "u1"}
     from xxhash import xxh64_intdigest
 
     row |= {n: np.array(row[n], k).tobytes() for n, k in kinds.items()}
+    row["words"] = lm._planes(np.array(row["words"], np.int64))
     row["vocabulary"] = np.array([xxh64_intdigest(w.encode()) for w in numbers], "<u8").tobytes()
     return lm.Chunk(row)
 
