@@ -90,3 +90,17 @@ def redact(text: Column, *secrets: str) -> Column:
         if secret:
             text = F.replace(text, F.lit(secret), F.lit("***"))
     return text
+
+
+def truncated(text: Column, characters: int = 3000) -> Column:
+    """The first characters of a text, for a prompt."""
+    return F.substring(F.coalesce(text, F.lit("")), 1, characters)
+
+
+def percent(share: Column) -> Column:
+    return F.when(share.isNotNull(), F.format_string("%.1f%%", share * 100)).otherwise(F.lit("not available"))
+
+
+def markdown_row(*cells: Column) -> Column:
+    """A row of a Markdown table; nulls are empty cells."""
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c.cast("string"), F.lit("")) for c in cells]), F.lit(" |"))

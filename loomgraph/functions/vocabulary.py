@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -81,6 +83,37 @@ def entity_type(raw: Column, vocabulary: Vocabulary = DEFAULT) -> Column:
     return F.when(text.isin(list(vocabulary.entity_types)), text).otherwise(F.coalesce(alias, F.lit("")))
 
 
+# What a graph database takes as a label, and what stands for one that it wouldn't.
+LABEL_TOKEN, UNKNOWN_LABEL, DEFAULT_RELATIONSHIP = "^[A-Za-z_][A-Za-z0-9_]*$", "Unknown", "ASSOCIATED_WITH"
+
+
+def label(raw: Column, vocabulary: Vocabulary = DEFAULT) -> Column:
+    """An entity type as a graph label."""
+    named = entity_type(raw, vocabulary)
+    return F.when(named.rlike(LABEL_TOKEN), named).otherwise(F.lit(UNKNOWN_LABEL))
+
+
+def relationship(raw: Column, vocabulary: Vocabulary = DEFAULT) -> Column:
+    """A relation as a graph relationship's type."""
+    named = relation(raw, vocabulary)
+    return F.when(named.rlike(LABEL_TOKEN), named).otherwise(F.lit(DEFAULT_RELATIONSHIP))
+
+
+def load(text: str) -> Vocabulary:
+    """A vocabulary from its JSON document: entity_types, relations {name: {polarity}}, aliases, listed and conflicting relations."""
+    parts = json.loads(text)
+    polarity = {name: (of or {}).get("polarity", "unknown") for name, of in parts.get("relations", {}).items()}
+    for sign in ("positive", "negative"):
+        polarity |= {name: sign for name in parts.get(f"{sign}_relations", ())}
+    return Vocabulary(
+        tuple(parts.get("entity_types", ())),
+        polarity,
+        {re.sub("[^A-Z0-9]+", "_", k.upper()).strip("_"): v for k, v in parts.get("relation_aliases", {}).items()},
+        {k.strip().lower(): v for k, v in parts.get("entity_type_aliases", {}).items()},
+        tuple((a, b) for a, b in parts.get("conflict_relation_pairs", ())),
+    )
+
+
 def polarity(name: Column, vocabulary: Vocabulary = DEFAULT) -> Column:
     return F.coalesce(lookup(vocabulary.polarity, name), F.lit("unknown"))
 

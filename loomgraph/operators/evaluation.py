@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import scoring
 from loomgraph.functions.fuzzy import fuzzy_pairs
+from loomgraph.functions.spans import SENTENCE_GAP
+from loomgraph.functions.vocabulary import lookup
 
 LABELS = ("2", "1", "0", "U")
 CHECKS = ("entity_1_correct", "entity_2_correct", "relation_correct", "direction_correct", "evidence_span_correct")
@@ -94,6 +96,58 @@ def support_statistics(df: DataFrame, group: str, label: str = "support_label",
     )
 
 
+def error_histogram(df: DataFrame, group: str, error: str = "error_type") -> DataFrame:
+    """(group, error_type, n): errors that reviewers recorded."""
+    named = F.coalesce(F.nullif(F.trim(F.col(error)), F.lit("")), F.lit("not_recorded"))
+    return df.groupBy(F.col(group), named.alias("error_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# How reviewers write the label of a span, in two languages.
+SPAN_LABELS = {"yes": "yes", "no": "no", "unclear": "unclear", "合格": "yes", "不合格": "no", "无法判断": "unclear"}
+
+
+def span_label(raw: Column) -> Column:
+    """A reviewer's span label as yes, no or unclear; null for anything else."""
+    return lookup(SPAN_LABELS, F.trim(F.coalesce(raw, F.lit(""))))
+
+
+def decision_accepted(decision: Column, title: Column, abstract: Column) -> Column:
+    """Whether a model's decision is accepted, from struct<support, entity_types_correct, direction_correct,
+    conditions_preserved: boolean, missing_conditions: array, source_field, evidence_quote>.
+
+    Fails closed: a null, an open condition or a quote that isn't whole sentences of the named
+    field is a refusal. A mark takes the place of each gap between sentences, in text and quote
+    alike, so a quote of whole sentences is one that stands between marks.
+    """
+    quote = F.trim(decision["evidence_quote"])
+    gap, mark = rf"(?:{SENTENCE_GAP})\s*", "\u0001"
+
+    def marked(text: Column) -> Column:
+        return F.concat(F.lit(mark), F.regexp_replace(F.trim(text), gap, f"$1{mark}"), F.lit(mark))
+
+    whole = F.when(decision["source_field"] == "title", quote == F.trim(title)).when(decision["source_field"] == "abstract", F.contains(marked(abstract), marked(quote)))
+    says = decision["entity_types_correct"] & decision["direction_correct"] & decision["conditions_preserved"] & (F.size(decision["missing_conditions"]) == 0)
+    return F.coalesce((decision["support"] == "direct") & says & (quote != "") & whole, F.lit(False))
+
+
+def candidate_gates(candidates: DataFrame, screens: DataFrame, decisions: DataFrame, key: str = "candidate_id") -> DataFrame:
+    """Candidates with their gates: evidence (eligible), context (candidate) of screens, model (accepted) of decisions, and both.
+
+    A candidate without a screen or a decision doesn't pass the gates that need it.
+    """
+    joined = candidates.join(screens.select(key, "eligible", "candidate"), key, "left").join(decisions.select(key, "accepted"), key, "left")
+    no = {c: F.coalesce(c, F.lit(False)) for c in ("eligible", "candidate", "accepted")}
+    return joined.withColumns({"all_predictions": F.lit(True), "previous_evidence_triage": no["eligible"], "context_type_screen": no["candidate"], "model_direct_screen": no["accepted"], "combined_screen": no["accepted"] & no["eligible"]}).drop(*no)
+
+
+def novelty_in_order(found: DataFrame) -> DataFrame:
+    """novelty()'s rows with a rank, most mentions first; ties by gene, relation and context."""
+    from loomgraph.sources.records import numbered
+
+    keyed = found.withColumn("__less", F.negate("Number_of_Mentions"))
+    return numbered(keyed, "__less", "Novel_Gene", "Relation_Type", "Context_Entity").withColumnRenamed("seq", "rank").drop("__less")
+
+
 def gate_confusion(df: DataFrame, gates: dict[str, Column], group: str, split: str, span: str = "span_label", label: str = "support_label") -> DataFrame:
     """Confusion counts and rates of each gate by group, over all rows (`all`) and by split, in one aggregation."""
     out = F.array(*[F.struct(F.lit(name).alias("gate"), F.coalesce(passed, F.lit(False)).alias("keep")) for name, passed in gates.items()])
@@ -190,6 +244,12 @@ def review_summary(df: DataFrame) -> DataFrame:
     )
 
 
+def review_agreement(df: DataFrame) -> DataFrame:
+    """One row: pairs of independent reviews, raw agreement and kappa of the labels as entered, before any adjudication."""
+    pairs = review_issues(df).where(F.col("second_valid") & F.trim("support_label").isin(list(LABELS)))
+    return cohen_kappa(pairs.select(F.trim("support_label").alias("a"), F.trim("second_support_label").alias("b")), "a", "b")
+
+
 def graded_accuracy(df: DataFrame, score: str, group: str) -> DataFrame:
     """(group, n, strict, lenient, mean) of grades 0, 1, 2; what isn't a whole number is left out."""
     grade = F.col(score).cast("string").try_cast("int")

@@ -13,7 +13,8 @@ PAIR = ("name_1", "type_1", "name_2", "type_2")
 
 
 def flat(df: DataFrame) -> DataFrame:
-    """Records with their signature as five plain columns, and only what fusing needs."""
+    """Records with their signature as five plain columns, and only what fusing needs; valid, where df has problems."""
+    valid = [(F.size(F.array_remove("problems", "evidence_text_empty")) == 0).alias("valid")] if "problems" in df.columns else []
     return df.select(
         F.col("entity_1.name").alias("name_1"),
         F.col("entity_1.type").alias("type_1"),
@@ -24,6 +25,7 @@ def flat(df: DataFrame) -> DataFrame:
         "extracted_by",
         "computed_confidence",
         "seq",
+        *valid,
     )
 
 
@@ -41,9 +43,10 @@ def fuse(records: DataFrame, vocab: Vocabulary = DEFAULT, digits: int = 3) -> Da
         F.max("computed_confidence").alias("__max"),
         F.avg("computed_confidence").alias("__mean"),
         F.min("seq").alias("first_seq"),
+        (F.bool_and("valid") if "valid" in records.columns else F.bool_and(F.lit(True))).alias("__valid"),
     )
-    value = scoring.fused_score(F.col("__max"), F.col("__mean"), F.size("pmids"), F.size("engines"), F.lit(True), digits)
-    return grouped.withColumns({"computed_confidence": value, "relation_polarity": vocabulary.polarity(F.col("relation"), vocab)}).drop("__max", "__mean")
+    value = scoring.fused_score(F.col("__max"), F.col("__mean"), F.size("pmids"), F.size("engines"), F.col("__valid"), digits)
+    return grouped.withColumns({"computed_confidence": value, "relation_polarity": vocabulary.polarity(F.col("relation"), vocab)}).drop("__max", "__mean", "__valid")
 
 
 def in_order(edges: DataFrame) -> DataFrame:

@@ -30,6 +30,15 @@ def _missing(text: Column) -> Column:
     return F.coalesce(F.trim(text), F.lit("")) == ""
 
 
+def evidence_of(df: DataFrame) -> Column:
+    """The first text that isn't empty of evidence_text, evidence_sentence and evidence.text, as far as df has them."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    texts = [F.col(c).cast("string") for c in ("evidence_text", "evidence_sentence") if c in kinds]
+    if "evidence" in kinds and "text" in getattr(kinds["evidence"], "names", ()):
+        texts.append(F.col("evidence.text").cast("string"))
+    return F.coalesce(*[F.nullif(t, F.lit("")) for t in texts], F.lit(""))
+
+
 def normalize(df: DataFrame, vocab: Vocabulary = DEFAULT, require_evidence: bool = True) -> DataFrame:
     """df with normalised fields and `problems`, an array of codes; nothing is dropped.
 
@@ -42,7 +51,7 @@ def normalize(df: DataFrame, vocab: Vocabulary = DEFAULT, require_evidence: bool
             "source_pmid": F.trim(F.coalesce(F.col("source_pmid").cast("string"), F.lit(""))),
             "relation_original": F.when(F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(vocab.relation_aliases.items()) for x in kv]), key).isNotNull(), key),
             "relation": vocabulary.relation(F.col("relation"), vocab),
-            "evidence_text": squeeze(F.col("evidence_text")),
+            "evidence_text": squeeze(evidence_of(df)),
             "__has_1": F.col("entity_1").isNotNull(),
             "__has_2": F.col("entity_2").isNotNull(),
         }
@@ -64,9 +73,14 @@ def normalize(df: DataFrame, vocab: Vocabulary = DEFAULT, require_evidence: bool
     return out.withColumn("problems", F.array_compact(F.array(*problems))).drop("__has_1", "__has_2")
 
 
-def score(df: DataFrame, digits: int = 3, own: tuple[str, ...] = ("llm_confidence",)) -> DataFrame:
-    """df with computed_confidence, from normalised records with problems."""
-    value = scoring.raw_score(scoring.self_score(*[F.col(c) for c in own]), F.col("extracted_by"), ~_missing(F.col("evidence_text")), F.size("problems"), digits)
+#: Where a record may state its own confidence, by precedence.
+OWN_SCORES = ("llm_confidence", "confidence", "self_confidence", "confidence_score")
+
+
+def score(df: DataFrame, digits: int = 3, own: tuple[str, ...] = OWN_SCORES) -> DataFrame:
+    """df with computed_confidence, from normalised records with problems; of `own`, the columns that df has count."""
+    stated = [F.col(c) for c in own if c in df.columns] or [F.lit(None).cast("string")]
+    value = scoring.raw_score(scoring.self_score(*stated), F.col("extracted_by"), ~_missing(F.col("evidence_text")), F.size("problems"), digits)
     return df.withColumn("computed_confidence", value)
 
 
@@ -74,6 +88,21 @@ def normalize_and_score(df: DataFrame, vocab: Vocabulary = DEFAULT, require_evid
     return score(normalize(df, vocab, require_evidence), digits)
 
 
+def nested(df: DataFrame) -> DataFrame:
+    """Flat review rows as records."""
+    ends = {e: F.struct(F.col(f"{e}_name").alias("name"), F.col(f"{e}_type").alias("type")) for e in ("entity_1", "entity_2")}
+    return df.select("source_pmid", "evidence_text", "relation", *[x.alias(e) for e, x in ends.items()])
+
+
+def id_batches(df: DataFrame, key: str, size: int = 200) -> DataFrame:
+    """(batch, ids): distinct ids in order, joined by commas, `size` to a request."""
+    from loomgraph.sources.records import numbered
+
+    rows = numbered(df.select(key).where(F.col(key).isNotNull()).distinct(), key)
+    listed = rows.groupBy(F.floor((F.col("seq") - 1) / size).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("seq", F.col(key).cast("string").alias("id")))).alias("x"))
+    return listed.select("batch", F.array_join("x.id", ",").alias("ids"))
+
+
 def accepted(df: DataFrame) -> DataFrame:
     return df.where(F.size("problems") == 0).drop("problems")
 

@@ -16,8 +16,10 @@ TRIPLE = T.StructType(
         T.StructField("relation", T.StringType()),
         T.StructField("entity_2", ENTITY),
         T.StructField("evidence_text", T.StringType()),
+        T.StructField("evidence_sentence", T.StringType()),
+        T.StructField("evidence", T.StructType([T.StructField("text", T.StringType())])),
         T.StructField("assertion_context", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("llm_confidence", T.StringType()),
+        *[T.StructField(c, T.StringType()) for c in ("llm_confidence", "confidence", "self_confidence", "confidence_score")],
         T.StructField("extracted_by", T.StringType()),
         T.StructField("computed_confidence", T.DoubleType()),
     ]
@@ -93,6 +95,17 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*[c.lstrip("﻿") for c in df.columns])
 
 
+def read_settings(path: str, known: dict[str, str] | None = None) -> dict[str, str]:
+    """key=value lines of a settings file, quotes around values and comments left out; what is known already stays."""
+    out = dict(known or {})
+    with open(path, encoding="utf-8") as lines:
+        for line in map(str.strip, lines):
+            key, sign, value = line.partition("=")
+            if sign and not line.startswith("#"):
+                out.setdefault(key.strip(), value.strip().strip("\"'"))
+    return out
+
+
 def slice_rows(df: DataFrame, offset: int, limit: int = -1) -> DataFrame:
     """Rows offset + 1 to offset + limit by seq; all from offset on for a negative limit."""
     picked = df.where(F.col("seq") > offset)

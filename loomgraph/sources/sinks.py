@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -24,6 +25,17 @@ def write_jsonl(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode("overwrite" if overwrite else "errorifexists").json(path)
 
 
+def write_report(rows: DataFrame, path: str, most: int = 10_000) -> None:
+    """A small table as one indented JSON document, written whole in the driver; refused beyond `most` rows."""
+    found = [r.asDict(True) for r in rows.limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows are no report")
+    jpath, fs = _fs(rows.sparkSession, path)
+    stream = fs.create(jpath, False)
+    stream.write(bytearray(json.dumps(found, ensure_ascii=False, indent=2, default=str).encode()))
+    stream.close()
+
+
 def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:
     flat = df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in df.dtypes])
     flat.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).csv(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import re
 import zipfile
@@ -12,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from loomgraph.sources.scratch import Tables
+
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
@@ -113,3 +116,18 @@ def paged(spark: SparkSession, fetch: Callable[[int, int], list[tuple]], columns
     source = type("Pages", (PagedSource,), {"client": staticmethod(fetch), "columns": columns})
     spark.dataSource.register(source)
     return spark.read.format("loomgraph_pages").option("pages", pages).option("page_size", page_size).option("retries", retries).load()
+
+
+def all_pages(spark: SparkSession, fetch: Callable[[int, int], list[tuple]], columns: str, page_size: int = 1000, at_once: int = 8, retries: int = 5) -> DataFrame:
+    """A DataFrame of a client's pages up to the first that isn't full. Pages are fetched at_once together and written, so none is fetched twice."""
+    tables, out, first = Tables(spark, "pages"), None, 0
+    while True:
+        wave = tables.write(paged(spark, functools.partial(_shifted, fetch, first), columns, at_once, page_size, retries), f"from-{first}")
+        out = wave if out is None else out.unionByName(wave)
+        first += at_once
+        if wave.count() < at_once * page_size:
+            return out
+
+
+def _shifted(fetch: Callable[[int, int], list[tuple]], first: int, page: int, size: int) -> list[tuple]:
+    return fetch(first + page, size)
