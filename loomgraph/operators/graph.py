@@ -69,11 +69,15 @@ def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return row.select("nodes", "edges", "pairs", "components", "largest", F.coalesce(F.lit(1.0) - scoring.ratio(F.col("largest"), F.col("nodes")), F.lit(0.0)).alias("outside_largest"), "self_loops")
 
 
+#: Rounds between two writes: a lost executor costs that many.
+_ROUNDS_AT_ONCE = 2
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most_rounds: int = 100) -> DataFrame:
     """(id, rank): weighted PageRank, parallel weights summed, dangling mass spread evenly.
 
-    Stops when the summed change is below nodes * tolerance. Contributions are pre-aggregated
-    by target, so a hub costs one row from each task.
+    Stops when the summed change of a round is below nodes * tolerance, looked at after every
+    other round. Contributions are pre-aggregated by target, so a hub costs one row from each task.
     """
     tables = Tables(nodes.sparkSession, "pagerank")
     ids = tables.write(nodes.select("id").distinct(), "ids")
@@ -84,27 +88,34 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, toleranc
     total = summed.groupBy("src").agg(F.sum("w").alias("out"))
     links = tables.write(summed.join(total, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")), "links")
     ranks = tables.write(ids.join(links.select(F.col("src").alias("id")).distinct().withColumn("__out", F.lit(True)), "id", "left").select("id", F.lit(1.0 / n).alias("rank"), F.col("__out").isNull().alias("dangling")), "ranks-0")
-    for k in range(1, most_rounds + 1):
-        lost = F.broadcast(ranks.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost")))  # one row
-        came = links.join(ranks, links["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("came"))
+
+    def round_of(before: DataFrame) -> DataFrame:
+        lost = F.broadcast(before.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost")))  # one row
+        came = links.join(before, links["src"] == before["id"]).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("came"))
         spread = F.lit((1.0 - damping) / n) + F.lit(damping / n) * F.col("lost") + F.lit(damping) * F.coalesce("came", F.lit(0.0))
-        new = ranks.join(came, ranks["id"] == came["dst"], "left").crossJoin(lost).select("id", F.col("rank").alias("old"), spread.alias("rank"), "dangling")
-        ranks, (change,) = tables.write_measured(new, f"ranks-{k}", F.sum(F.abs(F.col("rank") - F.col("old"))))
-        tables.drop(f"ranks-{k - 1}")
+        return before.join(came, before["id"] == came["dst"], "left").crossJoin(lost).select("id", F.col("rank").alias("old"), spread.alias("rank"), "dangling")
+
+    done = 0
+    while done < most_rounds:
+        some, new = min(_ROUNDS_AT_ONCE, most_rounds - done), ranks
+        for _ in range(some):
+            new = round_of(new)
+        done += some
+        ranks, (change,) = tables.write_measured(new, f"ranks-{done}", F.sum(F.abs(F.col("rank") - F.col("old"))))
+        tables.drop(f"ranks-{done - some}")
         if change < n * tolerance:
             break
     return ranks.select("id", "rank")
 
 
-def _louvain(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    """Communities of an undirected weighted graph by local moves and contraction; deterministic."""
+def _louvain(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, n: int, total: float) -> np.ndarray:
+    """Communities of an undirected weighted graph (both directions; total: twice the weight of all of it) by local moves and contraction; deterministic."""
     member = np.arange(n)
     while True:
         order = np.argsort(src, kind="stable")
         s, d, w = src[order], dst[order], weight[order]
         begins = np.searchsorted(s, np.arange(n + 1))
         strength = np.bincount(s, w, n)
-        total = strength.sum()
         if total <= 0:
             return member
         label, mass = np.arange(n), strength.copy()
@@ -131,48 +142,106 @@ def _louvain(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, n: int) -> np
         src, dst, weight = pair // n, pair % n, np.bincount(place, weight, len(pair))
 
 
+def _undirected(edges: DataFrame) -> DataFrame:
+    """(a, b, w) with a < b, parallel edges and both directions summed, self-loops left out."""
+    return edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("weight").alias("w"))
+
+
 def communities(nodes: DataFrame, edges: DataFrame, most_edges_in_task: int = 5_000_000) -> DataFrame:
     """(id, community): dense numbers from 0 by smallest member, of modularity communities.
 
-    Communities lie inside weak components. A component of up to most_edges_in_task edges is
-    one task's work (local moves and contraction until modularity stops growing); larger ones
-    are divided by label propagation, which needs no whole component in one place.
+    Nodes move to the neighbouring community that raises modularity most, communities become
+    nodes, and so on until nothing moves. Communities lie inside weak components. While a
+    component has more than most_edges_in_task edges all its nodes move by joins, in rounds,
+    and it is contracted; once it has no more, the rest of the same work is one task's. The
+    gain that decides a move is the same in both, that of the whole graph's modularity.
     """
+    tables = Tables(nodes.sparkSession, "communities")
     parts = weak_components(nodes, edges)
-    undirected = edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("weight").alias("w"))
-    placed = undirected.join(parts.withColumnRenamed("id", "a"), "a")
-    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    placed = placed.join(sizes, "component")
+    placed = _undirected(edges).join(parts.withColumnRenamed("id", "a"), "a").select("component", "a", "b", "w")
+    placed = tables.write(placed, "level-0")
+    whole = 2.0 * (placed.agg(F.sum("w")).first()[0] or 0.0)
     id_kind = dict(nodes.dtypes)["id"]
+    member = parts.select("id", F.col("id").alias("now"))
+
+    def sizes(level: DataFrame) -> DataFrame:
+        return level.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+
+    k, settled = 0, None
+    while True:
+        large = sizes(placed).where(F.col("size") > most_edges_in_task).select("component")
+        small = placed.join(large, "component", "left_anti")
+        settled = small if settled is None else settled.unionByName(small)
+        level = placed.join(large, "component", "left_semi")
+        if level.isEmpty():
+            break
+        moved = _moves(tables, level, whole, k)
+        kept = moved.where("id <> label")
+        if kept.isEmpty():  # nothing gains by moving: these are the communities
+            break
+        k += 1
+        member = member.join(moved, member["now"] == moved["id"], "left").select(member["id"], F.coalesce("label", "now").alias("now"))
+        member = tables.write(member, f"member-{k}")
+        for end in ("a", "b"):
+            level = level.join(moved.select(F.col("id").alias(end), F.col("label").alias(f"__{end}")), end).drop(end).withColumnRenamed(f"__{end}", end)
+        # A community's own weight stays with it as a loop, counted from both ends.
+        doubled = F.when(F.col("a") == F.col("b"), F.col("w") * F.when(F.col("loop"), 1).otherwise(2)).otherwise(F.col("w"))
+        level = level.withColumn("loop", F.lit(False)) if "loop" not in level.columns else level
+        placed = tables.write(level.select("component", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), doubled.alias("w")).groupBy("component", "a", "b").agg(F.sum("w").alias("w")).withColumn("loop", F.col("a") == F.col("b")), f"level-{k}")
+        settled = settled.withColumn("loop", F.lit(False)) if "loop" not in settled.columns else settled
 
     def divide(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, flat = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]), return_inverse=True)
         a, b, w = flat[: len(pdf)], flat[len(pdf) :], pdf["w"].to_numpy(float)
-        label = _louvain(np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w]), len(ids))
+        open_ = a != b  # a loop holds both directions already
+        label = _louvain(np.concatenate([a, b[open_]]), np.concatenate([b, a[open_]]), np.concatenate([w, w[open_]]), len(ids), whole)
         least = pd.Series(ids).groupby(label).min()
         return pd.DataFrame({"id": ids, "least": least.loc[label].to_numpy()})
 
-    small = placed.where(F.col("size") <= most_edges_in_task).groupBy("component").applyInPandas(divide, f"id {id_kind}, least {id_kind}")
-    large = placed.where(F.col("size") > most_edges_in_task)
-    found = small.unionByName(label_propagation(large.select("a", "b", "w")))
-    every = parts.select("id").join(found, "id", "left").select("id", F.coalesce("least", "id").alias("least"))
-    numbers = numbered(every.select("least").distinct(), "least").select("least", (F.col("seq") - 1).alias("community"))
-    return every.join(numbers, "least").select("id", "community")
-
-
-def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(id, least) of weighted (a, b, w) edges: each node takes its neighbours' heaviest label, ties the smaller."""
-    both = edges.select(F.col("a").alias("id"), F.col("b").alias("other"), "w").unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("other"), "w"))
-    labels = both.select("id").distinct().withColumn("least", F.col("id"))
-    tables = None
-    for k in range(rounds):
-        if both.isEmpty():
+    found = settled.select("component", "a", "b", "w").groupBy("component").applyInPandas(divide, f"id {id_kind}, least {id_kind}")
+    every = member.join(found.withColumnRenamed("id", "now"), "now", "left").select("id", F.coalesce("least", "now").alias("group"))
+    every = tables.write(every, "every")
+    firsts = every.groupBy("group").agg(F.min("id").alias("least"))
+    numbers = numbered(firsts, "least").select("group", (F.col("seq") - 1).alias("community"))
+    return every.join(numbers, "group").select("id", "community")
+
+
+def _moves(tables: Tables, level: DataFrame, whole: float, k: int, most_rounds: int = 24) -> DataFrame:
+    """(id, label): communities after rounds of moves by joins, nodes at first alone.
+
+    In each round a pseudo-random half of the nodes may move, so that neighbours don't swap for
+    ever; the rounds end when hardly a node gains.
+    """
+    loops = level.columns.count("loop")
+    ends = level.where("a <> b") if loops else level
+    both = ends.select(F.col("a").alias("id"), F.col("b").alias("other"), "w").unionByName(ends.select(F.col("b").alias("id"), F.col("a").alias("other"), "w"))
+    both = tables.write(both, f"both-{k}")
+    own = level.where("a = b").select(F.col("a").alias("id"), "w")
+    strength = both.select("id", "w").unionByName(own).groupBy("id").agg(F.sum("w").alias("k"))
+    state = tables.write(strength.select("id", F.col("id").alias("label"), "k"), f"state-{k}-0")
+    n = state.count()
+    quiet = 0
+    for r in range(1, most_rounds + 1):
+        mass = state.groupBy("label").agg(F.sum("k").alias("mass"))
+        near = both.join(state.select(F.col("id").alias("other"), "label"), "other").groupBy("id", "label").agg(F.sum("w").alias("links"))
+        stay = state.select("id", "label", F.lit(0.0).alias("links"))
+        options = near.unionByName(stay).groupBy("id", "label").agg(F.sum("links").alias("links")).join(mass, "label")
+        rated = options.join(state.select("id", F.col("label").alias("here"), "k"), "id")
+        away = F.col("mass") - F.when(F.col("label") == F.col("here"), F.col("k")).otherwise(0.0)
+        rated = rated.withColumn("gain", F.col("links") - F.col("k") * away / F.lit(whole))
+        best = rated.groupBy("id", "here", "k").agg(F.min_by("label", F.struct(F.negate("gain"), F.col("label"))).alias("best"), F.max("gain").alias("gain"), F.max(F.when(F.col("label") == F.col("here"), F.col("gain"))).alias("stay"))
+        turn = F.pmod(F.xxhash64(F.lit(r), "id"), F.lit(2)) == 0
+        goes = turn & (F.col("gain") > F.col("stay") + 1e-12)
+        new = best.select("id", F.when(goes, F.col("best")).otherwise(F.col("here")).alias("label"), "k", goes.alias("moved"))
+        state, (moves,) = tables.write_measured(new, f"state-{k}-{r}", F.count_if("moved"))
+        tables.drop(f"state-{k}-{r - 1}")
+        state = state.drop("moved")
+        quiet = quiet + 1 if moves <= n / 1000 else 0
+        if quiet == 2:  # both halves have had their turn
             break
-        tables = tables or Tables(edges.sparkSession, "labels")
-        votes = both.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id", "least").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("id").agg(F.min_by("least", F.struct(F.negate("w"), F.col("least"))).alias("least"))
-        labels = tables.write(best, f"round-{k}")
-    return labels
+    # A label is the id of a node that may have left; the smallest member stands for the community.
+    firsts = state.groupBy("label").agg(F.min("id").alias("first"))
+    return tables.write(state.join(firsts, "label").select("id", F.col("first").alias("label")), f"moved-{k}")
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
