@@ -201,7 +201,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     scratch = Scratch(df.sparkSession, "simhash")
     prints = scratch.write(fingerprints(df, id_col, text_col, words), "prints")
-    components = _labelled(scratch, prints, F.min(id_col), radius).select("fp", F.col("label.least").alias("component_id"))
+    # Written, so that the join with all rows has two inputs and a fingerprint that many share can be split.
+    components = scratch.write(_labelled(scratch, prints, F.min(id_col), radius).select("fp", F.col("label.least").alias("component_id")), "components")
     return prints.join(components, "fp").select(F.col(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
