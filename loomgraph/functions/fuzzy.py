@@ -2,14 +2,80 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def longest_common(a: str, b: str) -> tuple[int, int, int]:
+    """(i, j, n): the longest a[i:i+n] that is b[j:j+n]; of equals the first in a, then in b.
+
+    By the suffix automaton of b, so in time linear in both, however often letters repeat.
+    """
+    step, link, length, first = [{}], [-1], [0], [-1]
+    last = 0
+    for at, c in enumerate(b):
+        new = len(step)
+        step.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        first.append(at)
+        p = last
+        while p >= 0 and c not in step[p]:
+            step[p][c] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][c]
+            if length[q] == length[p] + 1:
+                link[new] = q
+            else:
+                copy = len(step)
+                step.append(dict(step[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                first.append(first[q])
+                while p >= 0 and step[p].get(c) == q:
+                    step[p][c] = copy
+                    p = link[p]
+                link[q] = link[new] = copy
+        last = new
+    state, n, best = 0, 0, (0, 0, 0)
+    for at, c in enumerate(a):
+        while state and c not in step[state]:
+            state = link[state]
+            n = length[state]
+        if c in step[state]:
+            state = step[state][c]
+            n += 1
+        if n > best[2]:
+            best = (at + 1 - n, first[state] + 1 - n, n)
+    return best
+
+
+def sequence_similarity(a: str, b: str, least: float = 0.0) -> float:
+    """Ratcliff-Obershelp similarity without junk heuristics: twice the matched characters over all.
+
+    The longest common stretch matches, then the same on both sides of it. 0 as soon as `least`
+    is out of reach.
+    """
+    total = len(a) + len(b)
+    if not total:
+        return 1.0
+    matched, could, stack = 0, min(len(a), len(b)), [(a, b)]
+    while stack:
+        x, y = stack.pop()
+        i, j, n = longest_common(x, y)
+        matched += n
+        sides = [(x[:i], y[:j]), (x[i + n :], y[j + n :])] if n else []
+        sides = [s for s in sides if s[0] and s[1]]
+        could += n + sum(min(map(len, s)) for s in sides) - min(len(x), len(y))
+        if 2.0 * could / total < least:
+            return 0.0
+        stack += sides
+    return 2.0 * matched / total
+
+
 def _common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence, by bit-parallel rows."""
     places: dict[str, int] = {}
@@ -37,7 +103,7 @@ def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity, no junk heuristics."""
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([None if x is None or y is None else sequence_similarity(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def fuzzy_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: float = 85.0) -> DataFrame:

@@ -12,9 +12,14 @@ from pyspark.sql import types as T
 
 from loomgraph.functions.vocabulary import lookup
 
+#: Printable ASCII and the white space on which Java and Python agree.
+PLAIN = r"^[\t-\r -~]*$"
+
 # Official identifiers of exact gene symbols.
 NCBI = {"SMN1": "6606", "SMN2": "6607"}
 ENSEMBL = {"SMN1": "ENSG00000172062", "SMN2": "ENSG00000205571"}
+# Types that a qualifier parts, and how names state it.
+SUBTYPE, SHORT_SUBTYPE = r"\btype\s*([0-4]|iv|iii|ii|i)\b", r"^sma([0-4])$"
 QUALIFIED_TYPES = ("Disease", "Phenotype", "Variant")
 
 
@@ -29,8 +34,12 @@ def _beyond_ascii_form(names: pd.Series) -> pd.Series:
 
 
 def identity_form(name: Column, exact: bool = True) -> Column:
-    """NFC, squeezed, case-folded. exact=False: for names known to be ASCII, without the UDF."""
-    return F.coalesce(_beyond_ascii_form(name), F.lit("")) if exact else F.lower(squeeze(name))
+    """NFC, squeezed, case-folded. Plain ASCII names are native; exact=False: all are, so none goes to Python."""
+    plain = F.lower(squeeze(name))
+    if not exact:
+        return plain
+    easy = F.coalesce(name, F.lit("")).rlike(PLAIN)
+    return F.when(easy, plain).otherwise(F.coalesce(_beyond_ascii_form(F.when(~easy, name)), F.lit("")))
 
 
 def authority(kind: Column, name: Column, table: dict[str, str] = NCBI) -> Column:
@@ -40,9 +49,9 @@ def authority(kind: Column, name: Column, table: dict[str, str] = NCBI) -> Colum
 
 def subtype(name: Column) -> Column:
     """The number of a `type` qualifier, Roman or Arabic, or of `sma0` to `sma4`; null without one."""
-    found = F.nullif(F.regexp_extract(F.lower(name), r"\btype\s*([0-4]|iv|iii|ii|i)\b", 1), F.lit(""))
+    found = F.nullif(F.regexp_extract(F.lower(name), SUBTYPE, 1), F.lit(""))
     roman = lookup({"i": "1", "ii": "2", "iii": "3", "iv": "4"}, found)
-    short = F.nullif(F.regexp_extract(F.lower(name), r"^sma([0-4])$", 1), F.lit(""))
+    short = F.nullif(F.regexp_extract(F.lower(name), SHORT_SUBTYPE, 1), F.lit(""))
     return F.coalesce(roman, found, short)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import spans, text
-from loomgraph.functions.identity import squeeze
+from loomgraph.functions.identity import identity_form, squeeze
 
 SEGMENT = "struct<field:string,start:int,end:int,text:string>"
 SUGGESTION = "struct<field:string,start:int,end:int,text:string,similarity:double>"
@@ -70,60 +70,86 @@ def locate(records: DataFrame, suggest: bool = True) -> DataFrame:
     return easy.unionByName(hard)
 
 
-def _aliases(dictionary: DataFrame | None, spark) -> dict[str, dict[str, list[str]]]:
-    """type -> folded canonical -> aliases, and type -> folded alias -> the same list. The dictionary is a small vocabulary, checked."""
-    table: dict[str, dict[str, list[str]]] = {}
+def _with_aliases(records: DataFrame, dictionary: DataFrame | None) -> DataFrame:
+    """Records with a1 and a2, the names that the dictionary holds for the same entity, by joins.
+
+    An alias stands for all aliases of its canonical name. Names are compared as identity forms.
+    """
     if dictionary is None:
-        return table
-    rows = dictionary.select(F.lower("type").alias("t"), "alias", "canonical").limit(1_000_001).collect()
-    if len(rows) > 1_000_000:
-        raise ValueError("the dictionary is too large to send to every task")
-    groups: dict[tuple[str, str], list[str]] = {}
-    for r in rows:
-        groups.setdefault((r["t"], spans.fold(r["canonical"])), [r["canonical"]]).append(r["alias"])
-    for (kind, canonical), names in groups.items():
-        for name in [canonical, *map(spans.fold, names)]:
-            table.setdefault(kind, {}).setdefault(name, names)
-    return table
+        none = F.array().cast("array<string>")
+        return records.withColumns({"a1": none, "a2": none})
+    entries = dictionary.select(F.lower("type").alias("t"), "alias", "canonical", identity_form(F.col("canonical")).alias("c"))
+    groups = entries.groupBy("t", "c").agg(F.array_union(F.collect_set("canonical"), F.collect_set("alias")).alias("names"))
+    known = groups.select("t", "names", F.explode(F.array_union(F.array("c"), "names")).alias("name"))
+    known = known.groupBy("t", identity_form(F.col("name")).alias("n")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"))
+    out = records
+    for k in ("1", "2"):
+        side = known.select(F.col("t").alias("__t"), F.col("n").alias("__n"), F.col("names").alias(f"a{k}"))
+        form = identity_form(F.coalesce(F.col(f"entity_{k}.name"), F.lit("")))
+        out = out.withColumn("__form", form).join(side, (F.lower(F.col(f"entity_{k}.type")) == F.col("__t")) & (F.col("__form") == F.col("__n")), "left").drop("__t", "__n", "__form")
+    return out.withColumns({a: F.coalesce(a, F.array().cast("array<string>")) for a in ("a1", "a2")})
 
 
 def _over_rows(records: DataFrame, dictionary: DataFrame | None, fields: str, make) -> DataFrame:
-    aliases = _aliases(dictionary, records.sparkSession)
+    """make(row, entities, source) of each record with a source, in Arrow batches; `fields` without seq."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for r in batch.to_dict("records"):
-                source = {"title": r["title"] or "", "abstract": r["abstract"] or ""} if r["has_source"] else None
-                entities = []
-                for k in ("1", "2"):
-                    name, kind = r[f"n{k}"] or "", r[f"t{k}"] or ""
-                    entities.append((name, kind, aliases.get(kind.lower(), {}).get(spans.fold(name), [])))
+                source = {"title": r["title"] or "", "abstract": r["abstract"] or ""}
+                entities = [(r[f"n{k}"] or "", r[f"t{k}"] or "", list(r[f"a{k}"])) for k in ("1", "2")]
                 rows.append({"seq": r["seq"], **make(r, entities, source)})
             yield pd.DataFrame(rows, columns=["seq", *names])
 
     names = [f.split(" ")[0] for f in fields.split(", ")]
-    slim = records.select("seq", "relation", "evidence_text", "title", "abstract", "has_source", *[F.col(f"entity_{k}.{c}").alias(f"{c[0]}{k}") for k in ("1", "2") for c in ("name", "type")])
+    sourced = _with_aliases(records.where("has_source"), dictionary)
+    slim = sourced.select("seq", "relation", "evidence_text", "title", "abstract", "a1", "a2", *[F.col(f"entity_{k}.{c}").alias(f"{c[0]}{k}") for k in ("1", "2") for c in ("name", "type")])
     return slim.mapInPandas(run, f"seq bigint, {fields}")
 
 
+def _without_source(records: DataFrame, fields: str, **values: Column) -> DataFrame:
+    """The same columns for records without a source, natively: null but for `values`."""
+    kinds = [f.split(" ", 1) for f in fields.split(", ")]
+    return records.where(~F.col("has_source")).select("seq", *[values.get(n, F.lit(None)).cast(t).alias(n) for n, t in kinds])
+
+
 def validate(records: DataFrame, dictionary: DataFrame | None = None, suggest: bool = True) -> DataFrame:
-    """(seq, status, segments, suggestion, coverage, flags, traceable, eligible) of records joined with sources."""
+    """(seq, status, segments, suggestion, coverage, flags, traceable, eligible) of records joined with sources.
+
+    Aliases come by joins, and records without a source are decided natively; the others need
+    text that keeps its offsets while it is normalised, in Arrow batches.
+    """
     fields = f"status string, segments array<{SEGMENT}>, suggestion {SUGGESTION}, coverage array<boolean>, flags array<string>, traceable boolean, eligible boolean"
-    return _over_rows(records, dictionary, fields, lambda r, e, s: spans.validate(r["evidence_text"], [(n, a) for n, _, a in e], s, suggest))
+    found = _over_rows(records, dictionary, fields, lambda r, e, s: spans.validate(r["evidence_text"], [(n, a) for n, _, a in e], s, suggest))
+    no, missing = F.lit(False), F.lit("missing_source")
+    return found.unionByName(_without_source(records, fields, status=missing, segments=F.array(), coverage=F.array(no, no), flags=F.array(missing), traceable=no, eligible=no))
 
 
 def screen(records: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
-    """(seq, status, flags, contexts, candidate, review_status) of records joined with sources."""
+    """(seq, status, segments, flags, contexts, candidate, review_status) of records joined with sources."""
     context = "struct<field:string,start:int,end:int,text:string,scope_cues:array<string>>"
     fields = f"status string, segments array<{SEGMENT}>, flags array<string>, contexts array<{context}>, candidate boolean, review_status string"
     keys = ("status", "segments", "flags", "contexts", "candidate", "review_status")
 
     def make(r, entities, source):
         found = spans.screen(r["evidence_text"], r["relation"] or "", entities, source)
-        return {k: found.get(k, []) for k in keys}
+        return {k: found[k] for k in keys}
+
+    doubts = [F.when(type_doubt(k).isNotNull(), F.concat(F.lit(f"entity_{k}:"), type_doubt(k))) for k in ("1", "2")]
+    flags = F.array_sort(F.array_compact(F.array(F.lit("missing_source"), *doubts)))
+    alone = _without_source(records, fields, status=F.lit("missing_source"), segments=F.array(), flags=flags, contexts=F.array(), candidate=F.lit(False), review_status=F.lit("needs_review"))
+    return _over_rows(records, dictionary, fields, make).unionByName(alone)
+
+
+@F.pandas_udf("string")
+def _type_flag(name: pd.Series, kind: pd.Series) -> pd.Series:
+    return pd.Series([spans.type_flag(n or "", k or "") for n, k in zip(name, kind)], dtype=object)
+
 
-    return _over_rows(records, dictionary, fields, make)
+def type_doubt(n: str) -> Column:
+    """The first doubt about the type of entity_n, null without one."""
+    return _type_flag(F.col(f"entity_{n}.name"), F.col(f"entity_{n}.type"))
 
 
 def flag_histogram(screened: DataFrame) -> DataFrame:

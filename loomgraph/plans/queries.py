@@ -591,8 +591,9 @@ def _spread(df: DataFrame) -> DataFrame:
 
 @query()
 def locate_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = evidence.locate(_spread(views.quotes(spark, sf_dir)), suggest=False)
-    return found.select("seq", "location.status", F.size("location.segments").alias("segments"), F.get("location.segments", F.lit(0))["start"].alias("start"))
+    found = evidence.locate(_spread(views.quotes(spark, sf_dir)))
+    close = F.col("location.suggestion")
+    return found.select("seq", "location.status", F.size("location.segments").alias("segments"), F.get("location.segments", F.lit(0))["start"].alias("start"), F.bround(close["similarity"], 4).alias("similarity"), close["start"].alias("suggested_start"))
 
 
 @query()
@@ -613,8 +614,8 @@ def fuzzy_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def evidence_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = evidence.validate(_spread(views.quotes(spark, sf_dir)), suggest=False)
-    return out.select("seq", "status", F.array_join("flags", ",").alias("flags"), "traceable", "eligible")
+    out = evidence.validate(_spread(views.quotes(spark, sf_dir)))
+    return out.select("seq", "status", F.array_join("flags", ",").alias("flags"), "traceable", "eligible", F.col("suggestion.start").alias("suggested_start"))
 
 
 @query()
