@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,18 +89,44 @@ def unit_vectors(df: DataFrame, vector: str) -> DataFrame:
     return doubles.withColumn("unit", F.transform("__v", lambda x: F.try_divide(x, F.col("__norm")))).drop("__v", "__norm")
 
 
-def best_neighbours(vectors: DataFrame, threshold: float, kind: str = "type", name: str = "name", vector: str = "vector") -> DataFrame:
+def best_neighbours(vectors: DataFrame, threshold: float, kind: str = "type", name: str = "name", vector: str = "vector", block: int = 2048) -> DataFrame:
     """(type, name, candidate, similarity): for each name the most similar other name of its type, from the threshold on.
 
-    Proposals for review, never merges. All names of a type meet, which is what the operator
-    means; types should be small. Beyond that, block names first and call this on the blocks.
+    Proposals for review, never merges; of equals the smallest candidate. The result is exact,
+    so all names of a type are compared: in blocks of names, each pair of blocks one product of
+    matrices in an Arrow batch that gives one row for each name, so no pair of names is ever a
+    row and a large type is many tasks. A zero vector is similar to nothing.
     """
-    left = unit_vectors(vectors.select(F.col(kind).alias("type"), F.col(name).alias("name"), F.col(vector).alias("__vector")), "__vector").select("type", "name", F.col("unit").alias("v"))
-    right = left.select(F.col("type").alias("type2"), F.col("name").alias("candidate"), F.col("v").alias("w"))
-    pairs = left.join(right, (F.col("type") == F.col("type2")) & (F.col("name") != F.col("candidate")))
-    scored = pairs.select("type", "name", "candidate", _dot(F.col("v"), F.col("w")).alias("similarity")).where(F.col("similarity") >= threshold)
-    best = scored.groupBy("type", "name").agg(F.max_by(F.struct("candidate", "similarity"), F.struct("similarity", F.negate("candidate") if dict(scored.dtypes)["candidate"] in ("bigint", "int") else "candidate")).alias("best"))
-    return best.select("type", "name", "best.candidate", "best.similarity")
+    unit = unit_vectors(vectors.select(F.col(kind).alias("type"), F.col(name).alias("name"), F.col(vector).alias("__vector")), "__vector")
+    unit = unit.where(F.get("unit", F.lit(0)).isNotNull()).select("type", "name", "unit")
+    sizes = unit.groupBy("type").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    dealt = unit.join(sizes, "type").withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    left = dealt.select("type", "name", "unit", F.col("own").alias("i"), F.explode(every).alias("j"))
+    right = dealt.select(F.col("type").alias("type2"), F.col("name").alias("name2"), F.col("unit").alias("unit2"), F.col("own").alias("j2"), F.explode(every).alias("i2"))
+    name_kind, type_kind = dict(unit.dtypes)["name"], dict(unit.dtypes)["type"]
+
+    def closest(x: pa.Table, y: pa.Table) -> pa.Table:
+        x, y = x.combine_chunks(), y.select(["name2", "unit2"]).rename_columns(["name", "unit"]).combine_chunks().sort_by("name")  # the first of equals is the smallest
+        if not x.num_rows or not y.num_rows:
+            return x.select(["type", "name"]).append_column("candidate", x["name"]).append_column("similarity", pa.array([0.0] * x.num_rows)).slice(0, 0)
+        a, b = (t["unit"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t in (x, y))
+        place = pc.index_in(x["name"].combine_chunks(), y["name"].combine_chunks()).to_numpy(zero_copy_only=False)
+        best, value = np.zeros(len(a), np.int64), np.zeros(len(a))
+        for at in range(0, len(a), 512):
+            products = np.round(a[at : at + 512] @ b.T, 12)  # rounding noise doesn't part equals
+            own = place[at : at + 512]
+            rows = np.flatnonzero(~np.isnan(own.astype(float)))
+            products[rows, own[rows].astype(np.int64)] = -np.inf
+            best[at : at + 512] = products.argmax(axis=1)
+            value[at : at + 512] = products.max(axis=1)
+        out = pa.table({"type": x["type"], "name": x["name"], "candidate": y["name"].combine_chunks().take(pa.array(best)), "similarity": pa.array(value)})
+        return out.filter(pa.array(value >= threshold - 1e-12))
+
+    met = left.groupBy("type", "i", "j").cogroup(right.groupBy("type2", "i2", "j2")).applyInArrow(closest, f"type {type_kind}, name {name_kind}, candidate {name_kind}, similarity double")
+    top = met.groupBy("type", "name").agg(F.max("similarity").alias("__top"), F.collect_list(F.struct("similarity", "candidate")).alias("__all"))  # one row from each block
+    first = F.array_min(F.transform(F.filter("__all", lambda r: r["similarity"] == F.col("__top")), lambda r: r["candidate"]))
+    return top.where(F.col("__top") >= threshold).select("type", "name", first.alias("candidate"), F.col("__top").alias("similarity"))
 
 
 def unordered_proposals(best: DataFrame) -> DataFrame:

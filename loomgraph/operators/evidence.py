@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.functions import spans, text
 from loomgraph.functions.identity import identity_form, squeeze
@@ -70,6 +71,25 @@ def locate(records: DataFrame, suggest: bool = True) -> DataFrame:
     return easy.unionByName(hard)
 
 
+def quote_places(docs: DataFrame, quotes: DataFrame, doc: str, quote: str, text: str = "text", quoted: str = "quote", words: int = 5) -> DataFrame:
+    """(doc, quote, start) of each document and each quote that stands in it as it is, and where first.
+
+    A quote's words but its first and last are whole words of a text that holds it, so a run of
+    `words` of them is a run of the text's: documents and quotes meet by hashes of such runs and
+    are then compared. Quotes with too few words for one have no key and are compared with every
+    document, which is why there should be few of them.
+    """
+    split = lambda c: F.split(F.col(c), r"\s+")
+    keyed = quotes.select(quote, quoted).where(F.coalesce(F.col(quoted), F.lit("")) != "").withColumn("__w", split(quoted))
+    long = keyed.where(F.size("__w") >= words + 2).select(quote, quoted, F.xxhash64(F.slice("__w", 2, words)).alias("__key"))
+    body = docs.select(doc, text).where(F.col(text).isNotNull())
+    runs = body.withColumn("__w", split(text)).where(F.size("__w") >= words)
+    runs = runs.select(doc, text, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("__w") - words + 1), lambda i: F.xxhash64(F.slice("__w", i, F.lit(words)))))).alias("__key"))
+    met = runs.join(long, "__key").drop("__key").unionByName(body.join(keyed.where(F.size("__w") < words + 2).select(quote, quoted), F.contains(F.col(text), F.col(quoted))))
+    at = F.position(F.col(quoted), F.col(text))
+    return met.where(at > 0).select(doc, quote, (at - 1).alias("start")).distinct()
+
+
 def _with_aliases(records: DataFrame, dictionary: DataFrame | None) -> DataFrame:
     """Records with a1 and a2, the names that the dictionary holds for the same entity, by joins.
 
@@ -142,7 +162,7 @@ def screen(records: DataFrame, dictionary: DataFrame | None = None) -> DataFrame
     return _over_rows(records, dictionary, fields, make).unionByName(alone)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _type_flag(name: pd.Series, kind: pd.Series) -> pd.Series:
     return pd.Series([spans.type_flag(n or "", k or "") for n, k in zip(name, kind)], dtype=object)
 

@@ -564,12 +564,9 @@ def rule_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, item_id, position(b.text IN d.text) - 1 AS start FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def locate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages as quotes, every document as a source. The passages are a stated query set, whose size is checked before it is sent to all tasks."""
+    """Benchmark passages as quotes, every document as a source."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    if items.agg(F.sum(F.octet_length("quote"))).first()[0] > 64_000_000:
-        raise ValueError("too many passages for one pass; call with blocks of them")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.join(F.broadcast(items), F.contains("text", F.col("quote"))).select("doc_id", "item_id", (F.position(F.col("quote"), F.col("text")) - 1).alias("start"))
+    return evidence.quote_places(table(spark, sf_dir, "documents"), items, "doc_id", "item_id")
 
 
 @query(rf"""
