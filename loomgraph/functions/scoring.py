@@ -84,3 +84,17 @@ def average_degree(edges: Column, nodes: Column) -> Column:
 def viewer_size(rank: Column) -> Column:
     """A node's size in a graph view from its rank, which defaults to 0.005."""
     return F.greatest(F.lit(12.0), F.least(F.lit(65.0), F.coalesce(rank, F.lit(0.005)) * 1000))
+
+
+# Colours of node types in a graph view.
+COLOURS = {"gene": "#e74c3c", "drug": "#2ecc71"}
+MENTION_COLOUR, OTHER_COLOUR = "#3498db", "#95a5a6"
+
+
+def viewer_colour(kind: Column) -> Column:
+    """A node's colour in a graph view: by type, one for all phenotypes and diseases, grey for the rest."""
+    low = F.lower(F.coalesce(kind, F.lit("")))
+    chosen = F.when(low.rlike("phenotype|disease"), MENTION_COLOUR)
+    for name, colour in COLOURS.items():
+        chosen = chosen.when(low == name, colour)
+    return chosen.otherwise(OTHER_COLOUR)

@@ -73,6 +73,25 @@ def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 _ROUNDS_AT_ONCE = 2
 
 
+def condition_metrics(conditions: dict[str, DataFrame], base: str = "raw") -> DataFrame:
+    """(condition, records, edges, nodes, pairs, average_degree, components, largest, outside_largest, self_loops,
+    compression_vs_raw) of flat records under several treatments; compression is against the edges of `base`."""
+    rows = None
+    for name, records in conditions.items():
+        end = lambda n: F.concat_ws("\u0001", f"type_{n}", f"name_{n}")
+        keys = records.groupBy("name_1", "type_1", "relation", "name_2", "type_2").agg(F.count(F.lit(1)).alias("n"))
+        keys = Tables(records.sparkSession, "condition").write(keys.select(end("1").alias("src"), end("2").alias("dst"), "n"), name)
+        summary = graph_summary(keys.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), keys)
+        total = keys.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("records"))
+        row = summary.join(F.broadcast(total)).select(
+            F.lit(name).alias("condition"), "records", "edges", "nodes", "pairs", scoring.average_degree(F.col("pairs"), F.col("nodes")).alias("average_degree"), "components", "largest", "outside_largest", "self_loops"
+        )
+        rows = row if rows is None else rows.unionByName(row)
+    rows = Tables(rows.sparkSession, "condition").write(rows, "metrics")
+    against = rows.where(F.col("condition") == base).select(F.col("edges").alias("__base"))
+    return rows.join(F.broadcast(against), how="left").withColumn("compression_vs_raw", F.lit(1.0) - scoring.ratio(F.col("edges"), F.col("__base"))).drop("__base")
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most_rounds: int = 100) -> DataFrame:
     """(id, rank): weighted PageRank, parallel weights summed, dangling mass spread evenly.
 
@@ -260,8 +279,8 @@ def metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def with_metrics(nodes: DataFrame, scored: DataFrame) -> DataFrame:
-    """Nodes with rank and viewer size, defaults where a node has no metrics."""
-    return nodes.join(scored.select("id", "rank", "community"), "id", "left").withColumns({"rank": F.coalesce("rank", F.lit(0.005)), "community": F.coalesce("community", F.lit(-1)), "size": scoring.viewer_size(F.col("rank"))})
+    """Nodes with rank, community, viewer size and colour, defaults where a node has no metrics."""
+    return nodes.join(scored.select("id", "rank", "community"), "id", "left").withColumns({"rank": F.coalesce("rank", F.lit(0.005)), "community": F.coalesce("community", F.lit(-1)), "size": scoring.viewer_size(F.col("rank")), "colour": scoring.viewer_colour(F.col("type")) if "type" in nodes.columns else F.lit(scoring.OTHER_COLOUR)})
 
 
 def neighbourhood(edges: DataFrame, start: DataFrame, hops: int = 2, directed: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators import fusion, graph
+from loomgraph.operators import evaluation, fusion, graph
 from loomgraph.plans import views
 from loomgraph.plans.registry import query, table
 
@@ -48,3 +48,48 @@ def multigraph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records as a typed multigraph, the last of each (source, target, key) standing for all."""
     rows = fusion.flat(views.scored(spark, sf_dir, True)).withColumnRenamed("seq", "first_seq")
     return graph.graph_from_edges(rows)[1]
+
+
+def _condition_sql(name: str, suppliers: str) -> str:
+    t = f"(SELECT {suppliers} AS src, name_2 AS dst, relation FROM ({views.triples_sql(True)}))"
+    return f"""
+    SELECT '{name}' AS condition, (SELECT count(*) FROM {t}) AS records, (SELECT count(*) FROM (SELECT DISTINCT src, relation, dst FROM {t})) AS edges, sum(n)::BIGINT AS nodes,
+      (SELECT count(*) FROM (SELECT DISTINCT src, dst FROM {t})) AS pairs, round(2.0 * (SELECT count(*) FROM (SELECT DISTINCT src, dst FROM {t})) / sum(n), 9) AS average_degree, count(*) AS components, max(n) AS largest,
+      round(1 - max(n) / sum(n), 9) AS outside_largest, 0 AS self_loops,
+      round(1 - (SELECT count(*) FROM (SELECT DISTINCT src, relation, dst FROM {t})) / (SELECT count(*) FROM (SELECT DISTINCT name_1, relation, name_2 FROM ({views.triples_sql(True)}))), 9) AS compression_vs_raw
+    FROM (SELECT m, count(*) AS n FROM (WITH RECURSIVE u AS (SELECT src, dst FROM {t} UNION SELECT dst, src FROM {t}), r AS (SELECT src AS id, src AS m FROM u UNION SELECT u.dst, r.m FROM r JOIN u ON r.id = u.src) SELECT id, min(m) AS m FROM r GROUP BY 1) GROUP BY 1)"""
+
+
+@query(_condition_sql("raw", "name_1") + " UNION ALL " + _condition_sql("dictionary", "'S' || (CAST(substr(name_1, 2) AS BIGINT) // 2)"))
+def condition_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = fusion.flat(views.scored(spark, sf_dir, True))
+    mapped = raw.withColumn("name_1", F.concat(F.lit("S"), F.floor(F.substring("name_1", 2, 20).cast("bigint") / 2).cast("string")))
+    out = graph.condition_metrics({"raw": raw, "dictionary": mapped})
+    return out.withColumns({c: F.bround(c, 9) for c in ("average_degree", "outside_largest", "compression_vs_raw")})
+
+
+@query(f"""
+WITH t AS (SELECT DISTINCT extracted_by, lower(name_1) AS gene FROM ({views.triples_sql(True)}) WHERE name_2 IN ('P1', 'P2')), truth AS (SELECT lower('S' || s_suppkey) AS gene FROM supplier WHERE s_acctbal >= 0),
+c AS (SELECT extracted_by, count(*) AS extracted, (SELECT count(*) FROM truth) AS expected, count(truth.gene) AS true_positives FROM t LEFT JOIN truth USING (gene) GROUP BY 1)
+SELECT *, extracted - true_positives AS false_positives, expected - true_positives AS false_negatives, round(true_positives / extracted, 9) AS precision, round(true_positives / expected, 9) AS recall,
+  round(2.0 * true_positives / (extracted + expected), 9) AS f1 FROM c
+""")
+def disease_gene_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genes linked with a disease in either direction, against a baseline; every other record the other way round."""
+    rows = views.triples(spark, sf_dir, True).withColumn("entity_1", F.struct(F.concat(F.lit(" "), "entity_1.name").alias("name"), F.lit("Gene").alias("type")))
+    turned = F.col("seq") % 2 == 0
+    rows = rows.select("extracted_by", F.when(turned, F.col("entity_2")).otherwise(F.col("entity_1")).alias("entity_1"), F.when(turned, F.col("entity_1")).otherwise(F.col("entity_2")).alias("entity_2"))
+    truth = table(spark, sf_dir, "supplier").where("s_acctbal >= 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("gene"))
+    out = evaluation.set_metrics(evaluation.disease_genes(rows, ["P1", "p2"]), truth, ["gene"], "extracted_by")
+    return out.withColumns({c: F.bround(c, 9) for c in ("precision", "recall", "f1")})
+
+
+@query("""
+SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN '#e74c3c' WHEN 'SMALL' THEN '#2ecc71' WHEN 'MEDIUM' THEN '#3498db' ELSE '#95a5a6' END AS colour,
+       CASE WHEN p_size % 5 = 0 THEN 12.0::DOUBLE ELSE greatest(12.0::DOUBLE, least(65.0::DOUBLE, p_size::DOUBLE)) END AS size FROM part
+""")
+def viewer_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("p_type") == "ECONOMY", "Gene").when(F.col("p_type") == "SMALL", "DRUG").when(F.col("p_type") == "MEDIUM", "Rare disease")
+    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), kind.alias("type"), "p_size")
+    scored = nodes.where("p_size % 5 <> 0").select("id", (F.col("p_size") / 1000).alias("rank"), F.lit(1).alias("community"))
+    return graph.with_metrics(nodes.drop("p_size"), scored).select(F.col("id").alias("p_partkey"), "colour", "size")

@@ -80,3 +80,67 @@ def test_tables_of_a_scope_are_freed(spark):
         inside.write(spark.range(3), "t")
         assert os.path.isdir(inside.path)
     assert not os.path.exists(inside.path)
+
+
+def test_pages_up_to_a_short_one(spark):
+    from loomgraph.sources.workbook import all_pages
+
+    def fetch(page, size):
+        return [(page * size + i,) for i in range(max(0, min(size, 23 - page * size)))]
+
+    assert sorted(r[0] for r in all_pages(spark, fetch, "value bigint", page_size=5, at_once=2).collect()) == list(range(23))
+    assert all_pages(spark, lambda page, size: [], "value bigint", page_size=5, at_once=2).count() == 0
+
+
+def test_settings_and_reports(spark, tmp_path):
+    import json
+
+    from loomgraph.sources.records import read_settings
+
+    (tmp_path / ".env").write_text("# note\nKEY = 'a=b'\nOTHER=\"x\"\nnothing\nKNOWN=new\n")
+    assert read_settings(str(tmp_path / ".env"), {"KNOWN": "old"}) == {"KNOWN": "old", "KEY": "a=b", "OTHER": "x"}
+    sinks.write_report(spark.createDataFrame([(1, "é")], "n int, s string"), str(tmp_path / "report.json"))
+    assert json.loads((tmp_path / "report.json").read_text()) == [{"n": 1, "s": "é"}]
+    with pytest.raises(ValueError):
+        sinks.write_report(spark.range(5), str(tmp_path / "big.json"), most=3)
+
+
+def test_small_readers_and_writers(spark, tmp_path):
+    from loomgraph.sources import records
+
+    (tmp_path / "a.csv").write_text("\ufeffid,text\n1,\"x, y\"\n")
+    assert [tuple(r) for r in records.read_csv(spark, str(tmp_path / "a.csv")).collect()] == [("1", "x, y")]
+    (tmp_path / "d.json").write_text('{"a": {"b": [1, 2]}}')
+    assert records.read_json_document(spark, str(tmp_path / "d.json")).first()["a"]["b"] == [1, 2]
+    rows = spark.createDataFrame([(1, "p", "t", "x"), (2, "p", None, None), (3, " ", "t", "x")], "seq bigint, pmid string, title string, abstract string")
+    assert [tuple(r) for r in records.abstracts_by_id(rows).collect()] == [("p", "", "")]
+    assert records.with_text(rows).count() == 2
+    sinks.write_csv(spark.createDataFrame([(1, ["a"])], "n int, l array<string>"), str(tmp_path / "out"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "out")).first()["l"] == '["a"]'
+    sinks.write_version(spark.createDataFrame([("k", 1)], "key string, v int"), str(tmp_path / "v"), "v1", "key")
+    sinks.write_version(spark.createDataFrame([("k", 2)], "key string, v int"), str(tmp_path / "v"), "v2", "key")
+    assert {(r["graph_version"], r["v"]) for r in spark.read.parquet(str(tmp_path / "v")).collect()} == {("v1", 1), ("v2", 2)}
+    with pytest.raises(ValueError):
+        sinks.write_version(spark.createDataFrame([("k", 2), ("k", 3)], "key string, v int"), str(tmp_path / "v"), "v3", "key")
+    pointer = spark.createDataFrame([("active", "v1", None, "t0")], "name string, graph_version string, previous_version string, activated_at string")
+    once = sinks.activate(pointer, "v2", "t1")
+    assert tuple(once.first()) == ("active", "v2", "v1", "t1") and tuple(sinks.activate(once, "v2", "t2").first())[:3] == ("active", "v2", "v1")
+
+
+def test_vocabulary_documents(spark):
+    from loomgraph.functions import vocabulary
+
+    v = vocabulary.load('{"entity_types": ["Gene"], "relations": {"TREATS": {"polarity": "positive"}, "X": {}}, "negative_relations": ["X"], "relation_aliases": {"treated-with": "TREATS"}, "entity_type_aliases": {" Genes": "Gene"}, "conflict_relation_pairs": [["TREATS", "X"]]}')
+    row = spark.range(1).select(vocabulary.relation(F.lit("Treated with"), v), vocabulary.polarity(F.lit("X"), v), vocabulary.label(F.lit("genes"), v), vocabulary.label(F.lit("Drug"), v), vocabulary.relationship(F.lit("no"), v)).first()
+    assert tuple(row) == ("TREATS", "negative", "Gene", "Unknown", "ASSOCIATED_WITH")
+
+
+def test_files_are_validated(spark, tmp_path):
+    from loomgraph.operators import audit
+
+    good = '{"source_pmid": "1", "entity_1": {"name": "A", "type": "Gene"}, "relation": "CAUSES", "entity_2": {"name": "B", "type": "Disease"}}'
+    (tmp_path / "r.jsonl").write_text(f"{good}\n\nbroken\n[1]\n{good}\n")
+    row = audit.validate_file(spark, str(tmp_path / "r.jsonl")).first()
+    assert (row["records"], row["bad_json_lines"], row["invalid_triples"], row["valid"], row["missing"]) == (4, 1, 1, False, False) and row["bytes"] > 100
+    gone = audit.validate_file(spark, str(tmp_path / "none")).first()
+    assert (gone["records"], gone["valid"], gone["missing"]) == (0, False, True)
