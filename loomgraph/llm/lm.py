@@ -62,7 +62,11 @@ def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def encode(df: DataFrame, part: Column, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
-    """Chunks of texts as word numbers. part: 0 not learned from, 1 retained, 2 held out for the weights."""
+    """Chunks of texts as word numbers. part: 0 not learned from, 1 retained, 2 held out for the weights.
+
+    Held-out texts have chunks of their own, whose numbers are odd: only these are read while the
+    weights are learned.
+    """
     from xxhash import xxh64_intdigest  # noqa: F401 - fails here rather than in a task
 
     ship(df.sparkSession)
@@ -74,13 +78,11 @@ def encode(df: DataFrame, part: Column, id_col: str, text_col: str, chunk_bytes:
         from xxhash import xxh64_intdigest
 
         task, chunks, texts = TaskContext.get().partitionId() << 32, count(), count()
-        state: dict = {}
-
-        def begin() -> None:
-            numbers = defaultdict(count().__next__)
-            state.update(numbers=numbers, ids=[], rows=[], sizes=[], firsts=[], seconds=[], lasts=[], parts=[], words=[], bytes=0)
+        def begin() -> dict:
+            return {"numbers": defaultdict(count().__next__), "bytes": 0, **{n: [] for n in ("ids", "rows", "sizes", "firsts", "seconds", "lasts", "parts", "words")}}
 
-        def finish(id_type: pa.DataType) -> pa.RecordBatch:
+        def finish(held: int) -> pa.RecordBatch:
+            state = states[held]
             vocabulary = np.fromiter(map(xxh64_intdigest, state["numbers"]), np.uint64, len(state["numbers"]))
             words = np.concatenate([np.zeros(0, np.int32), *state["words"]])
             # The most frequent words get the smallest numbers, so that these compress well.
@@ -92,14 +94,15 @@ def encode(df: DataFrame, part: Column, id_col: str, text_col: str, chunk_bytes:
             arrays = [np.array(state[n], t).tobytes() for n, t in (("rows", "<i8"), ("sizes", "<i4"), ("firsts", "<i4"), ("seconds", "<i4"), ("lasts", "u1"), ("parts", "u1"))]
             words, vocabulary = _planes(rank[words]), vocabulary[often]
             ids = pa.array([state["ids"]], pa.list_(id_type))
-            return pa.RecordBatch.from_arrays([pa.array([task + next(chunks)]), ids, *(pa.array([b], pa.binary()) for b in (*arrays, words, vocabulary.tobytes()))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([2 * (task + next(chunks)) + held]), ids, *(pa.array([b], pa.binary()) for b in (*arrays, words, vocabulary.tobytes()))], names=names)
 
-        begin()
-        id_type = None
+        states, id_type = [begin(), begin()], None
         for batch in batches:
             id_type = batch.column(0).type
             for key, p, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 tokens, row = cell.as_py().lower().split(), task + next(texts)
+                held = int(p == 2)
+                state = states[held]
                 for at in range(0, max(1, len(tokens)), _PIECE_WORDS):
                     piece = tokens[at : at + _PIECE_WORDS]
                     look = state["numbers"].__getitem__
@@ -108,10 +111,11 @@ def encode(df: DataFrame, part: Column, id_col: str, text_col: str, chunk_bytes:
                         state[name].append(value)
                     state["bytes"] += sum(map(len, piece)) + len(piece) + 1
                     if state["bytes"] >= chunk_bytes:
-                        yield finish(id_type)
-                        begin()
-        if state["ids"]:
-            yield finish(id_type)
+                        yield finish(held)
+                        state = states[held] = begin()
+        for held in (0, 1):
+            if states[held]["ids"]:
+                yield finish(held)
 
     return df.select(F.col(id_col), part.cast("int").alias("__part"), utf8(text_col).alias("__utf8")).mapInArrow(run, schema)
 
@@ -470,8 +474,8 @@ def score_texts(
     n_total, n_retained, n_words = (int(x) for x in sums)
     uniform = 1.0 / (n_words + 1)
 
-    def both(most: int):
-        return chunks.groupBy("chunk").cogroup(answers.where(F.col("gram") <= most).groupBy("chunk"))
+    def both(most: int, wanted: Column):
+        return chunks.where(wanted).groupBy("chunk").cogroup(answers.where((F.col("gram") <= most) & wanted).groupBy("chunk"))
 
     def seen(name: str, most: int, take) -> np.ndarray:
         """(bucket, events, ratio, other) of held-out events. Those of nearly equal ratios are one cell, so what is collected is bounded by the cells' number."""
@@ -489,7 +493,7 @@ def score_texts(
                     cells[key].extend(values.tolist())
             return pa.table({"cell": pa.array(cells["cell"], pa.int64()), **{k: pa.array(cells[k], pa.float64()) for k in ("n", "x", "y")}})
 
-        summed = both(most).applyInArrow(run, "cell bigint, n double, x double, y double").groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y")])
+        summed = both(most, F.col("chunk") % 2 == 1).applyInArrow(run, "cell bigint, n double, x double, y double").groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y")])
         rows = scratch.write(summed, name, drop_shuffles=True).collect()
         return np.array(sorted((r["cell"] >> 18, r["n"], r["x"] / r["n"], r["y"] / r["n"]) for r in rows), float).reshape(-1, 4)
 
@@ -524,6 +528,6 @@ def score_texts(
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type, kind = to_arrow_type(df.schema[id_col].dataType), df.schema[id_col].dataType.simpleString()
-    pieces = both(order).applyInArrow(score, f"`{id_col}` {kind}, __row bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    pieces = both(order, F.lit(True)).applyInArrow(score, f"`{id_col}` {kind}, __row bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     whole = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
     return pieces.groupBy("__row").agg(F.first(id_col).alias(id_col), *whole).select(id_col, "n_tokens", "n_known", F.lit(n_total).cast("long").alias("train_tokens"), "base_score", "score")

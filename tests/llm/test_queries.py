@@ -196,3 +196,21 @@ def test_op10(spark, tables):
             if m and (f" {m} " in f" {t} " if not budget else len(t) < 5000 and edit_distance_anywhere(m, t) <= budget):
                 expected.add((i, k))
     assert {(r["doc_id"], r["item_id"]) for r in rows} == expected and (N + 5, 1) in expected and (N + 4, 1) in expected
+
+
+def test_long_texts_are_read_whole(spark):
+    from pyspark.sql import functions as F
+
+    from loomgraph.llm import decontamination, lm, mixing, quality, sharding, simhash
+
+    item = "quick brown foxes jump over lazy dogs near the old river bank"
+    long = "word " * 300_000 + item  # 1.5 MB, the item at its very end
+    df = spark.createDataFrame([(1, long, "en", "s"), (2, "short text", "en", "s")], "doc_id bigint, text string, lang string, source string")
+    n = len(long.split())
+    assert {r["doc_id"]: r["mix_size"] for r in mixing.with_copies(df).collect()} == {1: n, 2: 2}
+    assert {r["doc_id"]: r["size"] for r in sharding.shard_slots(df).collect()} == {1: len(long) + 1, 2: 11}
+    assert [r["doc_id"] for r in decontamination.contaminated(df, spark.createDataFrame([(7, item)], "item_id int, text string")).collect()] == [1]
+    assert {r["doc_id"]: r["n_tokens"] for r in lm.score_texts(df, F.lit(1), order=3).collect()} == {1: n + 1, 2: 3}
+    assert {r["doc_id"]: int(r["fingerprint"], 16) for r in simhash.near_duplicates(df).collect()} == {1: fingerprint(long), 2: fingerprint("short text")}
+    model = quality.train(df, spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int"), F.lit(True))
+    assert all(0 <= r["score"] <= 1 for r in quality.score_quality(df, model).collect())
