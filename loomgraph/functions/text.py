@@ -32,6 +32,12 @@ def has_term(lowered: Column, term: str) -> Column:
     return lowered.rlike(f"(?<![A-Za-z0-9]){quoted(term.lower())}(?![A-Za-z0-9])")
 
 
+def has_any_term(lowered: Column, lexicon: Sequence[tuple[str, str]]) -> Column:
+    """Whether a lower-case text holds any of a lexicon's terms: one pattern for all."""
+    choice = "|".join(quoted(term.lower()) for term, _ in lexicon)
+    return lowered.rlike(f"(?<![A-Za-z0-9])(?:{choice})(?![A-Za-z0-9])") if choice else F.lit(False)
+
+
 def terms_present(lowered: Column, lexicon: Sequence[tuple[str, str]]) -> Column:
     """Canonical names of the lexicon's terms in a text, in the lexicon's order."""
     return F.array_compact(F.array(*[F.when(has_term(lowered, term), F.lit(name)) for term, name in lexicon]))

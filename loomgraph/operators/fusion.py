@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scoring, vocabulary
 from loomgraph.functions.vocabulary import DEFAULT, Vocabulary
+from loomgraph.sources.scratch import Tables
 
 EDGE = ("name_1", "type_1", "relation", "name_2", "type_2")
 PAIR = ("name_1", "type_1", "name_2", "type_2")
@@ -60,11 +61,15 @@ def relation_conflicts(edges: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFra
 
 
 def with_review_status(edges: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
-    """edges with review_status, conflict_reason and conflict_relations from their pair's conflicts."""
-    conflicts = relation_conflicts(edges, vocab).withColumnRenamed("relations", "conflict_relations")
-    joined = edges.join(conflicts, list(PAIR), "left")
-    hit = F.col("conflict_relations").isNotNull()
-    return joined.withColumns({"review_status": F.when(hit, "needs_review").otherwise("unreviewed"), "conflict_reason": F.when(hit, "relation_polarity_conflict")})
+    """edges with review_status, conflict_reason and conflict_relations from their pair's conflicts.
+
+    A pair has at most as many edges as there are relations, so its set is a window's: edges are
+    derived once and moved once.
+    """
+    relations = F.sort_array(F.collect_set("relation").over(Window.partitionBy(*PAIR)))
+    seen = edges.withColumn("conflict_relations", relations)
+    hit = vocabulary.conflicting(F.col("conflict_relations"), vocab)
+    return seen.withColumns({"review_status": F.when(hit, "needs_review").otherwise("unreviewed"), "conflict_reason": F.when(hit, "relation_polarity_conflict"), "conflict_relations": F.when(hit, F.col("conflict_relations"))})
 
 
 def conflict_evidence(conflicts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -77,7 +82,8 @@ def ablation(conditions: dict[str, DataFrame], vocab: Vocabulary = DEFAULT) -> D
     """(condition, records, edges, nodes, pairs, self_loops, conflicts) of the same fusion over several inputs."""
     out = None
     for name, records in conditions.items():
-        edges = fuse(records, vocab)
+        # Two aggregations follow; what they need of the edges is written once.
+        edges = Tables(records.sparkSession, "ablation").write(fuse(records, vocab).select(*EDGE, "evidence_count"), name)
         nodes = edges.select(F.explode(F.array(F.struct(F.col("type_1").alias("t"), F.col("name_1").alias("n")), F.struct(F.col("type_2").alias("t"), F.col("name_2").alias("n")))).alias("x")).distinct().agg(F.count(F.lit(1)).alias("nodes"))
         pairs = edges.groupBy(*PAIR).agg(F.sort_array(F.collect_set("relation")).alias("relations"), F.count(F.lit(1)).alias("n"), F.sum("evidence_count").alias("records"))
         same = (F.col("name_1") == F.col("name_2")) & (F.col("type_1") == F.col("type_2"))
