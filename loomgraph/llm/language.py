@@ -175,7 +175,9 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """(id, lang_pred, score) for every row: the language of the whole text and its posterior probability.
 
     `und` with score 0 for a null text and one without a letter, and where nothing was learned.
-    Only the text is an input; every row gives one row, and further columns are left out.
+    Only the text is an input; texts of any length are read whole; of languages that tie the
+    first by name is taken. Ids may be null or repeat; every row gives one row, repeated rows
+    equal ones, and further columns are left out. An empty table gives an empty result.
     """
     ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)

@@ -106,8 +106,8 @@ def with_copies(
     """mix_size, mix_source_size, mix_target and mix_copies of every row, with its id or, if given, the columns `keep`.
 
     Null texts and texts without words have size 0; a source whose sizes are all 0 has target
-    0 and no copies; an empty table gives an empty result. Repeated ids draw alike. A source
-    may hold any share of the rows: texts are read once for sizes, which are pre-aggregated.
+    0 and no copies; an empty table gives an empty result. Repeated ids draw alike, and texts of
+    any length are counted whole. A source may hold any share of the rows: texts are read once for sizes, which are pre-aggregated.
     """
     scratch = Scratch(df.sparkSession, "mix")
     slim = df.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("__size"), _keys(df, id_col, text_col).alias("__key"))

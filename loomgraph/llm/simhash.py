@@ -195,7 +195,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows link when their fingerprints differ in at most `radius` (even) bits; component_id is
     the smallest id that a row reaches over links, its own included. Equal fingerprints are one
     node, found by a pre-aggregated minimum, so a group of copies of any size costs one row.
-    Texts without words (null, empty, blank) have fingerprint 0 and link like any other.
+    Texts without words (null, empty, blank) have fingerprint 0 and link like any other; texts
+    of any length are read whole.
     Null ids never become a component's id (null if a component has no other). An empty
     table gives an empty result; repeated rows each give a row.
     """
