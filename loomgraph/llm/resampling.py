@@ -11,7 +11,6 @@ seeded hash of the id makes the highest scores a sample without replacement.
 from __future__ import annotations
 
 import re
-from collections import deque
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -31,7 +30,7 @@ OUTPUTS = ("n_features", "weight", "score", "rank")
 
 def text_buckets(text: bytes, runs: int, buckets: int) -> tuple[int, list[int]]:
     """Number of words, and the bucket of every run of one to `runs` consecutive words."""
-    ring: deque[int] = deque(maxlen=runs - 1)  # states of runs that end at the last word, the oldest start first
+    ring: list[int] = []  # states of the runs that end at the last word and can still grow, the oldest start first
     found: list[int] = []
     words = 0
     for words, match in enumerate(_WORD.finditer(text.lower()), 1):  # noqa: B007
@@ -40,7 +39,7 @@ def text_buckets(text: bytes, runs: int, buckets: int) -> tuple[int, list[int]]:
         states = [crc32(spaced, state) for state in ring]
         states.append(crc32(word))
         found += [state % buckets for state in states]
-        ring.extend(states)  # a state of the longest runs falls out
+        ring = states[max(0, len(states) - runs + 1) :]
     return words, found
 
 
