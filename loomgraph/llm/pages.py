@@ -48,7 +48,7 @@ _TAG = re.compile(
     r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*)(?P<rest>(?:[^"'<>]++|"[^"]{0,2000}"|'[^']{0,2000}'){0,400}+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/<>]*)(?P<rest2>[^<>]*)>|<[!?/][^<>]*>""",
     re.S | re.I,
 )
-_UNENDED = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
+_UNENDED = re.compile(r"<[a-zA-Z/!?][^>]*+\Z")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _NAME_PARTS = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -177,7 +177,9 @@ def page_blocks(page: str) -> list[Block]:
             open_.append(_Open(name, True, outer.scope, outer.container))
         elif any(o.name == name for o in open_):  # its end must not close the marked one
             open_.append(_Open(name, outer.bad, outer.scope, outer.container))
-    add(_UNENDED.sub("", page[at:]))
+    # A tag that never ends takes the rest of the page; it can only begin after the last closing bracket.
+    safe = max(at, page.rfind(">") + 1)
+    add(page[at:safe] + _UNENDED.sub("", page[safe:], count=1))
     flush()
     return blocks
 
