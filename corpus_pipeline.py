@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import decontamination, mixing, quality, sharding, simhash
-from loomgraph.llm.common import Scratch
+from loomgraph.llm.common import Scratch, quoted
 from loomgraph.llm.queries import ACCEPT, quality_model
 from loomgraph.sources.scratch import released
 
@@ -21,7 +21,7 @@ def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     while mark in docs.columns:  # documents may have a column of any name
         mark = f"_{mark}"
     scored = quality.score_quality(docs, quality_model(spark, docs, sf_dir), keep=docs.columns, out_col=mark)
-    return scored.where(F.col(mark) >= ACCEPT).select(*docs.columns)
+    return scored.where(F.col(mark) >= ACCEPT).select(*map(quoted, docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

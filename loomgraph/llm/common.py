@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loomgraph.sources.scratch import Tables as Scratch
 from loomgraph.sources.shipping import ship
 
-__all__ = ["Scratch", "WORD", "id_remainder", "parts_for", "plan_bytes", "release_memory", "remainder_is", "row_key", "ship", "utf8", "word_count"]
+__all__ = ["Scratch", "WORD", "id_remainder", "no_clash", "own_name", "own_names", "parts_for", "plain_names", "plan_bytes", "quoted", "release_memory", "remainder_is", "row_key", "ship", "utf8", "word_count"]
 
 #: A word in the contracts: a run of anything but the six ASCII white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -54,6 +54,32 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def own_name(name: str) -> str:
+    """What own_names makes of a column's name."""
+    return f"__own_{name}"
+
+
+def own_names(df: DataFrame) -> DataFrame:
+    """df with names that no helper column has, so that columns of any name can be joined with them."""
+    return df.toDF(*map(own_name, df.columns))  # by place: renaming one by one would rename a column that is named so already again
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark's parser takes it, whatever signs it has."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def plain_names(names: list[str]) -> list[Column]:
+    """The columns of own_names(df) under their names in df."""
+    return [F.col(quoted(own_name(c))).alias(c) for c in names]
+
+
+def no_clash(id_col: str, *outputs: str) -> None:
+    """The id's column keeps its name in a result, so it can't be one of the others there."""
+    if id_col in outputs:
+        raise ValueError(f"{id_col} is the name of a result column")
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """struct<id, long, short>: the id, which may be null or repeated, and 96 bits of hashes of the text."""
     return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("long"), F.hash(text_col).alias("short"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from loomgraph.llm.common import Scratch, row_key, ship, utf8
+from loomgraph.llm.common import own_name, own_names, plain_names, row_key, Scratch, ship, utf8
 
 #: ASCII characters that aren't letters or digits part words; case is folded before.
 _PARTS = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
@@ -185,12 +185,14 @@ def _scan(shared, id_col: str, item_col: str, item_type: pa.DataType):
 def clean(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of df that hold no benchmark item. A row is known by id and text, so null and repeated ids are no matter.
 
-    The hits are written first: their size is then known, and Spark broadcasts them if they are
+    df may have columns of any name. The hits are written first: their size is then known, and Spark broadcasts them if they are
     few and joins by shuffle if they aren't.
     """
+    names, df = df.columns, own_names(df)
+    id_col, text_col = own_name(id_col), own_name(text_col)
     keyed = df.select(row_key(id_col, text_col).alias("__key"), F.col(text_col).alias("__text"))
     hit = contaminated(keyed, benchmark, "__key", "__text", **options).select(F.col("__key").alias("__hit")).distinct()
     hit = Scratch(df.sparkSession, "hits").write(hit, "hits")
     key, found = row_key(id_col, text_col), F.col("__hit")
     same = key["id"].eqNullSafe(found["id"]) & (key["long"] == found["long"]) & (key["short"] == found["short"])
-    return df.join(hit, same, "left_anti")
+    return df.join(hit, same, "left_anti").select(*plain_names(names))

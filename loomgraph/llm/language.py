@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Scratch, ship, utf8
+from loomgraph.llm.common import Scratch, no_clash, ship, utf8
 
 #: Runs of letters (and of what Unicode counts as numeric but no digit).
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -177,8 +177,10 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     `und` with score 0 for a null text and one without a letter, and where nothing was learned.
     Only the text is an input; texts of any length are read whole; of languages that tie the
     first by name is taken. Ids may be null or repeat; every row gives one row, repeated rows
-    equal ones, and further columns are left out. An empty table gives an empty result.
+    equal ones, and further columns are left out. An empty table gives an empty result; id_col must
+    not be named like an output.
     """
+    no_clash(id_col, "lang_pred", "score")
     ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Scratch, ship
+from loomgraph.llm.common import Scratch, no_clash, ship
 from loomgraph.sources.records import numbered
 
 _HEX = 64
@@ -175,8 +175,7 @@ def manifest(
     A block holds up to `block` nodes, so neither a task nor the driver holds a group. Groups are one row each
     and are broadcast up to 8 MB only.
     """
-    if id_col in OUTPUTS:
-        raise ValueError(f"{id_col} is the name of a result column")
+    no_clash(id_col, *OUTPUTS)
     if fanout < 2:
         raise ValueError("a run has two nodes or more")
     spark, width = df.sparkSession, fanout

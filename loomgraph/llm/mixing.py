@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Scratch, word_count
+from loomgraph.llm.common import Scratch, own_name, own_names, plain_names, quoted, word_count
 
 _DRAW_HEX = 8  # hexadecimal digits of a draw; an MD5 has four draws
 _SEEDS = 8
@@ -113,7 +113,7 @@ def with_copies(
     slim = df.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("__size"), _keys(df, id_col, text_col).alias("__key"))
     sizes = scratch.write(slim, "sizes")
     rates = mixing_rates(sizes, scratch, weights, share, cap, seed)
-    rows, extra = (sizes, [F.col("__id").alias(id_col)]) if keep is None else (df.withColumns({"__source": F.col(source_col), "__size": word_count(F.col(text_col)), "__key": _keys(df, id_col, text_col)}), [F.col(c) for c in keep])
+    rows, extra = (sizes, [F.col("__id").alias(id_col)]) if keep is None else (df.withColumns({"__source": F.col(source_col), "__size": word_count(F.col(text_col)), "__key": _keys(df, id_col, text_col)}), [F.col(quoted(c)) for c in keep])
     draw = F.element_at(F.array(*[_draw("__key", seed, k) for k in range(_SEEDS)]), F.col("__pick") + 1)
     joined = rows.join(rates, F.col("__source").eqNullSafe(F.col("__name")))
     copies = F.col("__whole") + F.when(draw < F.col("__fraction"), 1).otherwise(0)
@@ -128,8 +128,8 @@ def with_copies(
 
 def mix(df: DataFrame, **options) -> DataFrame:
     """The mixed rows themselves: each row of df as often as the mix takes it, columns unchanged."""
-    held = df.withColumnsRenamed({c: f"__own_{c}" for c in df.columns})
-    names = {k: f"__own_{options.pop(k, default)}" for k, default in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
+    held = own_names(df)
+    names = {k: own_name(options.pop(k, default)) for k, default in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
     taken = with_copies(held, keep=held.columns, **names, **options).where("mix_copies > 0")
     copied = taken.withColumn("__copy", F.explode(F.expr("array_repeat(0, int(mix_copies))")))
-    return copied.select(*[F.col(f"__own_{c}").alias(c) for c in df.columns])
+    return copied.select(*plain_names(df.columns))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import ship, utf8
+from loomgraph.llm.common import no_clash, ship, utf8
 
 # Frequent words of English, German, French and Spanish; element names of HTML; words in class and id names.
 STOP_WORDS = frozenset(
@@ -265,8 +265,8 @@ def extract_pages(df: DataFrame, rules: Rules = Rules(), id_col: str = "page_id"
     that never ends runs to the end of the page. Further columns are left out; id_col and url_col must not be
     named like an output. An empty table gives an empty result.
     """
-    if clash := {id_col, url_col} & {*OUTPUTS}:
-        raise ValueError(f"{sorted(clash)[0]} is the name of a result column")
+    no_clash(id_col, url_col, *OUTPUTS)
+    no_clash(url_col, *OUTPUTS)
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

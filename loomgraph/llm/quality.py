@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import ship, utf8
+from loomgraph.llm.common import quoted, ship, utf8
 
 _UPPER = bytes(range(0x41, 0x5B))
 _DIGITS = b"0123456789"
@@ -155,11 +155,12 @@ def score_quality(df: DataFrame, model: Discriminant, id_col: str = "doc_id", te
     ship(df.sparkSession)
     keep = keep or [id_col]
     shared = df.sparkSession.sparkContext.broadcast(model)
-    kept = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    kept = ", ".join(f"{quoted(c)} {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([features(cell.as_py()) for cell in batch.column(0)], float).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(shared.value.score(x), pa.float64())], names=[*keep, out_col])
 
-    return df.select(utf8(text_col).alias("__utf8"), *keep).mapInArrow(run, f"{kept}, `{out_col}` double")
+    # Numbered, since names that clash or have dots can't pass into mapInArrow.
+    return df.select(utf8(text_col).alias("text"), *[F.col(quoted(c)).alias(f"kept_{k}") for k, c in enumerate(keep)]).mapInArrow(run, f"{kept}, `{out_col}` double")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Scratch, ship, utf8
+from loomgraph.llm.common import Scratch, no_clash, ship, utf8
 from loomgraph.sources.records import numbered
 
 #: A word, once A to Z are lower case: ASCII digits, a to z and all beyond ASCII, of UTF-8 bytes.
@@ -137,8 +137,7 @@ def resample(
     Broadcast are the gains, `buckets` numbers whatever the input, at most 2^20. The ranking is a
     range-partitioned sort of five numbers a row.
     """
-    if id_col in OUTPUTS:
-        raise ValueError(f"{id_col} is the name of a result column")
+    no_clash(id_col, *OUTPUTS)
     if not 0 < buckets <= 1 << 20 or runs < 1:
         raise ValueError("1 to 2^20 buckets and runs of at least one word")
     spark = df.sparkSession

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Scratch, row_key, ship, utf8
+from loomgraph.llm.common import own_name, own_names, plain_names, row_key, Scratch, ship, utf8
 from loomgraph.operators.components import component_labels
 
 _BITS = 64
@@ -227,9 +227,11 @@ def keep_one_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     It is the one with the smallest id, null after all others, then with the smallest hash of
     its text. A row is known by id and text, so rows without an id and unlike texts that share
-    an id stay in their own groups; of rows that repeat both, one stays.
+    an id stay in their own groups; of rows that repeat both, one stays. df may have columns of any name.
     """
     scratch = Scratch(df.sparkSession, "kept")
+    names, df = df.columns, own_names(df)
+    id_col, text_col = own_name(id_col), own_name(text_col)
     keyed = df.select(row_key(id_col, text_col).alias("__key"), F.col(text_col).alias("__text"))
     prints = scratch.write(fingerprints(keyed, "__key", "__text", words), "prints")
     order = F.struct(F.col("__key.id").isNull().alias("last"), F.col("__key").alias("key"))
@@ -239,10 +241,10 @@ def keep_one_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = scratch.write(rows, "kept")
     # Kept rows grow with the corpus, so they are never broadcast: texts move once, at every size alike.
     stay = df.join(kept.hint("merge"), _same_row(row_key(id_col, text_col)))
+    plain = plain_names(names)
     if kept.where("__rows > 1").isEmpty():
-        return stay.select(*df.columns)
-    once = stay.where("__rows = 1").select(*df.columns)
-    return once.unionByName(stay.where("__rows > 1").dropDuplicates(["__kept"]).select(*df.columns))
+        return stay.select(*plain)
+    return stay.where("__rows = 1").select(*plain).unionByName(stay.where("__rows > 1").dropDuplicates(["__kept"]).select(*plain))
 
 
 def _same_row(key: Column) -> Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import ship, utf8
+from loomgraph.llm.common import no_clash, ship, utf8
 
 _LOADED: dict[str, object] = {}
 
@@ -113,8 +113,10 @@ def count_tokens(
     Texts longer than `window` are encoded in chunks if the tokenizer is one for which that is
     proven (splits_at_white_space), else whole. Null and empty texts have 0 of both. No begin, end or added tokens, no truncation or
     padding; special strings inside a text are handled as the library does by default. Ids may
-    be null or repeat; every row gives one row, and further columns are left out.
+    be null or repeat; every row gives one row, and further columns are left out. id_col must not
+    be named like an output.
     """
+    no_clash(id_col, "n_bytes", "n_tokens", "over_limit")
     ship(df.sparkSession)
     schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_tokens bigint"
 
