@@ -6,10 +6,8 @@ tables of the shared folder, so lineage stays short and a lost executor costs on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,140 +125,114 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, toleranc
     return ranks.select("id", "rank")
 
 
-def _louvain(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, n: int, total: float) -> np.ndarray:
-    """Communities of an undirected weighted graph (both directions; total: twice the weight of all of it) by local moves and contraction; deterministic."""
-    member = np.arange(n)
-    while True:
-        order = np.argsort(src, kind="stable")
-        s, d, w = src[order], dst[order], weight[order]
-        begins = np.searchsorted(s, np.arange(n + 1))
-        strength = np.bincount(s, w, n)
-        if total <= 0:
-            return member
-        label, mass = np.arange(n), strength.copy()
-        moved_any, moved = False, True
-        while moved:
-            moved = False
-            for v in range(n):
-                near, weights = d[begins[v] : begins[v + 1]], w[begins[v] : begins[v + 1]]
-                other = near != v
-                options, place = np.unique(np.append(label[near[other]], label[v]), return_inverse=True)
-                links = np.bincount(place, np.append(weights[other], 0.0), len(options))
-                mass[label[v]] -= strength[v]
-                gains = links - strength[v] * mass[options] / total
-                best = int(gains.argmax())
-                here = int(np.searchsorted(options, label[v]))
-                if gains[best] > gains[here] + 1e-12:
-                    label[v], moved, moved_any = options[best], True, True
-                mass[label[v]] += strength[v]
-        if not moved_any:
-            return member
-        _, label = np.unique(label, return_inverse=True)
-        member, n = label[member], int(label.max()) + 1
-        pair, place = np.unique(label[src] * n + label[dst], return_inverse=True)
-        src, dst, weight = pair // n, pair % n, np.bincount(place, weight, len(pair))
-
-
 def _undirected(edges: DataFrame) -> DataFrame:
     """(a, b, w) with a < b, parallel edges and both directions summed, self-loops left out."""
     return edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("weight").alias("w"))
 
 
-def communities(nodes: DataFrame, edges: DataFrame, most_edges_in_task: int = 5_000_000) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, tolerance: float = 1e-4) -> DataFrame:
     """(id, community): dense numbers from 0 by smallest member, of modularity communities.
 
     Nodes move to the neighbouring community that raises modularity most, communities become
-    nodes, and so on until nothing moves. Communities lie inside weak components. While a
-    component has more than most_edges_in_task edges all its nodes move by joins, in rounds,
-    and it is contracted; once it has no more, the rest of the same work is one task's. The
-    gain that decides a move is the same in both, that of the whole graph's modularity.
+    nodes, and so on until nothing is gained; last, a community that isn't connected falls into its
+    connected parts. Every step is made of joins and sums over all edges at once, at any size alike:
+    no task holds a component. A level of moves ends when two rounds, in which each node has its turn once, raise
+    modularity by less than `tolerance`, and its best round counts, so moves made at the same time never
+    lower the result. Weights are rounded to 2^-51 of their sum, which makes all sums exact: the
+    partition depends on the graph alone, not on partitions or settings. Edges of weight 0 or less and
+    self-loops tie nothing; parallel edges add up; a node without edges is a community of its own.
     """
     tables = Tables(nodes.sparkSession, "communities")
-    parts = weak_components(nodes, edges)
-    placed = _undirected(edges).join(parts.withColumnRenamed("id", "a"), "a").select("component", "a", "b", "w")
-    placed = tables.write(placed, "level-0")
-    whole = 2.0 * (placed.agg(F.sum("w")).first()[0] or 0.0)
-    id_kind = dict(nodes.dtypes)["id"]
-    member = parts.select("id", F.col("id").alias("now"))
-
-    def sizes(level: DataFrame) -> DataFrame:
-        return level.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-
-    k, settled = 0, None
+    ids = tables.write(numbered(nodes.select("id").distinct(), "id"), "ids")
+    und = tables.write(_undirected(edges).where("w > 0"), "undirected")
+    total = und.agg(F.sum("w")).first()[0]
+    if not total:
+        return ids.select("id", (F.col("seq") - 1).alias("community"))
+    grid = 2.0 ** (51 - math.ceil(math.log2(total)))
+    ends = [ids.select(F.col("id").alias(e), F.col("seq").alias(f"__{e}")) for e in ("a", "b")]
+    pairs = und.join(ends[0], "a").join(ends[1], "b").select(F.col("__a").alias("a"), F.col("__b").alias("b"), F.rint(F.col("w") * grid).alias("w"))
+    pairs = tables.write(pairs, "pairs")
+    # Each edge in both directions; of a contracted community its own weight is a loop, counted from both ends.
+    level = pairs.unionAll(pairs.select("b", "a", "w"))
+    whole = pairs.agg(F.sum("w")).first()[0] * 2.0
+    member = ids.select(F.col("seq").alias("id"), F.col("seq").alias("now"))
+    k = 0
     while True:
-        large = sizes(placed).where(F.col("size") > most_edges_in_task).select("component")
-        small = placed.join(large, "component", "left_anti")
-        settled = small if settled is None else settled.unionByName(small)
-        level = placed.join(large, "component", "left_semi")
-        if level.isEmpty():
-            break
-        moved = _moves(tables, level, whole, k)
-        kept = moved.where("id <> label")
-        if kept.isEmpty():  # nothing gains by moving: these are the communities
+        groups = _moves(tables, level, whole, tolerance, k)
+        if groups.where("id <> label").isEmpty():  # nothing gains by moving: these are the communities
             break
         k += 1
-        member = member.join(moved, member["now"] == moved["id"], "left").select(member["id"], F.coalesce("label", "now").alias("now"))
-        member = tables.write(member, f"member-{k}")
+        member = tables.write(member.join(groups.select(F.col("id").alias("now"), "label"), "now", "left").select("id", F.coalesce("label", "now").alias("now")), f"member-{k}")
         for end in ("a", "b"):
-            level = level.join(moved.select(F.col("id").alias(end), F.col("label").alias(f"__{end}")), end).drop(end).withColumnRenamed(f"__{end}", end)
-        # A community's own weight stays with it as a loop, counted from both ends.
-        doubled = F.when(F.col("a") == F.col("b"), F.col("w") * F.when(F.col("loop"), 1).otherwise(2)).otherwise(F.col("w"))
-        level = level.withColumn("loop", F.lit(False)) if "loop" not in level.columns else level
-        placed = tables.write(level.select("component", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), doubled.alias("w")).groupBy("component", "a", "b").agg(F.sum("w").alias("w")).withColumn("loop", F.col("a") == F.col("b")), f"level-{k}")
-        settled = settled.withColumn("loop", F.lit(False)) if "loop" not in settled.columns else settled
-
-    def divide(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, flat = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]), return_inverse=True)
-        a, b, w = flat[: len(pdf)], flat[len(pdf) :], pdf["w"].to_numpy(float)
-        open_ = a != b  # a loop holds both directions already
-        label = _louvain(np.concatenate([a, b[open_]]), np.concatenate([b, a[open_]]), np.concatenate([w, w[open_]]), len(ids), whole)
-        least = pd.Series(ids).groupby(label).min()
-        return pd.DataFrame({"id": ids, "least": least.loc[label].to_numpy()})
-
-    found = settled.select("component", "a", "b", "w").groupBy("component").applyInPandas(divide, f"id {id_kind}, least {id_kind}")
-    every = member.join(found.withColumnRenamed("id", "now"), "now", "left").select("id", F.coalesce("least", "now").alias("group"))
+            level = level.join(groups.select(F.col("id").alias(end), F.col("label").alias(f"__{end}")), end).drop(end).withColumnRenamed(f"__{end}", end)
+        level = tables.write(level.groupBy("a", "b").agg(F.sum("w").alias("w")), f"level-{k}")
+    placed = member.select(F.col("id").alias("a"), F.col("now").alias("__a")), member.select(F.col("id").alias("b"), F.col("now").alias("__b"))
+    inside = pairs.join(placed[0], "a").join(placed[1], "b").where("__a = __b")
+    linked = component_labels(inside.select("a", "b"))  # the least node of each connected part
+    every = ids.join(linked, ids["seq"] == linked["node"], "left").select("id", F.coalesce("label", "seq").alias("group"))
     every = tables.write(every, "every")
-    firsts = every.groupBy("group").agg(F.min("id").alias("least"))
-    numbers = numbered(firsts, "least").select("group", (F.col("seq") - 1).alias("community"))
+    firsts = every.select("group").distinct()
+    numbers = numbered(firsts, "group").select("group", (F.col("seq") - 1).alias("community"))
     return every.join(numbers, "group").select("id", "community")
 
 
-def _moves(tables: Tables, level: DataFrame, whole: float, k: int, most_rounds: int = 24) -> DataFrame:
-    """(id, label): communities after rounds of moves by joins, nodes at first alone.
+def _moves(tables: Tables, level: DataFrame, whole: float, tolerance: float, k: int) -> DataFrame:
+    """(id, label): communities after rounds of moves, nodes at first alone; a label is the least of its members.
 
-    In each round a pseudo-random half of the nodes may move, so that neighbours don't swap for
-    ever; the rounds end when hardly a node gains.
+    The nodes are in two pseudo-random classes, drawn anew for every two rounds, that move in
+    turns, so that neighbours don't swap for ever. What a move gains is known from sums by (node, neighbouring
+    community); a hub or a community of any size is pre-aggregated.
     """
-    loops = level.columns.count("loop")
-    ends = level.where("a <> b") if loops else level
-    both = ends.select(F.col("a").alias("id"), F.col("b").alias("other"), "w").unionByName(ends.select(F.col("b").alias("id"), F.col("a").alias("other"), "w"))
-    both = tables.write(both, f"both-{k}")
-    own = level.where("a = b").select(F.col("a").alias("id"), "w")
-    strength = both.select("id", "w").unionByName(own).groupBy("id").agg(F.sum("w").alias("k"))
-    state = tables.write(strength.select("id", F.col("id").alias("label"), "k"), f"state-{k}-0")
-    n = state.count()
-    quiet = 0
-    for r in range(1, most_rounds + 1):
+    strength = level.groupBy("a").agg(F.sum("w").alias("k"))
+    near = level.where("a <> b").join(strength, "a")
+    near = tables.write(near, f"near-{k}")
+    # What tells the rounds apart is data, so that all rounds run the same compiled code.
+    draw = F.xxhash64("a", F.lit(k)).alias("draw"), F.lit(0).alias("half")
+    state = tables.write(near.groupBy("a").agg(F.first("k").alias("k")).select(F.col("a").alias("id"), F.col("a").alias("label"), "k", *draw), f"state-{k}-0")
+    best, reached, idle, r = state, -math.inf, 0, 0
+    names = {0}
+    while idle < 2:
         mass = state.groupBy("label").agg(F.sum("k").alias("mass"))
-        near = both.join(state.select(F.col("id").alias("other"), "label"), "other").groupBy("id", "label").agg(F.sum("w").alias("links"))
-        stay = state.select("id", "label", F.lit(0.0).alias("links"))
-        options = near.unionByName(stay).groupBy("id", "label").agg(F.sum("links").alias("links")).join(mass, "label")
-        rated = options.join(state.select("id", F.col("label").alias("here"), "k"), "id")
-        away = F.col("mass") - F.when(F.col("label") == F.col("here"), F.col("k")).otherwise(0.0)
-        rated = rated.withColumn("gain", F.col("links") - F.col("k") * away / F.lit(whole))
-        best = rated.groupBy("id", "here", "k").agg(F.min_by("label", F.struct(F.negate("gain"), F.col("label"))).alias("best"), F.max("gain").alias("gain"), F.max(F.when(F.col("label") == F.col("here"), F.col("gain"))).alias("stay"))
-        turn = F.pmod(F.xxhash64(F.lit(r), "id"), F.lit(2)) == 0
-        goes = turn & (F.col("gain") > F.col("stay") + 1e-12)
-        new = best.select("id", F.when(goes, F.col("best")).otherwise(F.col("here")).alias("label"), "k", goes.alias("moved"))
-        state, (moves,) = tables.write_measured(new, f"state-{k}-{r}", F.count_if("moved"))
-        tables.drop(f"state-{k}-{r - 1}")
-        state = state.drop("moved")
-        quiet = quiet + 1 if moves <= n / 1000 else 0
-        if quiet == 2:  # both halves have had their turn
+        placed = state.select("id", "label", "k", "draw", "half").join(mass, "label")
+        toward = near.join(placed.select(F.col("id").alias("b"), "label", "mass"), "b").select("a", "label", "w", "k", "mass", F.lit(None).cast("double").alias("own"), F.lit(None).cast("long").alias("draw"), F.lit(None).cast("int").alias("half"))
+        stay = placed.select("id", "label", F.lit(0.0), "k", "mass", "k", "draw", "half")
+        options = toward.unionAll(stay).groupBy("a", "label").agg(F.sum("w").alias("links"), *[F.max(c).alias(c) for c in ("k", "mass", "own", "draw", "half")])
+        here = F.col("own").isNotNull()
+        options = options.withColumn("gain", F.col("links") - F.col("k") * (F.col("mass") - F.coalesce("own", F.lit(0.0))) / F.lit(whole))
+        chosen = options.groupBy("a").agg(
+            F.min_by("label", F.struct(F.negate("gain"), F.col("label"))).alias("to"),
+            F.max("gain").alias("gain"),
+            F.max("k").alias("k"),
+            F.max(F.when(here, F.struct("label", "gain", "links", "mass", "draw", "half"))).alias("now"),
+        )
+        goes = (F.pmod("now.draw", F.lit(2)) == F.col("now.half")) & (F.col("gain") > F.col("now.gain"))
+        new = chosen.select(
+            F.col("a").alias("id"),
+            F.when(goes, F.col("to")).otherwise(F.col("now.label")).alias("label"),
+            "k",
+            F.when(F.col("now.half") == 1, F.xxhash64("now.draw")).otherwise(F.col("now.draw")).alias("draw"),
+            (F.lit(1) - F.col("now.half")).alias("half"),
+            F.col("now.links").alias("links"),
+            F.col("now.mass").alias("mass"),
+            (F.col("gain") > F.col("now.gain")).alias("wants"),
+        )
+        new = tables.write(new, f"state-{k}-{r + 1}")
+        # Modularity before this round, loops aside: they are the same in every round.
+        value, wants = new.agg(F.sum("links") / F.lit(whole) - F.sum(F.col("k") * F.col("mass") / F.lit(whole)) / F.lit(whole), F.count_if("wants")).first()
+        if value is None:  # no edge between two nodes
+            break
+        idle = 0 if value > reached + tolerance else idle + 1
+        if value > reached:
+            best, reached, keep = state, value, r
+        if not wants:  # no node would move, whoever's turn it is
             break
-    # A label is the id of a node that may have left; the smallest member stands for the community.
-    firsts = state.groupBy("label").agg(F.min("id").alias("first"))
-    return tables.write(state.join(firsts, "label").select("id", F.col("first").alias("label")), f"moved-{k}")
+        names.add(r + 1)
+        for old in names - {keep, r + 1}:
+            tables.drop(f"state-{k}-{old}")
+        names &= {keep, r + 1}
+        state, r = new, r + 1
+    firsts = best.groupBy("label").agg(F.min("id").alias("first"))
+    return tables.write(best.select("id", "label").join(firsts, "label").select("id", F.col("first").alias("label")), f"moved-{k}")
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:

@@ -40,6 +40,18 @@ def communities_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.communities(*_parts(spark, sf_dir))
 
 
+@query(f"""
+WITH e AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, sum(weight) AS w FROM ({_PARTS_SQL}) WHERE src <> dst GROUP BY 1, 2),
+p AS (SELECT CAST(substr(a, 2) AS BIGINT) % 7 AS x, CAST(substr(b, 2) AS BIGINT) % 7 AS y, w FROM e), k AS (SELECT c, sum(w) AS k FROM (SELECT x AS c, w FROM p UNION ALL SELECT y, w FROM p) GROUP BY 1), m AS (SELECT sum(w) AS m, sum(w) FILTER (x = y) AS inside FROM p)
+SELECT round(inside / m - (SELECT sum(k * k) FROM k) / (4 * m * m), 9) AS modularity FROM m
+""")
+def modularity_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modularity of a given partition, by key modulo seven."""
+    nodes, edges = _parts(spark, sf_dir)
+    labels = nodes.select("id", (F.substring("id", 2, 20).cast("bigint") % 7).alias("community"))
+    return graph.modularity(edges, labels).select(F.bround("modularity", 9).alias("modularity"))
+
+
 @query(f"""
 SELECT sha256('["literature","Drug","' || name_1 || '"]') AS src, sha256('["literature","Disease","' || name_2 || '"]') AS dst, 'literature:' || relation AS key, arg_max(computed_confidence, seq) AS weight
 FROM ({views.scored_sql(True)}) GROUP BY name_1, name_2, relation

@@ -1,5 +1,7 @@
 """Components and communities at several ways of cutting the work."""
 
+from collections import defaultdict
+
 import numpy as np
 import pytest
 
@@ -15,22 +17,81 @@ def planted(rng, groups=12, size=15):
     return pairs
 
 
-def test_moves_by_joins_find_what_one_task_finds(spark):
+def louvain(pairs, n):
+    """Plain Louvain in one process: local moves, contraction, until nothing moves."""
+    weight = defaultdict(float)
+    for a, b, w in pairs:
+        if a != b:
+            weight[a, b] += w
+            weight[b, a] += w
+    whole, member = sum(weight.values()), list(range(n))
+    while True:
+        near, strength = defaultdict(dict), defaultdict(float)
+        for (a, b), w in weight.items():
+            near[a][b] = w
+            strength[a] += w
+        label, mass, moved_any, moved = {v: v for v in near}, dict(strength), False, True
+        while moved:
+            moved = False
+            for v in sorted(near):
+                links = defaultdict(float, {label[v]: 0.0})
+                for u, w in near[v].items():
+                    if u != v:
+                        links[label[u]] += w
+                mass[label[v]] -= strength[v]
+                gain = {c: x - strength[v] * mass[c] / whole for c, x in links.items()}
+                best = max(sorted(gain), key=gain.get)
+                if gain[best] > gain[label[v]] + 1e-12:
+                    label[v], moved, moved_any = best, True, True
+                mass[label[v]] += strength[v]
+        if not moved_any:
+            return member
+        member = [label.get(c, c) for c in member]
+        new = defaultdict(float)
+        for (a, b), w in weight.items():
+            new[label[a], label[b]] += w
+        weight = new
+
+
+def test_communities_are_as_good_as_plain_louvain_and_the_same_in_any_setting(spark):
     pairs = planted(np.random.default_rng(3))
     edges = spark.createDataFrame(pairs, "src bigint, dst bigint, weight double")
     nodes = spark.range(12 * 15 + 2)
-    one = graph.communities(nodes, edges)
-    many = graph.communities(nodes, edges, most_edges_in_task=50)
-    found = {}
-    for name, labels in (("one", one), ("many", many)):
-        rows = {r["id"]: r["community"] for r in labels.collect()}
-        assert len(rows) == 182 and sorted(set(rows.values())) == list(range(len(set(rows.values()))))
-        first = {}
-        for i in sorted(rows):
-            first.setdefault(rows[i], i)
-        assert [first[c] for c in sorted(first)] == sorted(first.values())  # numbers by smallest member
-        found[name] = graph.modularity(edges, labels).first()[0]
-    assert found["one"] > 0.75 and found["many"] > 0.95 * found["one"]
+    found = []
+    for partitions, adaptive in (("4", "true"), ("7", "false")):
+        try:
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            labels = graph.communities(nodes.repartition(int(partitions)), edges.repartition(int(partitions) + 1))
+            found.append({r["id"]: r["community"] for r in labels.collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+    rows = found[0]
+    assert rows == found[1] and len(rows) == 182 and sorted(set(rows.values())) == list(range(len(set(rows.values()))))
+    first = {}
+    for i in sorted(rows):
+        first.setdefault(rows[i], i)
+    assert [first[c] for c in sorted(first)] == sorted(first.values())  # numbers by smallest member
+    plain = spark.createDataFrame(list(enumerate(louvain(pairs, 182))), "id bigint, community bigint")
+    ours = spark.createDataFrame(list(rows.items()), "id bigint, community bigint")
+    best = graph.modularity(edges, plain).first()[0]
+    assert best > 0.75 and graph.modularity(edges, ours).first()[0] > 0.99 * best
+
+
+def test_communities_of_odd_graphs(spark):
+    kind = "src string, dst string, weight double"
+    nodes = spark.createDataFrame([("x",), ("a",), ("b",), ("b",)], "id string")
+    for edges in ([], [("a", "a", 1.0)], [("a", "b", 0.0)]):
+        found = graph.communities(nodes, spark.createDataFrame(edges, kind))
+        assert sorted(map(tuple, found.collect())) == [("a", 0), ("b", 1), ("x", 2)]
+    found = graph.communities(nodes, spark.createDataFrame([("a", "b", 1e-9), ("b", "a", 1e-9), ("x", "x", 5.0)], kind))
+    assert sorted(map(tuple, found.collect())) == [("a", 0), ("b", 0), ("x", 1)]
+    assert graph.communities(nodes.limit(0), spark.createDataFrame([], kind)).collect() == []
+    hub = [(0, i, 1.0) for i in range(1, 300)] + [(i, i + 1, 5.0) for i in range(1, 300, 2)]
+    labels = graph.communities(spark.range(301), spark.createDataFrame(hub, "src bigint, dst bigint, weight double"))
+    rows = {r["id"]: r["community"] for r in labels.collect()}
+    assert all(rows[i] == rows[i + 1] for i in range(1, 300, 2))
 
 
 @pytest.mark.parametrize("block", [1 << 20, 5])
