@@ -45,49 +45,138 @@ def exact_in_joined(span: Column, title: Column, abstract: Column) -> Column:
     return (quote != "") & F.contains(joined, quote)
 
 
+def _plain(c: Column) -> Column:
+    """A plain text's folded form, its white space aside: as long as the text, so places in it are places in the text."""
+    return F.lower(F.translate(c, "".join(spans.DASHES_AND_QUOTES), "".join(spans.DASHES_AND_QUOTES.values())))
+
+
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+
+
+def _single(folded: Column) -> Column:
+    """Folded text with single white space."""
+    return F.regexp_replace(folded, r"\s+", " ")
+
+
+def _origin(folded: Column, place: Column) -> Column:
+    """The place in a text of a place in its single form: as much further on as its runs of white space before that are longer than one."""
+    before = F.substring(_single(folded), F.lit(1), place)
+    blanks = F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))
+    more = F.slice(F.regexp_extract_all(folded, F.lit(r"\s+"), F.lit(0)), F.lit(1), blanks)
+    return place + F.aggregate(more, F.lit(0), lambda total, run: total + F.length(run) - 1)
+
+
+def _piece(text: Column, start: Column, end: Column) -> Column:
+    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.substring(text, start + 1, end - start).alias("text"))
+
+
+def _pieces(text: Column, needles: Column) -> Column:
+    """The places of folded needles in a text, each the first after the one before; null if one isn't there."""
+    folded = _plain(text)
+    kind = "struct<at:int,found:array<struct<a:int,b:int>>>"
+
+    def step(state: Column, needle: Column) -> Column:
+        place = F.position(needle, _single(folded), state["at"])
+        end = place + F.length(needle)
+        there = F.struct(end.alias("at"), F.concat(state["found"], F.array(F.struct((place - 1).alias("a"), (end - 1).alias("b")))).alias("found")).cast(kind)
+        return F.when(state.isNotNull() & (place > 0), there)
+
+    found = F.aggregate(needles, F.struct(F.lit(1).alias("at"), F.array().alias("found")).cast(kind), step)["found"]
+    return F.transform(found, lambda p: _piece(text, _origin(folded, p["a"]), _origin(folded, p["b"])))
+
+
+def native_segments(quote: Column, title: Column, abstract: Column) -> Column:
+    """array<struct(status, field, start, end, text)> of the first tier that finds a plain quote, null if none does; quote is stripped and not empty.
+
+    The tiers are exact, normalized and ordered_fragments, each tried in title and abstract before the next. Folded forms
+    with single white space are searched; parts around an ellipsis one after the other, by an aggregate
+    that carries the place reached. Places are then carried back past the white space that was left out.
+    """
+    fields = {"title": F.coalesce(title, F.lit("")), "abstract": F.coalesce(abstract, F.lit(""))}
+    parts = F.transform(F.split(quote, spans.ELLIPSIS), lambda part: F.trim(_single(_plain(part))))
+    good = F.forall(parts, lambda p: (F.length(p) >= spans.LEAST_PIECE) & p.rlike(r"[\p{L}\p{N}_]"))
+
+    def found(status: str, name: str, pieces: Column) -> Column:
+        return F.transform(pieces, lambda p: F.struct(F.lit(status).alias("status"), F.lit(name).alias("field"), p["start"].alias("start"), p["end"].alias("end"), p["text"].alias("text")))
+
+    def tier(status: str, pieces) -> list[Column]:
+        return [found(status, name, pieces(text)) for name, text in fields.items()]
+
+    exact = tier("exact", lambda text: F.when(F.contains(text, quote), F.array(_piece(text, F.position(quote, text) - 1, F.position(quote, text) - 1 + F.length(quote)))))
+    folded = tier("normalized", lambda text: _pieces(text, F.array(_single(_plain(quote)))))
+    fragments = tier("ordered_fragments", lambda text: F.when((F.size(parts) > 1) & good, _pieces(text, parts)))
+    # coalesce looks at each only where those before found nothing.
+    return F.when(is_plain(quote), F.coalesce(*exact, F.when(is_plain(*fields.values()), F.coalesce(*folded, *fragments))))
+
+
+def is_plain(*texts: Column) -> Column:
+    """Whether native_location may decide: no character whose folding changes more than its case."""
+    pattern = rf"\A{spans.plain_characters()}*+\z"
+    plain = F.lit(True)
+    for text in texts:
+        plain &= F.coalesce(text, F.lit("")).rlike(pattern)
+    return plain
+
+
 def locate(records: DataFrame, suggest: bool = True) -> DataFrame:
     """Records (joined with sources) with `location`: status, segments, suggestion.
 
-    Exact quotes, the great majority, are found by a native expression and never reach
-    Python's tiers; the rest are done in Arrow batches.
+    Tiers are native columns wherever the texts are plain, which most Latin text is. Python, in Arrow batches,
+    has the similarity tier (only quotes that no other tier found) and texts with characters that fold to others;
+    other rows pass it by as nulls.
     """
     kind = f"struct<status:string,segments:array<{SEGMENT}>,suggestion:{SUGGESTION}>"
 
     @F.pandas_udf(kind)
-    def tiers(quote: pd.Series, title: pd.Series, abstract: pd.Series) -> pd.DataFrame:
-        rows = [spans.locate(q, {"title": t or "", "abstract": a or ""}, suggest) for q, t, a in zip(quote, title, abstract)]
+    def tiers(hard: pd.Series, quote: pd.Series, title: pd.Series, abstract: pd.Series) -> pd.DataFrame:
+        none = {"status": None, "segments": [], "suggestion": None}
+        rows = [spans.locate(q, {"title": t or "", "abstract": a or ""}, suggest) if h else none for h, q, t, a in zip(hard, quote, title, abstract)]
         return pd.DataFrame(rows, columns=["status", "segments", "suggestion"])
 
-    quote = F.trim(F.coalesce(F.col("evidence_text"), F.lit("")))
-    in_title, in_abstract = F.position(quote, F.coalesce("title", F.lit(""))), F.position(quote, F.coalesce("abstract", F.lit("")))
-
-    def native(field: str, at: Column) -> Column:
-        segment = F.struct(F.lit(field).alias("field"), (at - 1).cast("int").alias("start"), (at - 1 + F.length(quote)).cast("int").alias("end"), quote.alias("text"))
-        return F.struct(F.lit("exact").alias("status"), F.array(segment).alias("segments"), F.lit(None).cast(SUGGESTION).alias("suggestion")).cast(kind)
-
-    exact = records.withColumn("__at", F.when((quote != "") & F.col("has_source"), F.when(in_title > 0, native("title", in_title)).when(in_abstract > 0, native("abstract", in_abstract))))
-    easy = exact.where(F.col("__at").isNotNull()).withColumnRenamed("__at", "location")
-    hard = exact.where(F.col("__at").isNull()).withColumn("location", tiers("evidence_text", "title", "abstract")).drop("__at")
-    return easy.unionByName(hard)
+    quote, title, abstract = _stripped(F.col("evidence_text")), F.col("title"), F.col("abstract")
+    tried = records.withColumn("__found", F.when(quote != "", native_segments(quote, title, abstract)))
+    lost = F.col("__found").isNull() & (quote != "")
+    hard = lost if suggest else lost & ~is_plain(quote, title, abstract)
+    tried = tried.withColumn("__hard", hard | ((quote == "") & ~is_plain(F.col("evidence_text"))))
+    slow = tiers("__hard", *[F.when(F.col("__hard"), F.col(c)) for c in ("evidence_text", "title", "abstract")])
+    status = F.coalesce(F.get("__found", F.lit(0))["status"], F.when(quote == "", "missing_evidence").otherwise("not_located"))
+    segments = F.transform(F.coalesce("__found", F.array()), lambda p: F.struct(p["field"].alias("field"), p["start"].alias("start"), p["end"].alias("end"), p["text"].alias("text")))
+    native = F.struct(status.alias("status"), segments.alias("segments"), F.lit(None).cast(SUGGESTION).alias("suggestion")).cast(kind)
+    return tried.withColumn("__slow", slow).withColumn("location", F.when(F.col("__hard"), F.col("__slow")).otherwise(native)).drop("__found", "__hard", "__slow")
 
 
 def quote_places(docs: DataFrame, quotes: DataFrame, doc: str, quote: str, text: str = "text", quoted: str = "quote", words: int = 5) -> DataFrame:
     """(doc, quote, start) of each document and each quote that stands in it as it is, and where first.
 
-    A quote's words but its first and last are whole words of a text that holds it, so a run of
-    `words` of them is a run of the text's: documents and quotes meet by hashes of such runs and
-    are then compared. Quotes with too few words for one have no key and are compared with every
-    document, which is why there should be few of them.
+    A quote's words but its first and last are whole words of a text that holds it, so a run of up to `words` of
+    them is a run of the text's. Documents and quotes meet by hashes of such runs, of as many words as the
+    quote allows, and pairs are then compared: runs carry the document's key and no text. A quote of
+    one or two words has no whole word inside; the letters that it and a text must share are its first three, wherever they
+    stand. Documents must have unique keys.
     """
-    split = lambda c: F.split(F.col(c), r"\s+")
-    keyed = quotes.select(quote, quoted).where(F.coalesce(F.col(quoted), F.lit("")) != "").withColumn("__w", split(quoted))
-    long = keyed.where(F.size("__w") >= words + 2).select(quote, quoted, F.xxhash64(F.slice("__w", 2, words)).alias("__key"))
+    keyed = quotes.select(quote, quoted).where(F.coalesce(F.col(quoted), F.lit("")) != "").withColumn("__w", F.split(quoted, r"\s+"))
+    # The length of a run is part of its key; below 0 it is of letters, of which a quote of fewer than three has its first.
+    inner, letters = F.least(F.size("__w") - 2, F.lit(words)), F.least(F.length(quoted), F.lit(_LETTERS))
+    run = F.when(inner > 0, F.slice("__w", 2, inner)).otherwise(F.slice(F.split(quoted, ""), 1, letters))
+    keyed = keyed.select(quote, quoted, F.when(inner > 0, inner).otherwise(-letters).alias("__n"), F.xxhash64(run).alias("__h"))
     body = docs.select(doc, text).where(F.col(text).isNotNull())
-    runs = body.withColumn("__w", split(text)).where(F.size("__w") >= words)
-    runs = runs.select(doc, text, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("__w") - words + 1), lambda i: F.xxhash64(F.slice("__w", i, F.lit(words)))))).alias("__key"))
-    met = runs.join(long, "__key").drop("__key").unionByName(body.join(keyed.where(F.size("__w") < words + 2).select(quote, quoted), F.contains(F.col(text), F.col(quoted))))
+    out = body.select(doc, F.lit(None).cast(keyed.schema[quote].dataType).alias(quote), F.lit("").alias(quoted)).where("false")
+    for (n,) in sorted(keyed.select("__n").distinct().collect()):  # words + _LETTERS rows at most
+        cut = body.withColumn("__w", F.split(text, r"\s+" if n > 0 else "")).where(F.size("__w") >= abs(n))
+        runs = cut.select(doc, F.explode(_runs("__w", abs(n))).alias("__h"))
+        out = out.unionAll(runs.join(keyed.where(F.col("__n") == n).drop("__n"), "__h").select(doc, quote, quoted).distinct())
     at = F.position(F.col(quoted), F.col(text))
-    return met.where(at > 0).select(doc, quote, (at - 1).alias("start")).distinct()
+    return out.join(body, doc).where(at > 0).select(doc, quote, (at - 1).alias("start")).distinct()
+
+
+_LETTERS = 3
+
+
+def _runs(items: str, n: int) -> Column:
+    """Hashes of all runs of n items of an array."""
+    places = F.sequence(F.lit(1), F.size(items) - n + 1)
+    return F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.slice(items, i, F.lit(n)))))
 
 
 def _with_aliases(records: DataFrame, dictionary: DataFrame | None) -> DataFrame:

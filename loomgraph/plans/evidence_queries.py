@@ -13,7 +13,7 @@ from loomgraph.functions import spans
 from loomgraph.operators import evidence
 from loomgraph.plans import views
 from loomgraph.plans.queries import _spread
-from loomgraph.plans.registry import query
+from loomgraph.plans.registry import query, table
 
 _W = r"[\p{L}\p{N}_]"
 _FOLD = r"trim(regexp_replace(lower({0}), '[\s\x0B\xA0]+', ' ', 'g'))"
@@ -32,6 +32,25 @@ def locate_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("seq", "location.status", F.size("location.segments").alias("segments"), F.get("location.segments", F.lit(0))["start"].alias("start"))
 
 
+_PIECE = "length({0}) >= 5 AND regexp_matches({0}, '[\\p{{L}}\\p{{N}}_]')"
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id AS seq, text, string_split(split_part(text, '.', 1), ' ') AS w FROM documents WHERE text IS NOT NULL),
+p AS (SELECT seq, text, trim(array_to_string(w[1:3], ' ')) AS a, trim(array_to_string(w[5:7], ' ')) AS b FROM d),
+f AS (SELECT *, position(lower(a) IN lower(text)) AS x FROM p), g AS (SELECT *, position(lower(b) IN substr(lower(text), x + length(a))) AS y FROM f)
+SELECT seq, CASE WHEN held THEN 'ordered_fragments' ELSE 'not_located' END AS status, CASE WHEN held THEN (x - 1) || ',' || (x + length(a) + y - 2) ELSE '' END AS starts
+FROM (SELECT *, {_PIECE.format("a")} AND {_PIECE.format("b")} AND x > 0 AND y > 0 AS held FROM g)
+""")
+def locate_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's first words, in capitals, and some after them, with an ellipsis between."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").withColumn("w", F.split(F.split_part("text", F.lit("."), F.lit(1)), " "))
+    parts = [F.array_join(F.slice("w", at, 3), " ") for at in (1, 5)]
+    quote = F.concat(F.translate(parts[0], "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit(" ... "), parts[1])
+    found = evidence.locate(docs.select(F.col("doc_id").alias("seq"), quote.alias("evidence_text"), F.lit(None).cast("string").alias("title"), F.col("text").alias("abstract"), F.lit(True).alias("has_source")), suggest=False)
+    return found.select("seq", "location.status", F.array_join(F.transform("location.segments", lambda x: x["start"].cast("string")), ",").alias("starts"))
+
+
 def _cue_sql(pattern: str, *texts: str) -> str:
     """A cue pattern in a dialect without Unicode word bounds."""
     inner = pattern.replace(r"\b", "").replace(r"\w*", f"{_W}*").replace("'", "''")
