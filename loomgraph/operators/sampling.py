@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.sources.records import numbered
+
 
 def hash_order(seed: int, *keys: str) -> Column:
     """A random-like order that any engine can repeat: the MD5 of the seed and the keys."""
@@ -46,11 +48,10 @@ def challenge(df: DataFrame, limit: int, primary: int, seed: int, keys: Sequence
 
 
 def review_rows(df: DataFrame, *order: str) -> DataFrame:
-    """Sampled records as flat review rows with an ordinal id and blank label columns."""
-    number = F.row_number().over(Window.orderBy(*order))
+    """Records as flat review rows with blank label columns and an ordinal id in the given total order, its number four digits wide at least."""
     blank = ["support_label", "entity_1_correct", "entity_2_correct", "relation_correct", "direction_correct", "evidence_span_correct", "error_type", "review_notes", "reviewer_id", "review_date", "second_support_label", "second_reviewer_id", "second_review_date", "adjudicated_label", "adjudication_notes"]
-    return df.select(
-        F.format_string("SMA-RE-%04d", number).alias("candidate_id"),
+    return numbered(df, *order).select(
+        F.format_string("SMA-RE-%04d", "seq").alias("candidate_id"),
         "sample_group",
         F.when(F.col("requires_second_review"), "yes").otherwise("no").alias("requires_second_review"),
         "source_pmid",
