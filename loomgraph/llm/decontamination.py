@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from loomgraph.llm.common import own_name, own_names, plain_names, row_key, Scratch, ship, utf8
+from loomgraph.llm.common import Scratch, own_name, own_names, plain_names, row_key, ship, utf8
 
 #: ASCII characters that aren't letters or digits part words; case is folded before.
 _PARTS = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import own_name, own_names, plain_names, row_key, Scratch, ship, utf8
+from loomgraph.llm.common import Scratch, own_name, own_names, plain_names, row_key, ship, utf8
 from loomgraph.operators.components import component_labels
 
 _BITS = 64

@@ -487,5 +487,5 @@ def test_myers_equals_the_table():
 def test_registered_names():
     from loomgraph.llm.queries import ORACLES, QUERIES
 
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES) and json.dumps(sorted(ORACLES))
