@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from loomgraph.llm.common import Scratch, no_clash, ship, utf8
 #: Runs of letters (and of what Unicode counts as numeric but no digit).
 _LETTERS = re.compile(r"[^\W\d_]+")
 _LONGEST = 4
+_ORDERS = (0, *range(_LONGEST, 0, -1))  # words, then ever shorter n-grams
 _SEED = 42  # Spark's xxhash64 of one string is XXH64 of its UTF-8 bytes with this seed
 
 
@@ -43,22 +45,24 @@ class Entries:
     def __init__(self, hashes: np.ndarray, starts: np.ndarray, which: np.ndarray, gains: np.ndarray):
         self.hashes, self.starts, self.which, self.gains = hashes, starts, which, gains
 
-    def find(self, entries: list[str]) -> np.ndarray:
-        """Places of those of the entries that are known, repeats included."""
+    def find(self, entries: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the entries are known, and the places of those."""
         if not len(self.hashes):
-            return np.zeros(0, np.int64)
+            return np.zeros(len(entries), bool), np.zeros(0, np.int64)
         wanted = np.array([xxh64_intdigest(e.encode("utf-8", "replace"), _SEED) for e in entries], np.uint64).view(np.int64)
         at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
-        return at[self.hashes[at] == wanted]
+        known = self.hashes[at] == wanted
+        return known, at[known]
 
     def __contains__(self, entry: str) -> bool:
-        return len(self.find([entry])) > 0
+        return bool(self.find([entry])[0][0])
 
-    def gained(self, places: np.ndarray, languages: int) -> np.ndarray:
-        """Sum over places of each language's gain."""
+    def gained(self, places: np.ndarray, owners: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+        """(owner, language): sums of the gains at the places of each owner."""
         starts, sizes = self.starts[places], self.starts[places + 1] - self.starts[places]
         cells = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        return np.bincount(self.which[cells], self.gains[cells], languages)
+        at = np.repeat(owners, sizes) * shape[1] + self.which[cells]
+        return np.bincount(at, self.gains[cells], shape[0] * shape[1]).reshape(shape)
 
 
 _NONE = Entries(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32))
@@ -77,19 +81,24 @@ class Model:
         self.index = [entries.get(order, _NONE) for order in range(_LONGEST + 1)]
         self.floors = [floors.get(order, np.zeros(len(languages))) for order in range(_LONGEST + 1)]
 
-    def _mean(self, order: int, places: np.ndarray) -> np.ndarray:
-        return self.floors[order] + self.index[order].gained(places, len(self.languages)) / len(places)
+    def rows(self, words: list[str], orders: tuple[int, ...] = _ORDERS) -> np.ndarray:
+        """(word, language): what each word says, by the first of the orders that knows it or a gram of it."""
+        out, left = np.zeros((len(words), len(self.languages)), np.float32), np.arange(len(words))
+        for order in orders:
+            if not len(left):
+                break
+            grams = [[words[j]] if order == 0 else grams_of(words[j], order) for j in left]
+            known, places = self.index[order].find(list(chain.from_iterable(grams)))
+            owners = np.repeat(np.arange(len(left)), list(map(len, grams)))[known]
+            hits = np.bincount(owners, minlength=len(left))
+            found = hits > 0
+            sums = self.index[order].gained(places, owners, (len(left), len(self.languages)))
+            out[left[found]] = self.floors[order] + sums[found] / hits[found, None]
+            left = left[~found]
+        return out
 
     def unseen(self, word: str) -> np.ndarray:
-        for n in range(_LONGEST, 0, -1):
-            known = self.index[n].find(grams_of(word, n))
-            if len(known):
-                return self._mean(n, known)
-        return np.zeros(len(self.languages))
-
-    def of(self, word: str) -> np.ndarray:
-        known = self.index[0].find([word])
-        return self._mean(0, known) if len(known) else self.unseen(word)
+        return self.rows([word], _ORDERS[1:])[0]
 
 
 class StoredModel:
@@ -118,12 +127,20 @@ class Scorer(dict):
         super().__init__()
         self.model = model
         self.most = max(1, min(most_words, most_cells // max(1, len(model.languages))))
-        self.rows = np.zeros((self.most, len(model.languages)), np.float32)
-
-    def __missing__(self, word: str) -> int:
-        row = self[word] = len(self)
-        self.rows[row] = self.model.of(word)
-        return row
+        self.letters = most_cells // max(1, len(model.languages))  # of words that are looked up at once
+        self.table = np.zeros((self.most, len(model.languages)), np.float32)
+
+    def learn(self, words: list[str]) -> None:
+        """Rows for words that have none, in runs of few letters, as each gives all its grams at once."""
+        at = 0
+        while at < len(words):
+            end, letters = at + 1, len(words[at])
+            while end < len(words) and letters + len(words[end]) <= self.letters:
+                letters += len(words[end])
+                end += 1
+            self.table[len(self) : len(self) + end - at] = self.model.rows(words[at:end])
+            self.update(zip(words[at:end], range(len(self), len(self) + end - at)))
+            at = end
 
     def predict(self, text: str) -> tuple[str, float]:
         words = _counted_words(text)
@@ -133,10 +150,11 @@ class Scorer(dict):
         step = max(1, min(self.most // 4, 1 << 14))
         seen, times = list(words), np.fromiter(words.values(), float, len(words))
         for i in range(0, len(seen), step):
-            if len(self) + step > self.most:
+            some = seen[i : i + step]
+            if len(self) + len(some) > self.most:
                 self.clear()
-            rows = np.fromiter(map(self.__getitem__, seen[i : i + step]), np.int64)
-            total += times[i : i + step] @ self.rows[rows]
+            self.learn([w for w in some if w not in self])
+            total += times[i : i + step] @ self.table[[self[w] for w in some]]
         return _decided(self.model.languages, total)
 
 
@@ -274,7 +292,7 @@ def _identify_by_joins(df: DataFrame, model: StoredModel, id_col: str, text_col:
     unknown, (rows,) = scratch.write_measured(met.groupBy("word").agg(F.count(F.lit(1)).alias("texts")), "words", F.sum("texts"))
     heavy = F.broadcast(unknown.where(F.col("texts") > (rows or 0) / 4096.0).select("word", F.greatest(F.lit(1), F.ceil(F.col("texts") * (512.0 / max(1, rows or 0)))).cast("int").alias("spread")))
     resolved = None
-    for order in (0, *range(_LONGEST, 0, -1)):
+    for order in _ORDERS:
         asked = unknown.select("word", F.explode(_grams("word", order)).alias("gram")).select("word", F.xxhash64("gram").alias("hash"))
         found = scratch.write(asked.join(model.entries.where(F.col("order") == order).select("hash", "cells"), "hash").select("word", "cells"), f"found{order}")
         known = found.groupBy("word").agg(F.count(F.lit(1)).alias("known"))
