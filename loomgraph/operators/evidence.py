@@ -86,7 +86,7 @@ def _pieces(text: Column, needles: Column) -> Column:
     return F.transform(found, lambda p: _piece(text, _origin(folded, p["a"]), _origin(folded, p["b"])))
 
 
-def native_segments(quote: Column, title: Column, abstract: Column) -> Column:
+def native_segments(quote: Column, title: Column, abstract: Column, written: bool = False) -> Column:
     """array<struct(status, field, start, end, text)> of the first tier that finds a plain quote, null if none does; quote is stripped and not empty.
 
     The tiers are exact, normalized and ordered_fragments, each tried in title and abstract before the next. Folded forms
@@ -94,8 +94,9 @@ def native_segments(quote: Column, title: Column, abstract: Column) -> Column:
     that carries the place reached. Places are then carried back past the white space that was left out.
     """
     fields = {"title": F.coalesce(title, F.lit("")), "abstract": F.coalesce(abstract, F.lit(""))}
-    parts = F.transform(F.split(quote, spans.ELLIPSIS), lambda part: F.trim(_single(_plain(part))))
-    good = F.forall(parts, lambda p: (F.length(p) >= spans.LEAST_PIECE) & p.rlike(r"[\p{L}\p{N}_]"))
+    raw = F.split(quote, spans.ELLIPSIS)
+    parts = F.transform(raw, lambda part: F.trim(_single(_plain(part))))
+    good = F.forall(F.transform(raw, _stripped) if written else parts, lambda p: (F.length(p) >= spans.LEAST_PIECE) & p.rlike(r"[\p{L}\p{N}_]"))
 
     def found(status: str, name: str, pieces: Column) -> Column:
         return F.transform(pieces, lambda p: F.struct(F.lit(status).alias("status"), F.lit(name).alias("field"), p["start"].alias("start"), p["end"].alias("end"), p["text"].alias("text")))
@@ -119,23 +120,23 @@ def is_plain(*texts: Column) -> Column:
     return plain
 
 
-def locate(records: DataFrame, suggest: bool = True) -> DataFrame:
+def locate(records: DataFrame, suggest: bool = True, written: bool = False) -> DataFrame:
     """Records (joined with sources) with `location`: status, segments, suggestion.
 
     Tiers are native columns wherever the texts are plain, which most Latin text is. Python, in Arrow batches,
     has the similarity tier (only quotes that no other tier found) and texts with characters that fold to others;
-    other rows pass it by as nulls.
+    other rows pass it by as nulls. written: parts around an ellipsis must be long enough as they are written, not as folded.
     """
     kind = f"struct<status:string,segments:array<{SEGMENT}>,suggestion:{SUGGESTION}>"
 
     @F.pandas_udf(kind)
     def tiers(hard: pd.Series, quote: pd.Series, title: pd.Series, abstract: pd.Series) -> pd.DataFrame:
         none = {"status": None, "segments": [], "suggestion": None}
-        rows = [spans.locate(q, {"title": t or "", "abstract": a or ""}, suggest) if h else none for h, q, t, a in zip(hard, quote, title, abstract)]
+        rows = [spans.locate(q, {"title": t or "", "abstract": a or ""}, suggest, written) if h else none for h, q, t, a in zip(hard, quote, title, abstract)]
         return pd.DataFrame(rows, columns=["status", "segments", "suggestion"])
 
     quote, title, abstract = _stripped(F.col("evidence_text")), F.col("title"), F.col("abstract")
-    tried = records.withColumn("__found", F.when(quote != "", native_segments(quote, title, abstract)))
+    tried = records.withColumn("__found", F.when(quote != "", native_segments(quote, title, abstract, written)))
     lost = F.col("__found").isNull() & (quote != "")
     hard = lost if suggest else lost & ~is_plain(quote, title, abstract)
     tried = tried.withColumn("__hard", hard | ((quote == "") & ~is_plain(F.col("evidence_text"))))

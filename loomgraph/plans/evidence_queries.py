@@ -47,7 +47,7 @@ def locate_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").withColumn("w", F.split(F.split_part("text", F.lit("."), F.lit(1)), " "))
     parts = [F.array_join(F.slice("w", at, 3), " ") for at in (1, 5)]
     quote = F.concat(F.translate(parts[0], "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit(" ... "), parts[1])
-    found = evidence.locate(docs.select(F.col("doc_id").alias("seq"), quote.alias("evidence_text"), F.lit(None).cast("string").alias("title"), F.col("text").alias("abstract"), F.lit(True).alias("has_source")), suggest=False)
+    found = evidence.locate(docs.select(F.col("doc_id").alias("seq"), quote.alias("evidence_text"), F.lit(None).cast("string").alias("title"), F.col("text").alias("abstract"), F.lit(True).alias("has_source")), suggest=False, written=True)
     return found.select("seq", "location.status", F.array_join(F.transform("location.segments", lambda x: x["start"].cast("string")), ",").alias("starts"))
 
 

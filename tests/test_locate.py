@@ -86,3 +86,26 @@ def test_quotes_of_any_length_are_found_without_a_product(spark):
     assert got == sorted((d, q, t.find(x)) for d, t in docs if t is not None for q, x in quotes if x and x in t)
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     assert evidence.quote_places(df, items.limit(0), "doc_id", "item_id").collect() == []
+
+
+def test_pieces_are_measured_as_written_where_wanted(spark):
+    """Four letters that fold to five, and five that fold to four: SQL counts what is written."""
+    rows = [(1, "first words ... ßäau", None, "First words and then ßäau.", True), (2, "first words ... ab  c", None, "First words and ab  c.", True), (3, "first words ... ßäauß", None, "First words, ßäauß.", True)]
+    df = spark.createDataFrame(rows, "seq int, evidence_text string, title string, abstract string, has_source boolean")
+    for written, want in ((False, ["ordered_fragments", "not_located", "ordered_fragments"]), (True, ["not_located", "ordered_fragments", "ordered_fragments"])):
+        got = {r["seq"]: r["location"]["status"] for r in evidence.locate(df, False, written).collect()}
+        assert [got[k] for k in (1, 2, 3)] == want
+        assert [spans.locate(q, {"title": "", "abstract": a}, False, written)["status"] for _, q, _, a, _ in rows] == want
+
+
+def test_fragments_query_is_its_sql_with_a_folding_letter(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    texts = ["Auferieberau erüberlich iesch von ßäau. Eren ßäau.", "Enheitber chtzä chölich, pfkeiter ßöer. Einbebe die.", "One two three four fivesix. More."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(db.execute(entry.oracle_sql()["locate_fragments"]).fetchall())
+    assert sorted(map(tuple, entry.queries()["locate_fragments"](spark, str(tmp_path)).collect())) == want
