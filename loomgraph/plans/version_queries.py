@@ -9,6 +9,7 @@ from loomgraph.functions import text, vocabulary
 from loomgraph.operators import audit, evaluation, evidence, fusion, records, versions
 from loomgraph.plans import views
 from loomgraph.plans.registry import query, table
+from loomgraph.sources.scratch import Tables
 
 _VERSION = "typed-v2-1"
 
@@ -92,9 +93,13 @@ WITH e AS ({_EDGES_SQL}), kept AS (SELECT edge_key FROM e WHERE namespace = 'lit
 SELECT edge_key, CASE WHEN edge_key IN (SELECT edge_key FROM kept) AND a NOT IN (SELECT a FROM gone) THEN 'changed' ELSE review_status END AS review_status FROM e WHERE namespace = 'literature'
 """)
 def upserted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges to half of the parts are put in anew; those from one supplier find no node and stay as they are."""
-    nodes, edges = _version(spark, sf_dir)
-    edges = edges.where("source = 'Literature_NLP'")
+    """Edges to half of the parts are put in anew; those from one supplier find no node and stay as they are.
+
+    Nodes, edges and changes come from one table of edge rows, written once; the lists of evidence take no part.
+    """
+    rows = Tables(spark, "upserted").write(_edge_rows(spark, sf_dir).drop("evidence_pmids"), "rows", drop_shuffles=True)
+    nodes, edges = versions.build(rows.withColumn("evidence_pmids", F.lit(None).cast("array<string>")), _VERSION)
+    edges = edges.drop("evidence_pmids").where("source = 'Literature_NLP'")
     even = nodes.where("namespace = 'literature' AND type = 'Disease' AND CAST(substr(name, 2) AS BIGINT) % 2 = 0").select(F.col("entity_key").alias("b"))
     changes = edges.join(even, "b", "left_semi").withColumn("review_status", F.lit("changed"))
     return versions.upsert_edges(edges, changes, nodes.where("name <> 'S1'")).select("edge_key", "review_status")
