@@ -128,3 +128,15 @@ def conflicting(relations: Column, vocabulary: Vocabulary = DEFAULT) -> Column:
     for a, b in vocabulary.conflict_pairs:
         both = both | (F.array_contains(relations, a) & F.array_contains(relations, b))
     return both
+
+
+def conflicting_rows(relation: Column, vocabulary: Vocabulary = DEFAULT) -> Column:
+    """conflicting() of the relations of a group's rows, as an aggregate that holds no list."""
+
+    def has_any(names: list[str]) -> Column:
+        return F.coalesce(F.bool_or(relation.isin(names)), F.lit(False)) if names else F.lit(False)
+
+    both = has_any(vocabulary.relations_with("positive")) & has_any(vocabulary.relations_with("negative"))
+    for a, b in vocabulary.conflict_pairs:
+        both = both | (has_any([a]) & has_any([b]))
+    return both

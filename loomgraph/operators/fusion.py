@@ -84,15 +84,17 @@ def ablation(conditions: dict[str, DataFrame], vocab: Vocabulary = DEFAULT) -> D
     for name, records in conditions.items():
         # Two aggregations follow; what they need of the edges is written once.
         edges = Tables(records.sparkSession, "ablation").write(fuse(records, vocab).select(*EDGE, "evidence_count"), name)
-        nodes = edges.select(F.explode(F.array(F.struct(F.col("type_1").alias("t"), F.col("name_1").alias("n")), F.struct(F.col("type_2").alias("t"), F.col("name_2").alias("n")))).alias("x")).distinct().agg(F.count(F.lit(1)).alias("nodes"))
-        pairs = edges.groupBy(*PAIR).agg(F.sort_array(F.collect_set("relation")).alias("relations"), F.count(F.lit(1)).alias("n"), F.sum("evidence_count").alias("records"))
+        # Either side is distinct first: an entity has many edges, and most are gone before the union.
+        sides = [edges.select(F.col(f"type_{n}").alias("t"), F.col(f"name_{n}").alias("n")).distinct() for n in ("1", "2")]
+        nodes = sides[0].unionAll(sides[1]).distinct().agg(F.count(F.lit(1)).alias("nodes"))
+        pairs = edges.groupBy(*PAIR).agg(vocabulary.conflicting_rows(F.col("relation"), vocab).alias("conflict"), F.count(F.lit(1)).alias("n"), F.sum("evidence_count").alias("records"))
         same = (F.col("name_1") == F.col("name_2")) & (F.col("type_1") == F.col("type_2"))
         counts = pairs.agg(
             F.sum("records").cast("bigint").alias("records"),
             F.sum("n").cast("bigint").alias("edges"),
             F.count(F.lit(1)).alias("pairs"),
             F.coalesce(F.sum(F.when(same, F.col("n"))), F.lit(0)).cast("bigint").alias("self_loops"),
-            F.count_if(vocabulary.conflicting(F.col("relations"), vocab)).alias("conflicts"),
+            F.count_if("conflict").alias("conflicts"),
         )
         row = counts.join(F.broadcast(nodes)).select(F.lit(name).alias("condition"), "records", "edges", "nodes", "pairs", "self_loops", "conflicts")
         out = row if out is None else out.unionByName(row)

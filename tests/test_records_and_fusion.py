@@ -155,3 +155,27 @@ def test_record_json_round_trip(spark):
     rows = frame(spark, [triple(1, "1", ("A", "Gene"), "nonsense", ("B", "Drug"))])
     rejected = records.rejected(records.normalize(rows)).first()
     assert rejected["line"] == 1 and json.loads(rejected["record"])["entity_1"]["name"] == "A"
+
+
+def test_ablation_counts_conflicts_without_lists(spark):
+    from itertools import combinations
+
+    from pyspark.sql import functions as F
+
+    from loomgraph.functions import vocabulary
+    from loomgraph.operators import fusion
+
+    names = [*vocabulary.DEFAULT.polarity, "OTHER", None]
+    groups = [c for n in (1, 2) for c in combinations(names, n)]
+    df = spark.createDataFrame([(g, r) for g, c in enumerate(groups) for r in c], "g int, relation string")
+    lists = df.groupBy("g").agg(F.collect_set("relation").alias("all")).select("g", vocabulary.conflicting(F.col("all")).alias("x"))
+    rows = df.groupBy("g").agg(vocabulary.conflicting_rows(F.col("relation")).alias("x"))
+    want = sorted(map(tuple, lists.collect()))
+    assert sorted(map(tuple, rows.collect())) == want and {x for _, x in want} == {True, False}
+    flat = df.select(
+        F.col("g").cast("string").alias("name_1"), F.lit("Drug").alias("type_1"), "relation", F.lit("P").alias("name_2"), F.lit("Disease").alias("type_2"),
+        F.lit("1").alias("source_pmid"), F.lit("LLM").alias("extracted_by"), F.lit(0.5).alias("computed_confidence"), F.lit(1).alias("seq"),
+    )
+    out = fusion.ablation({"raw": flat})
+    assert "collect_set" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.first().asDict() == {"condition": "raw", "records": df.count(), "edges": df.count(), "nodes": len(groups) + 1, "pairs": len(groups), "self_loops": 0, "conflicts": sum(x for _, x in want)}
