@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import identity, scoring
 from loomgraph.operators.components import component_labels
+from loomgraph.operators.moves import Blocks
 from loomgraph.sources.records import numbered
 from loomgraph.sources.scratch import Tables
 
@@ -135,7 +136,7 @@ def communities(nodes: DataFrame, edges: DataFrame, tolerance: float = 1e-4) ->
 
     Nodes move to the neighbouring community that raises modularity most, communities become
     nodes, and so on until nothing is gained; last, a community that isn't connected falls into its
-    connected parts. Every step is made of joins and sums over all edges at once, at any size alike:
+    connected parts. Every step is made of joins, or of sums over blocks of nodes with their edges, at any size alike:
     no task holds a component. A level of moves ends when two rounds, in which each node has its turn once, raise
     modularity by less than `tolerance`, and its best round counts, so moves made at the same time never
     lower the result. Weights are rounded to 2^-51 of their sum, which makes all sums exact: the
@@ -181,41 +182,16 @@ def _moves(tables: Tables, level: DataFrame, whole: float, tolerance: float, k:
 
     The nodes are in two pseudo-random classes, drawn anew for every two rounds, that move in
     turns, so that neighbours don't swap for ever. What a move gains is known from sums by (node, neighbouring
-    community); a hub or a community of any size is pre-aggregated.
+    community), which blocks of nodes make from the labels of their neighbours.
     """
-    strength = level.groupBy("a").agg(F.sum("w").alias("k"))
-    near = level.where("a <> b").join(strength, "a")
-    near = tables.write(near, f"near-{k}")
-    # What tells the rounds apart is data, so that all rounds run the same compiled code.
-    draw = F.xxhash64("a", F.lit(k)).alias("draw"), F.lit(0).alias("half")
-    state = tables.write(near.groupBy("a").agg(F.first("k").alias("k")).select(F.col("a").alias("id"), F.col("a").alias("label"), "k", *draw), f"state-{k}-0")
+    blocks = Blocks(tables, level, str(k))
+    state = tables.write(blocks.strength.select(F.col("a").alias("id"), F.col("a").alias("label"), "k", F.xxhash64("a", F.lit(k)).alias("draw")), f"state-{k}-0")
     best, reached, idle, r = state, -math.inf, 0, 0
     names = {0}
     while idle < 2:
-        mass = state.groupBy("label").agg(F.sum("k").alias("mass"))
-        placed = state.select("id", "label", "k", "draw", "half").join(mass, "label")
-        toward = near.join(placed.select(F.col("id").alias("b"), "label", "mass"), "b").select("a", "label", "w", "k", "mass", F.lit(None).cast("double").alias("own"), F.lit(None).cast("long").alias("draw"), F.lit(None).cast("int").alias("half"))
-        stay = placed.select("id", "label", F.lit(0.0), "k", "mass", "k", "draw", "half")
-        options = toward.unionAll(stay).groupBy("a", "label").agg(F.sum("w").alias("links"), *[F.max(c).alias(c) for c in ("k", "mass", "own", "draw", "half")])
-        here = F.col("own").isNotNull()
-        options = options.withColumn("gain", F.col("links") - F.col("k") * (F.col("mass") - F.coalesce("own", F.lit(0.0))) / F.lit(whole))
-        chosen = options.groupBy("a").agg(
-            F.min_by("label", F.struct(F.negate("gain"), F.col("label"))).alias("to"),
-            F.max("gain").alias("gain"),
-            F.max("k").alias("k"),
-            F.max(F.when(here, F.struct("label", "gain", "links", "mass", "draw", "half"))).alias("now"),
-        )
-        goes = (F.pmod("now.draw", F.lit(2)) == F.col("now.half")) & (F.col("gain") > F.col("now.gain"))
-        new = chosen.select(
-            F.col("a").alias("id"),
-            F.when(goes, F.col("to")).otherwise(F.col("now.label")).alias("label"),
-            "k",
-            F.when(F.col("now.half") == 1, F.xxhash64("now.draw")).otherwise(F.col("now.draw")).alias("draw"),
-            (F.lit(1) - F.col("now.half")).alias("half"),
-            F.col("now.links").alias("links"),
-            F.col("now.mass").alias("mass"),
-            (F.col("gain") > F.col("now.gain")).alias("wants"),
-        )
+        new = blocks.round(state, whole, r % 2)
+        if r % 2:  # both classes had their turn
+            new = new.withColumn("draw", F.xxhash64("draw"))
         new = tables.write(new, f"state-{k}-{r + 1}")
         # Modularity before this round, loops aside: they are the same in every round.
         value, wants = new.agg(F.sum("links") / F.lit(whole) - F.sum(F.col("k") * F.col("mass") / F.lit(whole)) / F.lit(whole), F.count_if("wants")).first()
