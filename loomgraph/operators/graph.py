@@ -95,23 +95,25 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, toleranc
     """(id, rank): weighted PageRank, parallel weights summed, dangling mass spread evenly.
 
     Stops when the summed change of a round is below nodes * tolerance, looked at after every
-    other round. Contributions are pre-aggregated by target, so a hub costs one row from each task.
+    other round. Links stay packed by blocks of their targets, which are told the ranks of their sources.
     """
     tables = Tables(nodes.sparkSession, "pagerank")
-    ids = tables.write(nodes.select("id").distinct(), "ids")
+    ids = tables.write(numbered(nodes.select("id").distinct(), "id"), "ids")
     n = ids.count()
     if not n:
-        return ids.withColumn("rank", F.lit(0.0))
+        return ids.select("id", F.lit(0.0).alias("rank"))
     summed = edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")).where("w > 0")
-    total = summed.groupBy("src").agg(F.sum("w").alias("out"))
-    links = tables.write(summed.join(total, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")), "links")
-    ranks = tables.write(ids.join(links.select(F.col("src").alias("id")).distinct().withColumn("__out", F.lit(True)), "id", "left").select("id", F.lit(1.0 / n).alias("rank"), F.col("__out").isNull().alias("dangling")), "ranks-0")
+    ends = [ids.select(F.col("id").alias(e), F.col("seq").alias(k)) for e, k in (("src", "b"), ("dst", "a"))]
+    links = tables.write(summed.join(ends[0], "src").join(ends[1], "dst").select("a", "b", "w"), "links")
+    total = links.groupBy("b").agg(F.sum("w").alias("out"))
+    blocks = Blocks(tables, links, "links", loops=True)
+    ranks = tables.write(ids.join(total, ids["seq"] == total["b"], "left").select("seq", "id", F.lit(1.0 / n).alias("rank"), "out"), "ranks-0")
 
     def round_of(before: DataFrame) -> DataFrame:
-        lost = F.broadcast(before.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost")))  # one row
-        came = links.join(before, links["src"] == before["id"]).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("came"))
+        lost = F.broadcast(before.where("out IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost")))  # one row
+        came = blocks.sums(before.select(F.col("seq").alias("id"), (F.col("rank") / F.coalesce("out", F.lit(1.0))).alias("unit"))).toDF("__to", "came")
         spread = F.lit((1.0 - damping) / n) + F.lit(damping / n) * F.col("lost") + F.lit(damping) * F.coalesce("came", F.lit(0.0))
-        return before.join(came, before["id"] == came["dst"], "left").crossJoin(lost).select("id", F.col("rank").alias("old"), spread.alias("rank"), "dangling")
+        return before.join(came, before["seq"] == came["__to"], "left").crossJoin(lost).select("seq", "id", F.col("rank").alias("old"), spread.alias("rank"), "out")
 
     done = 0
     while done < most_rounds:

@@ -17,8 +17,12 @@ def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     name = lambda letter, key: F.concat(F.lit(letter), key.cast("string"))
     sold = table(spark, sf_dir, "lineitem").select(name("s", F.col("l_suppkey")).alias("src"), name("p", F.col("l_partkey")).alias("dst"), F.col("l_quantity").cast("double").alias("weight"))
     back = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(name("p", F.col("p_partkey")), name("s", F.col("p_partkey") % 7 + 1), F.lit(2.0))
-    edges = sold.unionAll(back)
-    return edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), edges
+    # Keys are made distinct as numbers, before they become names: most rows go there.
+    items, third = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").where("p_partkey % 3 = 0")
+    suppliers = items.select(F.col("l_suppkey").alias("key")).distinct().unionAll(third.select(F.col("p_partkey") % 7 + 1))
+    parts = items.select(F.col("l_partkey").alias("key")).distinct().unionAll(third.select("p_partkey"))
+    nodes = suppliers.select(name("s", F.col("key")).alias("id")).unionAll(parts.select(name("p", F.col("key"))))
+    return nodes.distinct(), sold.unionAll(back)
 
 
 def _pagerank_sql(rounds: int) -> str:

@@ -132,3 +132,28 @@ def test_communities_by_blocks_are_those_by_joins(spark, monkeypatch):
     monkeypatch.setattr(moves, "_LEAST_EDGES", 400)
     blocks = moves.Blocks(moves.Tables(spark, "test"), both, "t")
     assert blocks.hubs is None and 1 < blocks.count == blocks.packed.count() <= 8 and blocks.needs.count() <= blocks.count**2
+
+
+def test_ranks_by_blocks_are_those_of_a_plain_version(spark, monkeypatch):
+    """Loops, parallel edges, weights of 0, a hub on either side, nodes without edges; a round's edges are packed."""
+    rng = np.random.default_rng(9)
+    pairs = [(int(a), int(b), float(w)) for a, b, w in rng.integers(0, 60, (200, 3))] + [(3, i, 1.0) for i in range(90)] + [(i, 5, 2.0) for i in range(90)] + [(7, 7, 4.0)]
+    matrix = np.zeros((100, 100))
+    for a, b, w in pairs:
+        matrix[b, a] += w
+    out = matrix.sum(0)
+    share = np.divide(matrix, out, out=np.zeros_like(matrix), where=out > 0)
+    want = np.full(100, 0.01)
+    for _ in range(5):
+        want = 0.15 / 100 + 0.85 * (share @ want + want[out == 0].sum() / 100)
+    edges = spark.createDataFrame(pairs, "src bigint, dst bigint, weight double")
+    for most, least in ((1 << 21, 1 << 15), (40, 8)):
+        monkeypatch.setattr(moves, "_BLOCK_EDGES", most)
+        monkeypatch.setattr(moves, "_LEAST_EDGES", least)
+        found = {r["id"]: r["rank"] for r in graph.pagerank(spark.range(100), edges, tolerance=0.0, most_rounds=5).collect()}
+        assert len(found) == 100 and np.allclose([found[i] for i in range(100)], want, rtol=1e-12, atol=0)
+    both = edges.groupBy("dst", "src").sum("weight").toDF("a", "b", "w").where("w > 0")
+    blocks = moves.Blocks(moves.Tables(spark, "test"), both, "t", loops=True)
+    assert blocks.hubs is not None and 1 < blocks.count and blocks.packed.count() <= blocks.count
+    sums = {r["id"]: r["came"] for r in blocks.sums(spark.range(100).selectExpr("id", "1.0D unit")).collect()}
+    assert sums == {i: x for i, x in enumerate(matrix.sum(1)) if x}
