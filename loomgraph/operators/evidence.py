@@ -59,12 +59,13 @@ def _single(folded: Column) -> Column:
     return F.regexp_replace(folded, r"\s+", " ")
 
 
-def _origin(folded: Column, place: Column) -> Column:
-    """The place in a text of a place in its single form: as much further on as its runs of white space before that are longer than one."""
-    before = F.substring(_single(folded), F.lit(1), place)
+def _origin(text: Column, single: Column, place: Column) -> Column:
+    """The place in a plain text of a place in its single form: as much further on as its runs of white space before that are longer than one."""
+    before = F.substring(single, F.lit(1), place)
     blanks = F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))
-    more = F.slice(F.regexp_extract_all(folded, F.lit(r"\s+"), F.lit(0)), F.lit(1), blanks)
-    return place + F.aggregate(more, F.lit(0), lambda total, run: total + F.length(run) - 1)
+    more = F.slice(F.regexp_extract_all(text, F.lit(r"\s+"), F.lit(0)), F.lit(1), blanks)
+    moved = place + F.aggregate(more, F.lit(0), lambda total, run: total + F.length(run) - 1)
+    return F.when(F.length(single) == F.length(text), place).otherwise(moved)
 
 
 def _piece(text: Column, start: Column, end: Column) -> Column:
@@ -73,17 +74,20 @@ def _piece(text: Column, start: Column, end: Column) -> Column:
 
 def _pieces(text: Column, needles: Column) -> Column:
     """The places of folded needles in a text, each the first after the one before; null if one isn't there."""
-    folded = _plain(text)
     kind = "struct<at:int,found:array<struct<a:int,b:int>>>"
 
-    def step(state: Column, needle: Column) -> Column:
-        place = F.position(needle, _single(folded), state["at"])
-        end = place + F.length(needle)
-        there = F.struct(end.alias("at"), F.concat(state["found"], F.array(F.struct((place - 1).alias("a"), (end - 1).alias("b")))).alias("found")).cast(kind)
-        return F.when(state.isNotNull() & (place > 0), there)
+    def within(single: Column) -> Column:
+        def step(state: Column, needle: Column) -> Column:
+            place = F.position(needle, single, state["at"])
+            end = place + F.length(needle)
+            there = F.struct(end.alias("at"), F.concat(state["found"], F.array(F.struct((place - 1).alias("a"), (end - 1).alias("b")))).alias("found")).cast(kind)
+            return F.when(state.isNotNull() & (place > 0), there)
 
-    found = F.aggregate(needles, F.struct(F.lit(1).alias("at"), F.array().alias("found")).cast(kind), step)["found"]
-    return F.transform(found, lambda p: _piece(text, _origin(folded, p["a"]), _origin(folded, p["b"])))
+        found = F.aggregate(needles, F.struct(F.lit(1).alias("at"), F.array().alias("found")).cast(kind), step)["found"]
+        return F.transform(found, lambda p: _piece(text, _origin(text, single, p["a"]), _origin(text, single, p["b"])))
+
+    # An array of one: the folded text is made once and has a name, wherever it is looked at.
+    return F.get(F.transform(F.array(_single(_plain(text))), within), F.lit(0))
 
 
 def native_segments(quote: Column, title: Column, abstract: Column, written: bool = False) -> Column:

@@ -109,3 +109,13 @@ def test_fragments_query_is_its_sql_with_a_folding_letter(spark, tmp_path):
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = sorted(db.execute(entry.oracle_sql()["locate_fragments"]).fetchall())
     assert sorted(map(tuple, entry.queries()["locate_fragments"](spark, str(tmp_path)).collect())) == want
+
+
+def test_each_tier_folds_a_field_once(spark):
+    """Two tiers fold two fields, both need the quote's or its parts' form; runs of white space count where there are any."""
+    rows = [(1, "B  C d", None, "a\n\nb c  d", True), (2, "ONE two", "x", "zero one two", True), (3, "absent", "", "x", True)]
+    df = spark.createDataFrame(rows, "seq int, evidence_text string, title string, abstract string, has_source boolean")
+    found = df.select("seq", evidence.native_segments(F.col("evidence_text"), F.col("title"), F.col("abstract")).alias("found"))
+    assert {r["seq"]: [tuple(p) for p in r["found"] or ()] for r in found.collect()} == {1: [("normalized", "abstract", 3, 9, "b c  d")], 2: [("normalized", "abstract", 5, 12, "one two")], 3: []}
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("translate(coalesce(title") == plan.count("translate(coalesce(abstract") == 2
