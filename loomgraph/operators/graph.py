@@ -106,7 +106,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, toleranc
     ends = [ids.select(F.col("id").alias(e), F.col("seq").alias(k)) for e, k in (("src", "b"), ("dst", "a"))]
     links = tables.write(summed.join(ends[0], "src").join(ends[1], "dst").select("a", "b", "w"), "links")
     total = links.groupBy("b").agg(F.sum("w").alias("out"))
-    blocks = Blocks(tables, links, "links", loops=True)
+    blocks = Blocks(tables, links, "links", loops=True, nodes=ids.select(F.col("seq").alias("id")))
     ranks = tables.write(ids.join(total, ids["seq"] == total["b"], "left").select("seq", "id", F.lit(1.0 / n).alias("rank"), "out"), "ranks-0")
 
     def round_of(before: DataFrame) -> DataFrame:
@@ -125,6 +125,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, toleranc
         tables.drop(f"ranks-{done - some}")
         if change < n * tolerance:
             break
+    blocks.release()
     return ranks.select("id", "rank")
 
 
@@ -133,9 +134,12 @@ def _undirected(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("weight").alias("w"))
 
 
-def communities(nodes: DataFrame, edges: DataFrame, tolerance: float = 1e-4) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, tolerance: float = 1e-4, order: str = "id") -> DataFrame:
     """(id, community): dense numbers from 0 by smallest member, of modularity communities.
 
+    Members are in the order of the column `order` of nodes, one value for each node: ids may be numbers, which join
+    faster, while their names give the order. It is returned as well.
+
     Nodes move to the neighbouring community that raises modularity most, communities become
     nodes, and so on until nothing is gained; last, a community that isn't connected falls into its
     connected parts. Every step is made of joins, or of sums over blocks of nodes with their edges, at any size alike:
@@ -146,17 +150,19 @@ def communities(nodes: DataFrame, edges: DataFrame, tolerance: float = 1e-4) ->
     self-loops tie nothing; parallel edges add up; a node without edges is a community of its own.
     """
     tables = Tables(nodes.sparkSession, "communities")
-    ids = tables.write(numbered(nodes.select("id").distinct(), "id"), "ids")
+    keep = list(dict.fromkeys(["id", order]))
+    distinct = tables.write(nodes.select(*keep).distinct(), "nodes")  # read twice, to find the ranges of the order
+    ids = tables.write(numbered(distinct, order), "ids")
     und = tables.write(_undirected(edges).where("w > 0"), "undirected")
     total = und.agg(F.sum("w")).first()[0]
     if not total:
-        return ids.select("id", (F.col("seq") - 1).alias("community"))
+        return ids.select(*keep, (F.col("seq") - 1).alias("community"))
     grid = 2.0 ** (51 - math.ceil(math.log2(total)))
     ends = [ids.select(F.col("id").alias(e), F.col("seq").alias(f"__{e}")) for e in ("a", "b")]
     pairs = und.join(ends[0], "a").join(ends[1], "b").select(F.col("__a").alias("a"), F.col("__b").alias("b"), F.rint(F.col("w") * grid).alias("w"))
     pairs = tables.write(pairs, "pairs")
-    # Each edge in both directions; of a contracted community its own weight is a loop, counted from both ends.
-    level = pairs.unionAll(pairs.select("b", "a", "w"))
+    # Each edge once; of a contracted community its own weight is a loop, counted from both ends.
+    level = pairs
     whole = pairs.agg(F.sum("w")).first()[0] * 2.0
     member = ids.select(F.col("seq").alias("id"), F.col("seq").alias("now"))
     k = 0
@@ -166,17 +172,19 @@ def communities(nodes: DataFrame, edges: DataFrame, tolerance: float = 1e-4) ->
             break
         k += 1
         member = tables.write(member.join(groups.select(F.col("id").alias("now"), "label"), "now", "left").select("id", F.coalesce("label", "now").alias("now")), f"member-{k}")
+        level = level.withColumn("ends", F.when(F.expr("a <> b"), 2.0).otherwise(1.0))
         for end in ("a", "b"):
             level = level.join(groups.select(F.col("id").alias(end), F.col("label").alias(f"__{end}")), end).drop(end).withColumnRenamed(f"__{end}", end)
+        level = level.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("if(a = b, w * ends, w)").alias("w"))
         level = tables.write(level.groupBy("a", "b").agg(F.sum("w").alias("w")), f"level-{k}")
     placed = member.select(F.col("id").alias("a"), F.col("now").alias("__a")), member.select(F.col("id").alias("b"), F.col("now").alias("__b"))
     inside = pairs.join(placed[0], "a").join(placed[1], "b").where("__a = __b")
     linked = component_labels(inside.select("a", "b"))  # the least node of each connected part
-    every = ids.join(linked, ids["seq"] == linked["node"], "left").select("id", F.coalesce("label", "seq").alias("group"))
+    every = ids.join(linked, ids["seq"] == linked["node"], "left").select(*keep, F.coalesce("label", "seq").alias("group"))
     every = tables.write(every, "every")
     firsts = every.select("group").distinct()
     numbers = numbered(firsts, "group").select("group", (F.col("seq") - 1).alias("community"))
-    return every.join(numbers, "group").select("id", "community")
+    return every.join(numbers, "group").select(*keep, "community")
 
 
 def _moves(tables: Tables, level: DataFrame, whole: float, tolerance: float, k: int) -> DataFrame:
@@ -186,17 +194,18 @@ def _moves(tables: Tables, level: DataFrame, whole: float, tolerance: float, k:
     turns, so that neighbours don't swap for ever. What a move gains is known from sums by (node, neighbouring
     community), which blocks of nodes make from the labels of their neighbours.
     """
-    blocks = Blocks(tables, level, str(k))
+    blocks = Blocks(tables, level, str(k), both=True)
     state = tables.write(blocks.strength.select(F.col("a").alias("id"), F.col("a").alias("label"), "k", F.xxhash64("a", F.lit(k)).alias("draw")), f"state-{k}-0")
     best, reached, idle, r = state, -math.inf, 0, 0
-    names = {0}
+    names, labels = {0}, None
     while idle < 2:
-        new = blocks.round(state, whole, r % 2)
+        new = blocks.round(state, whole, r % 2, labels)
         if r % 2:  # both classes had their turn
             new = new.withColumn("draw", F.xxhash64("draw"))
         new = tables.write(new, f"state-{k}-{r + 1}")
         # Modularity before this round, loops aside: they are the same in every round.
-        value, wants = new.agg(F.sum("links") / F.lit(whole) - F.sum(F.col("k") * F.col("mass") / F.lit(whole)) / F.lit(whole), F.count_if("wants")).first()
+        gained = F.sum("links") / F.lit(whole) - F.sum(F.col("k") * F.col("mass") / F.lit(whole)) / F.lit(whole)
+        value, wants, labels = new.agg(gained, F.count_if("wants"), F.approx_count_distinct("label")).first()
         if value is None:  # no edge between two nodes
             break
         idle = 0 if value > reached + tolerance else idle + 1
@@ -209,6 +218,7 @@ def _moves(tables: Tables, level: DataFrame, whole: float, tolerance: float, k:
             tables.drop(f"state-{k}-{old}")
         names &= {keep, r + 1}
         state, r = new, r + 1
+    blocks.release()
     firsts = best.groupBy("label").agg(F.min("id").alias("first"))
     return tables.write(best.select("id", "label").join(firsts, "label").select("id", F.col("first").alias("label")), f"moved-{k}")
 

@@ -1,18 +1,20 @@
 """Rounds over a graph by blocks of nodes whose edges are packed as arrays: moves between communities, and ranks.
 
-Edges stay where they are from round to round, in a table with one row of arrays for each block. What
-moves is a value or two (a label and a mass, or a rank) for each pair of a node and a block that has a neighbour of it, in
-one array for each pair of blocks. A block has about `_BLOCK_EDGES` edges; a node that has more than that by itself is in
+Edges go to their blocks as arrays, not as rows, and stay there from round to round, each block in a row on the disk of
+its executor (a lost one reads its blocks again from their table). What moves is a code of a label, or a rank, for each
+pair of a node and a block that has a neighbour of it, in one array for each pair of blocks, and each label that they
+have with its mass, once. A block has about `_BLOCK_EDGES` edges; a node that has more than that by itself is in
 none, and has its rounds by joins and sums over its edges.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.sources.scratch import Tables
@@ -20,8 +22,14 @@ from loomgraph.sources.scratch import Tables
 #: Edges of a block, each counted from both ends: some 16 bytes each in its table, some 100 while it moves.
 _BLOCK_EDGES = 1 << 21
 _LEAST_EDGES = 1 << 15
+#: Edges of a block that a round takes at a time, or a node's if it has more.
+_EDGES_AT_ONCE = 1 << 16
+#: Labels whose masses each task gets, 16 bytes each.
+_FEW_LABELS = 1 << 17
 
+_DEALT = "block int, n int, a binary, b binary, w binary"
 _PACKED = "block int, nodes binary, first binary, k binary, near binary, mine binary, w binary, needs array<struct<owner:int,ids:binary>>"
+_TOLD = "to int, owner int, code binary, label binary, mass binary, draw binary"
 _SUMS = "id bigint, came double"
 _MOVED = "id bigint, label bigint, k double, draw bigint, links double, mass double, wants boolean"
 
@@ -30,57 +38,130 @@ def _array(packed: pa.Table, column: str, kind: type) -> np.ndarray:
     return np.frombuffer(packed[column][0].as_buffer(), kind)
 
 
-def _pack(loops: bool) -> Callable[[pa.Table], pa.Table]:
-    def run(edges: pa.Table) -> pa.Table:
-        """All edges (block, a, b, owner, w) of a block's nodes as one row; without `loops` a loop counts for a node's strength only."""
-        a, b, owner, w = (edges[c].to_numpy() for c in ("a", "b", "owner", "w"))
-        block = edges["block"][0].as_py()
+def _small(values: np.ndarray) -> bytes:
+    """The values in 4 bytes each if these hold all of them exactly, else in 8."""
+    with np.errstate(over="ignore"):
+        small = values.astype(f"{values.dtype.kind}4")
+    return (small if (small == values).all() else values).tobytes()
+
+
+def _large(packed: pa.BinaryScalar, n: int, kind: type) -> np.ndarray:
+    """n values of 8 bytes, from what `_small` made of them."""
+    buffer = packed.as_buffer()
+    return np.frombuffer(buffer, f"{np.dtype(kind).kind}{len(buffer) // max(n, 1) or 8}").astype(kind)
+
+
+def _weights(packed: pa.Table) -> np.ndarray:
+    return _large(packed["w"][0], len(_array(packed, "near", np.int32)), np.float64)
+
+
+def _spread(ids: np.ndarray, count: int) -> np.ndarray:
+    """The blocks of nodes, as `Blocks._block` has them."""
+    return ((ids & 0x7FFFFFFF) * 2654435761 >> 16) % count
+
+
+def _deal(count: int, both: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def dealt(edges: pa.Table) -> Iterator[pa.RecordBatch]:
+        a, b, w = (edges[c].to_numpy() for c in ("a", "b", "w"))
+        if both:
+            real = a != b
+            a, b, w = np.concatenate([a, b[real]]), np.concatenate([b, a[real]]), np.concatenate([w, w[real]])
+        block = _spread(a, count)
+        order = np.argsort(block.astype(np.uint16) if count <= 1 << 16 else block, kind="stable")
+        blocks, starts = np.unique(block[order], return_index=True)
+        a, b, w = (np.split(x[order], starts[1:]) for x in (a, b, w))
+        sizes = pa.array([len(x) for x in a], pa.int32())
+        arrays = [pa.array(map(_small, x), pa.binary()) for x in (a, b, w)]
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), sizes, *arrays], names=["block", "n", "a", "b", "w"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Edges (a, b, w), with `both` in both directions, as arrays: one row for each block that a stretch of them has."""
+        some, rows = [], 0
+        for batch in batches:
+            some, rows = [*some, batch], rows + batch.num_rows
+            if 2 * rows >= _BLOCK_EDGES:
+                yield from dealt(pa.Table.from_batches(some))
+                some, rows = [], 0
+        if rows:
+            yield from dealt(pa.Table.from_batches(some))
+
+    return run
+
+
+def _pack(loops: bool, count: int) -> Callable[[pa.Table], pa.Table]:
+    def run(dealt: pa.Table) -> pa.Table:
+        """All edges of a block's nodes as one row; without `loops` a loop counts for a node's strength only."""
+        sizes = dealt["n"].to_pylist()
+        a, b, w = (np.concatenate([_large(x, n, t) for x, n in zip(dealt[c], sizes)]) for c, t in (("a", np.int64), ("b", np.int64), ("w", np.float64)))
+        block = dealt["block"][0].as_py()
         order = np.argsort(a, kind="stable")
-        a, b, owner, w = a[order], b[order], owner[order], w[order]
+        a, b, w = a[order], b[order], w[order]
         every, at = np.unique(a, return_index=True)
         strength = np.add.reduceat(w, at)
         if not loops:
             real = a != b
-            a, b, owner, w = a[real], b[real], owner[real], w[real]
+            a, b, w = a[real], b[real], w[real]
         nodes, first = np.unique(a, return_index=True)
         wanted, place = np.unique(np.concatenate([b, nodes]), return_inverse=True)
-        owners = np.empty(len(wanted), np.int32)
-        owners[place] = np.concatenate([owner, np.full(len(nodes), block, np.int32)])
+        owners = _spread(wanted, count)
         order = np.lexsort((wanted, owners))  # as the messages of a round follow each other
         spot = np.empty(len(order), np.int32)
         spot[order] = np.arange(len(order), dtype=np.int32)
         senders, starts = np.unique(owners[order], return_index=True)
         ids = np.split(wanted[order], starts[1:])
         arrays = {
-            "nodes": nodes,
-            "first": first.astype(np.int64),
-            "k": strength[np.searchsorted(every, nodes)],
-            "near": spot[place[: len(b)]],
-            "mine": spot[place[len(b) :]],
-            "w": w,
+            "nodes": nodes.tobytes(),
+            "first": first.astype(np.int64).tobytes(),
+            "k": strength[np.searchsorted(every, nodes)].tobytes(),
+            "near": spot[place[: len(b)]].tobytes(),
+            "mine": spot[place[len(b) :]].tobytes(),
+            "w": _small(w),
         }
         needs = [[{"owner": int(j), "ids": x.tobytes()} for j, x in zip(senders, ids)]] if len(nodes) else [[]]
         kind = pa.list_(pa.struct([("owner", pa.int32()), ("ids", pa.binary())]))
-        return pa.table({"block": pa.array([block], pa.int32()), **{c: pa.array([x.tobytes()], pa.binary()) for c, x in arrays.items()}, "needs": pa.array(needs, kind)})
+        return pa.table({"block": pa.array([block], pa.int32()), **{c: pa.array([x], pa.binary()) for c, x in arrays.items()}, "needs": pa.array(needs, kind)})
 
     return run
 
 
-def _send(*columns: str, own: tuple[str, ...] = ()) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def run(placed: pa.Table, needs: pa.Table) -> pa.Table:
-        """What a block's nodes (id, columns) tell each block that needs some of them; `own` only their own."""
-        ids = placed["id"].to_numpy()
-        order = np.argsort(ids)
-        ids, told = ids[order], {c: placed[c].to_numpy()[order] for c in (*columns, *own)}
-        to, owner = needs["block"].to_pylist(), needs["owner"].to_pylist()
-        out: dict[str, list[bytes]] = {c: [] for c in told}
-        for t, o, want in zip(to, owner, needs["ids"]):
-            at = np.searchsorted(ids, np.frombuffer(want.as_buffer(), np.int64))
-            for c, values in told.items():
-                out[c].append(values[at].tobytes() if c in columns or t == o else b"")
-        return pa.table({"to": pa.array(to, pa.int32()), "owner": pa.array(owner, pa.int32()), **{c: pa.array(x, pa.binary()) for c, x in out.items()}})
+def _places(needs: pa.Table, nodes: pa.Table) -> pa.Table:
+    """The ids that blocks need of an owner as places among its nodes, in the order of their ids."""
+    ids = np.sort(nodes["id"].to_numpy())
+    places = [np.searchsorted(ids, np.frombuffer(x.as_buffer(), np.int64)).astype(np.int32).tobytes() for x in needs["ids"]]
+    return pa.table({"block": needs["block"], "owner": needs["owner"], "places": pa.array(places, pa.binary())})
 
-    return run
+
+def _send_units(placed: pa.Table, needs: pa.Table) -> pa.Table:
+    """What a block's nodes (id, unit) tell each block that needs some of them."""
+    unit = placed["unit"].to_numpy()[np.argsort(placed["id"].to_numpy())]
+    told = [unit[np.frombuffer(x.as_buffer(), np.int32)].tobytes() for x in needs["places"]]
+    return pa.table({"to": needs["block"], "owner": needs["owner"], "unit": pa.array(told, pa.binary())})
+
+
+def _codes(labels: int) -> type:
+    return np.uint16 if labels <= 1 << 16 else np.int32
+
+
+def _send_labels(placed: pa.Table, needs: pa.Table) -> pa.Table:
+    """What a block's nodes (id, label, mass, draw) tell each block that needs some of them: the labels that these have, with
+    their masses, and a code for each node; the draws only to their own block."""
+    order = np.argsort(placed["id"].to_numpy())
+    label, mass, draw = (placed[c].to_numpy()[order] for c in ("label", "mass", "draw"))
+    labels, at, code = np.unique(label, return_index=True, return_inverse=True)
+    masses, place = mass[at], np.empty(len(labels), np.int32)
+    to, owner = needs["block"].to_pylist(), needs["owner"].to_pylist()
+    out: dict[str, list[bytes]] = {c: [] for c in ("code", "label", "mass", "draw")}
+    for t, o, x in zip(to, owner, needs["places"]):
+        want = np.frombuffer(x.as_buffer(), np.int32)
+        codes, here = code[want], np.zeros(len(labels), bool)
+        here[codes] = True
+        used = np.flatnonzero(here)
+        place[used] = np.arange(len(used), dtype=np.int32)
+        out["code"].append(place[codes].astype(_codes(len(used))).tobytes())
+        out["label"].append(labels[used].tobytes())
+        out["mass"].append(masses[used].tobytes())
+        out["draw"].append(draw[want].tobytes() if t == o else b"")
+    return pa.table({"to": needs["block"], "owner": needs["owner"], **{c: pa.array(x, pa.binary()) for c, x in out.items()}})
 
 
 def _sum(came: pa.Table, packed: pa.Table) -> pa.Table:
@@ -88,7 +169,7 @@ def _sum(came: pa.Table, packed: pa.Table) -> pa.Table:
     if not packed.num_rows or not came.num_rows:
         return pa.table({"id": pa.array([], pa.int64()), "came": pa.array([], pa.float64())})
     unit = np.frombuffer(b"".join(came.sort_by("owner")["unit"].to_pylist()), np.float64)
-    parts = unit[_array(packed, "near", np.int32)] * _array(packed, "w", np.float64)
+    parts = unit[_array(packed, "near", np.int32)] * _weights(packed)
     sums = np.add.reduceat(parts, _array(packed, "first", np.int64))
     return pa.table({"id": pa.array(_array(packed, "nodes", np.int64)), "came": pa.array(sums)})
 
@@ -100,32 +181,45 @@ def _move(whole: float, half: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             return pa.table({c: pa.array([], t) for c, t in kinds.items()})
         came = came.sort_by("owner")
         own = np.array(came["owner"].to_pylist()) == packed["block"][0].as_py()
-        label, mass, draw = (np.frombuffer(b"".join(came[c].to_pylist()), t) for c, t in (("label", np.int64), ("mass", np.float64), ("draw", np.int64)))
-        before = sum(len(x.as_buffer()) // 8 for x in came["label"].slice(0, int(np.argmax(own))))
-        nodes, first, k, w = _array(packed, "nodes", np.int64), _array(packed, "first", np.int64), _array(packed, "k", np.float64), _array(packed, "w", np.float64)
-        near, mine = _array(packed, "near", np.int32), _array(packed, "mine", np.int32)
-        draw = draw[mine - before]
-        labels, code = np.unique(label, return_inverse=True)
+        told = [np.frombuffer(x.as_buffer(), np.int64) for x in came["label"]]
+        starts = np.cumsum([0, *map(len, told)])
+        codes = [np.frombuffer(x.as_buffer(), _codes(len(l))) for x, l in zip(came["code"], told)]
+        labels, place = np.unique(np.concatenate(told), return_inverse=True)
         masses = np.empty(len(labels))
-        masses[code] = mass
-        each, width, now = np.arange(len(nodes)), len(labels), code[mine]
-        node = np.repeat(each, np.diff(np.append(first, len(w))))
-        keys = np.concatenate([node * width + code[near], each * width + now])  # staying is possible without a link
+        masses[place] = np.frombuffer(b"".join(came["mass"].to_pylist()), np.float64)
+        code = np.concatenate([place[start:end][x] for x, start, end in zip(codes, starts, starts[1:])])
+        nodes, first, k, w = _array(packed, "nodes", np.int64), _array(packed, "first", np.int64), _array(packed, "k", np.float64), _weights(packed)
+        near, mine = _array(packed, "near", np.int32), _array(packed, "mine", np.int32)
+        draw = np.frombuffer(came["draw"][int(np.argmax(own))].as_buffer(), np.int64)
+        draw = draw[mine - sum(map(len, codes[: int(np.argmax(own))]))]
+        bits, now = len(labels).bit_length(), code[mine]
+        begins, ends = np.append(first, len(w)), []
+        cuts = np.searchsorted(first, np.arange(_EDGES_AT_ONCE, len(w), _EDGES_AT_ONCE))
+        for start, end in zip([0, *cuts], [*cuts, len(nodes)]):  # some nodes at a time, whose arrays stay in the cache
+            if start < end:
+                some, edges = slice(start, end), slice(begins[start], begins[end])
+                ends.append(choice(np.diff(begins[start : end + 1]), code[near[edges]], w[edges], k[some], now[some], masses, bits))
+        to, links, wants = (np.concatenate(x) for x in zip(*ends))
+        label = labels[np.where(wants & ((draw & 1) == half), to, now)]
+        values = (nodes, label, k, draw, links, masses[now], wants)
+        return pa.table({c: pa.array(x, t) for (c, t), x in zip(kinds.items(), values)})
+
+    def choice(degree: np.ndarray, near: np.ndarray, w: np.ndarray, k: np.ndarray, now: np.ndarray, masses: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
+        """Of each node the best label's code, the links to its own and whether the best is better."""
+        each = np.arange(len(k))
+        keys = np.concatenate([np.repeat(each << bits, degree) | near, each << bits | now])  # staying is possible without a link
         order = np.argsort(keys)
-        keys, weights = keys[order], np.concatenate([w, np.zeros(len(nodes))])[order]
+        keys, weights = keys[order], np.concatenate([w, np.zeros(len(k))])[order]
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         links = np.add.reduceat(weights, starts)
-        node, option = np.divmod(keys[starts], width)
+        node, option = keys[starts] >> bits, keys[starts] & ((1 << bits) - 1)
         here = option == now[node]
         gain = links - k[node] * (masses[option] - np.where(here, k[node], 0.0)) / whole
         begins = np.searchsorted(node, each)
         best = np.flatnonzero(gain == np.maximum.reduceat(gain, begins)[node])
         best = best[np.searchsorted(node[best], each)]
         stay = np.flatnonzero(here)
-        wants = gain[best] > gain[stay]
-        to = labels[np.where(wants & ((draw & 1) == half), option[best], now)]
-        values = (nodes, to, k, draw, links[stay], masses[now], wants)
-        return pa.table({c: pa.array(x, t) for (c, t), x in zip(kinds.items(), values)})
+        return option[best], links[stay], gain[best] > gain[stay]
 
     real, whole_number = pa.float64(), pa.int64()
     kinds = {"id": whole_number, "label": whole_number, "k": real, "draw": whole_number, "links": real, "mass": real, "wants": pa.bool_()}
@@ -155,46 +249,67 @@ def _joined(near: DataFrame, placed: DataFrame, whole: float, half: int) -> Data
 class Blocks:
     """The edges (a, b, w) of a graph packed by blocks of nodes a that their hash deals out.
 
-    For moves each edge is there in both directions. `loops`: edges from a node to itself count as well.
+    `both`: each edge is there once and counts from both ends, as moves need it; a loop counts once. `loops`: edges from
+    a node to itself count as well. What goes around in a round is known for all of `nodes` (id), at least the ends of edges.
     """
 
-    def __init__(self, tables: Tables, level: DataFrame, name: str, loops: bool = False):
+    def __init__(self, tables: Tables, level: DataFrame, name: str, loops: bool = False, both: bool = False, nodes: DataFrame | None = None):
         real = F.lit(loops) | F.expr("a <> b")
-        strength = level.groupBy("a").agg(F.sum("w").alias("k"), F.count_if(real).alias("n")).where("n > 0")
+        ends = level.unionAll(level.where("a <> b").select("b", "a", "w")) if both else level
+        strength = ends.groupBy("a").agg(F.sum("w").alias("k"), F.count_if(real).alias("n")).where("n > 0")
         self.strength = tables.write(strength, f"strength-{name}")
         edges, most = self.strength.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("n")).first()
         self.count = max(-(-edges // _BLOCK_EDGES), min(-(-edges // _LEAST_EDGES), 2 * level.sparkSession.sparkContext.defaultParallelism), 1)
+        self.tasks = min(self.count, 4 * level.sparkSession.sparkContext.defaultParallelism)
         self.hubs = None
         if edges and most > _BLOCK_EDGES:
             hubs = self.strength.where(F.col("n") > _BLOCK_EDGES).select("a")  # each has that many edges, so these are few
-            self.hubs = tables.write(level.where(real).join(F.broadcast(hubs), "a"), f"hubs-{name}")
-            level = level.join(F.broadcast(hubs), "a", "left_anti")
-        dealt = level.select(self._block("a").alias("block"), "a", "b", self._block("b").alias("owner"), "w")
-        packed = tables.write(dealt.groupBy("block").applyInArrow(_pack(loops), _PACKED), f"packed-{name}")
-        self.packed = packed.drop("needs")
-        self.needs = tables.write(packed.select("block", F.explode("needs").alias("x")).select("block", "x.*"), f"needs-{name}")
+            self.hubs = tables.write(ends.where(real).join(F.broadcast(hubs), "a"), f"hubs-{name}")
+            level, both = ends.join(F.broadcast(hubs), "a", "left_anti"), False
+        dealt = level.select("a", "b", "w").mapInArrow(_deal(self.count, both), _DEALT)
+        packed = tables.write(self._at(dealt, "block").groupBy("block").applyInArrow(_pack(loops, self.count), _PACKED), f"packed-{name}")
+        self.packed = self._at(packed.drop("needs"), "block").persist(StorageLevel.DISK_ONLY)
+        needs = packed.select("block", F.explode("needs").alias("x")).select("block", "x.*")
+        nodes = self.strength.select(F.col("a").alias("id")) if nodes is None else nodes
+        placed = needs.groupBy("owner").cogroup(nodes.select(self._block("id").alias("owner"), "id").groupBy("owner"))
+        placed = tables.write(placed.applyInArrow(_places, "block int, owner int, places binary"), f"needs-{name}")
+        self.needs = self._at(placed, "owner").persist(StorageLevel.DISK_ONLY)
+
+    def release(self) -> None:
+        self.packed.unpersist()
+        self.needs.unpersist()
 
     def _block(self, node: str) -> Column:
-        return F.pmod(F.xxhash64(node), F.lit(self.count)).cast("int")
+        mixed = F.shiftright(F.col(node).bitwiseAND(F.lit(0x7FFFFFFF)) * F.lit(2654435761), 16)
+        return (mixed % F.lit(self.count)).cast("int")
+
+    def _at(self, rows: DataFrame, block: str) -> DataFrame:
+        """Rows where their block is: two tables dealt so meet without another shuffle."""
+        return rows.repartitionById(self.tasks, block)
 
-    def _told(self, placed: DataFrame, *columns: str, own: tuple[str, ...] = ()):
+    def _told(self, placed: DataFrame, send: Callable[[pa.Table, pa.Table], pa.Table], kinds: str):
         """What the blocks are told of their neighbours, by block, with what the block holds."""
-        dealt = placed.select(self._block("id").alias("owner"), "id", *columns, *own)
-        kinds = "to int, owner int, " + ", ".join(f"{c} binary" for c in (*columns, *own))
-        sent = dealt.groupBy("owner").cogroup(self.needs.groupBy("owner")).applyInArrow(_send(*columns, own=own), kinds)
-        return sent.groupBy("to").cogroup(self.packed.groupBy("block"))
+        dealt = self._at(placed.withColumn("owner", self._block("id")), "owner")
+        sent = dealt.groupBy("owner").cogroup(self.needs.groupBy("owner")).applyInArrow(send, kinds)
+        return self._at(sent, "to").groupBy("to").cogroup(self.packed.groupBy("block"))
 
     def sums(self, units: DataFrame) -> DataFrame:
         """(id, came): for each node a the sum of w times the unit of b, of (id, unit) rows for all nodes."""
-        came = self._told(units, "unit").applyInArrow(_sum, _SUMS)
+        came = self._told(units, _send_units, "to int, owner int, unit binary").applyInArrow(_sum, _SUMS)
         if self.hubs is None:
             return came
         sent = self.hubs.join(units.select(F.col("id").alias("b"), "unit"), "b")
         return came.unionAll(sent.groupBy("a").agg(F.sum(F.col("w") * F.col("unit"))))
 
-    def round(self, state: DataFrame, whole: float, half: int) -> DataFrame:
-        """Nodes (id, label, k, draw) after a round in which those move whose draw ends in `half`; links, mass and wants are of before."""
-        mass = state.groupBy("label").agg(F.sum("k").alias("mass"))
-        placed = state.select("id", "label", "k", "draw").join(mass, "label")
-        new = self._told(placed, "label", "mass", own=("draw",)).applyInArrow(_move(whole, half), _MOVED)
+    def round(self, state: DataFrame, whole: float, half: int, labels: int | None = None) -> DataFrame:
+        """Nodes (id, label, k, draw) after a round in which those move whose draw ends in `half`; links, mass and wants are of before.
+
+        `labels`: about how many there are, if known; masses of few are told to all tasks, and of many summed where nodes of a label meet.
+        """
+        state = state.select("id", "label", "k", "draw")
+        if labels is not None and labels <= _FEW_LABELS:
+            placed = state.join(F.broadcast(state.groupBy("label").agg(F.sum("k").alias("mass"))), "label")
+        else:  # in many tasks, even if all of it is small
+            placed = state.repartition(self.tasks, "label").withColumn("mass", F.sum("k").over(Window.partitionBy("label")))
+        new = self._told(placed.select("id", "label", "mass", "draw"), _send_labels, _TOLD).applyInArrow(_move(whole, half), _MOVED)
         return new if self.hubs is None else new.unionByName(_joined(self.hubs, placed, whole, half))
